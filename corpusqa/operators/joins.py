@@ -127,9 +127,9 @@ def number_rows(
     """
     placed = _placed(df, group_by, order_by)
     summary = placed.groupBy("_part", *group_by).agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-    out = _with_summary(placed, _before(summary, group_by, "_n"), group_by)
+    out = _with_summary(placed, _before(summary, group_by, "_rows"), group_by)
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
     return out.select(*df.columns, number.alias(name))
 
@@ -143,8 +143,8 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the group, without a window over it."""
     placed = _placed(df, group_by, order_by)
-    summary = placed.groupBy("_part", *group_by).agg(F.sum(value).alias("_n"))
-    out = _with_summary(placed, _before(summary, group_by, "_n"), group_by)
+    summary = placed.groupBy("_part", *group_by).agg(F.sum(value).alias("_total"))
+    out = _with_summary(placed, _before(summary, group_by, "_total"), group_by)
     inside = (
         Window.partitionBy("_part", *group_by)
         .orderBy("_at")

@@ -185,6 +185,7 @@ def corpus_profile(
     module: str,
     text: str = "text",
     gazetteer: DataFrame | None = None,
+    key: str = "doc_id",
     sentence_cooc: bool = False,
 ) -> DataFrame:
     """All count sections as (section, key, count), from one scan and one aggregation.
@@ -223,7 +224,7 @@ def corpus_profile(
         .agg(F.count(F.lit(1)).alias("count"))
     )
     if gazetteer is not None:
-        found = tag_counts_entities(docs, gazetteer, text)
+        found = tag_counts_entities(docs, gazetteer, key, text)
         out = out.unionByName(
             found.select(
                 F.lit("entity").alias("section"),
@@ -268,12 +269,13 @@ def tag_counts(docs: DataFrame, text: str = "text", tags: DataFrame | None = Non
     )
 
 
-def tag_counts_entities(docs: DataFrame, gazetteer: DataFrame, text: str = "text") -> DataFrame:
+def tag_counts_entities(
+    docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """(label, surface) counts of the entities linked in the documents."""
     from corpusqa.operators.entities import link_entities
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_doc"), F.col(text).alias("text"))
-    links = link_entities(rows, gazetteer, "_doc")
+    links = link_entities(docs.select(key, text), gazetteer, key, text)
     return links.groupBy("label", F.lower("surface_form").alias("surface")).agg(
         F.count(F.lit(1)).alias("count")
     )

@@ -38,8 +38,9 @@ def pair_key(first: Column, second: Column) -> Column:
 
 def write_kv_csv(counts: DataFrame, path: str) -> None:
     """``key;count`` files, one folder per section."""
-    counts.select("section", "key", "count").write.mode("overwrite").partitionBy("section").csv(
-        path, sep=";", quote="", escape=""
+    line = F.concat_ws(";", "key", F.col("count").cast("string"))
+    counts.select("section", line.alias("value")).write.mode("overwrite").partitionBy("section").text(
+        path
     )
 
 
