@@ -252,7 +252,7 @@ def focus(tokens_: Column) -> Column:
     Words that are no NP become a line break, which no token can contain.
     """
     joined = F.array_join(_phrase_breaks(tokens_), " ", "\n")
-    runs = F.transform(F.split(joined, "\n"), F.trim)
+    runs = F.transform(F.split(joined, "\n"), lambda r: F.trim(r))
     return F.filter(runs, lambda r: r != "")
 
 
