@@ -322,7 +322,7 @@ hits AS (
 
 
 SQL_REPORTS = """reports AS (
-  SELECT event_id AS seq, user_id AS id, epoch_ms(ts) AS time, json_extract_string(props, '$.k') AS k, value, props,
+  SELECT event_id AS seq, user_id AS id, epoch_us(ts) // 1000 AS time, json_extract_string(props, '$.k') AS k, value, props,
          CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'node' WHEN 'click' THEN 'step' ELSE 'finish' END AS kind,
          event_type = 'purchase' AS success
   FROM events),
