@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
 from corpusqa.operators import embeddings as em
-from corpusqa.operators.joins import number_rows, top_per_key
+from corpusqa.operators.joins import lookup_join, number_rows, top_per_key
 from corpusqa.operators.neighbors import nearest_neighbors
 from corpusqa.operators.questions import analyze_questions
 from corpusqa.operators.search import Index, build_index, find, find_terms
+from corpusqa.session import settle
 
 SNIPPET_KEYS = ("id", "offset")
 
@@ -76,9 +77,13 @@ def candidates_baseline(
 
 
 def candidate_text(candidates: DataFrame, snippets: DataFrame, keys: Sequence[str] = SNIPPET_KEYS) -> DataFrame:
-    """Candidates with the header and text of their snippet."""
+    """Candidates with the header and text of their snippet.
+
+    The candidates are stored and measured: while they are few they go to the snippets, whose
+    texts are then not moved at all.
+    """
     texts = snippets.select(*keys, _candidate_text().alias("candidate"))
-    return candidates.join(texts, list(keys))
+    return lookup_join(texts, settle(candidates), list(keys))
 
 
 def candidates_vectors(
@@ -177,7 +182,7 @@ def rank_passing(candidates: DataFrame, qid: str = "qid", tie: Sequence[str] = S
 def rank_metadata(candidates: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
     """Candidates with module and type of their source document; unknown documents drop out."""
     meta = docs.select(key, F.col("module").alias("topic"), F.col("type").alias("lecture")).distinct()
-    return candidates.join(meta, key)
+    return lookup_join(candidates, meta, key)
 
 
 def unmatched_candidates(candidates: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:

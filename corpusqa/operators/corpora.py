@@ -95,5 +95,5 @@ def cascade_delete(
     return (
         lookup_join(corpora, gone, "name", "left_anti"),
         lookup_join(questions, in_corpus, "corpus", "left_anti"),
-        answers.join(gone_questions, ["corpus", "question"], "left_anti"),
+        lookup_join(answers, gone_questions, ["corpus", "question"], "left_anti"),
     )

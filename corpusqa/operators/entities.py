@@ -9,6 +9,7 @@ from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
 from corpusqa.operators.joins import lookup_join
 from corpusqa.operators.search import CLUE_TYPE
+from corpusqa.session import settle
 
 
 def filter_links(
@@ -85,7 +86,7 @@ def link_entities(docs: DataFrame, gazetteer: DataFrame, key: str, text: str = "
     Runs of tokens are looked up in the gazetteer (surface, uri, label, types, support, score);
     of overlapping finds the leftmost, then longest, wins. Offsets are char offsets.
     """
-    entries = gazetteer_keys(filter_links(gazetteer))
+    entries = settle(gazetteer_keys(filter_links(gazetteer)))
     most = entries.agg(F.max(F.size(F.split("_key", " "))).alias("m")).first()["m"] or 1
     grams = docs.select(key, F.inline(_ngrams(tx.located_tokens(F.col(text)), most)))
     hits = lookup_join(grams, entries, "_key")

@@ -108,9 +108,11 @@ def nearest_neighbors(
     items = items.select("item", F.col("vec").cast("array<double>").alias("vec")).filter(
         F.col("vec").isNotNull()
     )
+    queries = queries.persist()
     size = queries.agg(F.sum(F.size("vec") * 8 + 64).alias("b")).first()["b"] or 0
     if size <= QUERY_BYTES:
         local = _against_all(queries, items, n, out)
+        queries.unpersist()
     else:
         local = _in_blocks(queries, items, n, out, math.ceil(size / QUERY_BYTES))
     best = top_per_key(

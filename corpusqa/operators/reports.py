@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.functions import fixed
+from corpusqa.operators.joins import lookup_join
 
 CANDIDATES = "array<struct<answer:string,ranking:double>>"
 
@@ -216,7 +217,7 @@ def create_if_absent(ids: DataFrame, reports: DataFrame) -> DataFrame:
 
 def get(reports: DataFrame, ids: DataFrame) -> DataFrame:
     """Merged records of the given ids; others are not merged."""
-    return merge_process(reports.join(ids.select("id").distinct(), "id", "left_semi"))
+    return merge_process(lookup_join(reports, ids.select("id").distinct(), "id", "left_semi"))
 
 
 def newest(reports: DataFrame, n: int) -> DataFrame:

@@ -261,25 +261,22 @@ def report_finish(spark, sf):
     return _entries(spark, sf, "finish")
 
 
-@query("""WITH bad AS (SELECT user_id AS id, list({'answer': event_type, 'ranking': CASE WHEN event_type = 'error' THEN 0.0 ELSE value END}
-    ORDER BY event_id) AS l FROM events GROUP BY user_id),
-c AS (SELECT id, unnest(l) AS x, unnest(range(len(l))) AS i FROM bad)
-SELECT id, x.answer AS answer, round(x.ranking, 4) AS ranking, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY x.ranking DESC, i) AS rank FROM c) WHERE rank <= 10""")
+@query("""WITH c AS (SELECT vec_id AS id, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+cleaned AS (SELECT id, i, CASE WHEN x > 0.2 THEN 0 ELSE x END AS x FROM c)
+SELECT id, 'answer ' || i AS answer, round(x, 4) + 0 AS ranking, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, i) AS rank FROM cleaned) WHERE rank <= 10""")
 def clean_candidates(spark, sf):
-    """All events of a user as candidates; errors have NaN or infinite rankings."""
-    value = (
-        F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), float("nan"))
-        .when(F.col("event_type") == "error", float("inf"))
-        .otherwise(F.col("value"))
+    """The elements of a vector as rankings, the large ones replaced by NaN and infinity."""
+    found = F.transform(
+        "vec",
+        lambda x, i: F.struct(
+            F.concat(F.lit("answer "), i.cast("string")).alias("answer"),
+            F.when((x > 0.2) & (i % 2 == 0), float("nan")).when(x > 0.2, float("inf")).otherwise(x).alias("ranking"),
+        ),
     )
-    events = d.table(spark, sf, "events")
-    per_user = events.groupBy(F.col("user_id").alias("id")).agg(
-        F.array_sort(F.collect_list(F.struct("event_id", F.struct(F.col("event_type").alias("answer"), value.alias("ranking")).alias("c")))).alias("l")
-    )
-    cleaned = per_user.select("id", rp.clean_candidates(F.transform("l", lambda x: x["c"])).alias("c"))
+    cleaned = d.embeddings(spark, sf).select(F.col("vec_id").alias("id"), rp.clean_candidates(found).alias("c"))
     return cleaned.select("id", F.posexplode("c").alias("pos", "c")).select(
-        "id", "c.answer", F.round("c.ranking", 4).alias("ranking"), (F.col("pos") + 1).alias("rank")
+        "id", "c.answer", (F.round("c.ranking", 4) + F.lit(0.0)).alias("ranking"), (F.col("pos") + 1).alias("rank")
     )
 
 

@@ -144,36 +144,37 @@ def vector(spark, sf):
     return found.select("word", F.col("vec").isNotNull().alias("known"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
 
 
-def _label_words(spark, sf):
-    """(vocabulary, groups): the words of each label, and an unknown word for some labels."""
-    vocab = d.vocabulary(spark, sf)
-    rows = vocab.select("label", "word").unionByName(
-        d.embeddings(spark, sf).filter("label % 5 = 4").select("label", F.lit("no such word").alias("word")).distinct()
+def _groups(vocab):
+    """Lists of five words of neighbouring rank; every fifth list has an unknown word as well."""
+    lists = vocab.groupBy(F.floor((F.col("rank") - 1) / 5).alias("grp")).agg(
+        F.array_sort(F.collect_list("word")).alias("words")
     )
-    return vocab, rows.groupBy("label").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    odd = F.concat("words", F.array(F.lit("no such word")))
+    return lists.withColumn("words", F.when(F.col("grp") % 5 == 4, odd).otherwise(F.col("words")))
 
 
-_LABEL_WORDS = """label_words AS (
-  SELECT label, word, vec FROM vocab
-  UNION ALL SELECT DISTINCT label, 'no such word', NULL FROM embeddings WHERE label % 5 = 4)"""
+_GROUPS = """ranked AS (SELECT (rank - 1) // 5 AS grp, * FROM vocab),
+group_words AS (
+  SELECT grp, word, vec FROM ranked
+  UNION ALL SELECT DISTINCT grp, 'no such word', NULL FROM ranked WHERE grp % 5 = 4)"""
 
-_CENTROIDS = """elements AS (SELECT label, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM label_words WHERE vec IS NOT NULL),
-sizes AS (SELECT label, count(*) AS n, count(vec) AS known FROM label_words GROUP BY label),
-centroids AS (SELECT label, pos, sum(x) / any_value(n) AS x, any_value(n) = any_value(known) AS complete
-  FROM elements JOIN sizes USING (label) GROUP BY ALL)"""
+_CENTROIDS = """elements AS (SELECT grp, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM group_words WHERE vec IS NOT NULL),
+sizes AS (SELECT grp, count(*) AS n, count(vec) AS known FROM group_words GROUP BY grp),
+centroids AS (SELECT grp, pos, sum(x) / any_value(n) AS x, any_value(n) = any_value(known) AS complete
+  FROM elements JOIN sizes USING (grp) GROUP BY ALL)"""
 
 
-@query(f"""WITH {d.SQL_VOCAB}, {_LABEL_WORDS}, {_CENTROIDS}
-SELECT label, pos, round(x, 4) + 0 AS value FROM centroids WHERE complete""")
+@query(f"""WITH {d.SQL_VOCAB}, {_GROUPS}, {_CENTROIDS}
+SELECT grp, pos, round(x, 4) + 0 AS value FROM centroids WHERE complete""")
 def centroid(spark, sf):
-    vocab, groups = _label_words(spark, sf)
-    return elements(em.centroid(groups, "label", "words", vocab), ["label"])
+    vocab = d.vocabulary(spark, sf)
+    return elements(em.centroid(_groups(vocab), "grp", "words", vocab), ["grp"])
 
 
-@query(f"WITH {d.SQL_VOCAB}, {_LABEL_WORDS}, {_CENTROIDS} SELECT label, pos, round(x, 4) + 0 AS value FROM centroids")
+@query(f"WITH {d.SQL_VOCAB}, {_GROUPS}, {_CENTROIDS} SELECT grp, pos, round(x, 4) + 0 AS value FROM centroids")
 def centroid_tolerant(spark, sf):
-    vocab, groups = _label_words(spark, sf)
-    return elements(em.centroid_tolerant(groups, "label", "words", vocab), ["label"])
+    vocab = d.vocabulary(spark, sf)
+    return elements(em.centroid_tolerant(_groups(vocab), "grp", "words", vocab), ["grp"])
 
 
 def _neighbour_words(vocab):
@@ -202,28 +203,28 @@ def word_euclidean(spark, sf):
     return em.word_euclidean(_neighbour_words(vocab), vocab).withColumn("distance", F.round("distance", 4))
 
 
-_WORD_ITEMS = "items AS (SELECT word AS item, vec, label FROM vocab)"
+_WORD_ITEMS = "items AS (SELECT word AS item, vec, label, (rank - 1) // 5 AS grp FROM vocab)"
 
 
 @query(f"""WITH {d.SQL_VOCAB}, {_MEANS}, {_WORD_ITEMS},
-{sql_nearest('label_means', 'items', 20, "i.item IN (SELECT unnest(" + d.sql_words('lower(text)') + ") FROM documents) AND i.label <> q.qid")}
+{sql_nearest('label_means', 'items', 20, "i.item IN (SELECT unnest(" + d.sql_words('lower(text)') + ") FROM documents) AND (q.qid, i.item) NOT IN (SELECT (label, arg_min(word, rank)) FROM vocab GROUP BY label)")}
 SELECT qid, item, round(score, 4) + 0 AS score, rank FROM nearest""")
 def nearest_words(spark, sf):
-    """Words nearest to the mean vector of a label, of other labels, that occur in lower-cased texts."""
+    """Words that occur in lower-cased texts nearest to the mean vector of a label, but for its most frequent one."""
     vocab = d.vocabulary(spark, sf)
     means = em.average(d.embeddings(spark, sf), "label", 64).select(F.col("label").alias("qid"), "vec")
     low = d.documents(spark, sf).select(F.explode(tx.bag_of_words(F.lower("text"))).alias("word"))
-    own = vocab.select(F.col("label").alias("qid"), F.col("word").alias("item"))
+    own = vocab.groupBy(F.col("label").alias("qid")).agg(F.min_by("word", "rank").alias("item"))
     return _scores(em.nearest_words(means, vocab, 20, include=low, exclude=own))
 
 
-@query(f"""WITH {d.SQL_VOCAB}, {_LABEL_WORDS}, {_CENTROIDS}, {_WORD_ITEMS},
-targets AS (SELECT label AS qid, list(x ORDER BY pos) AS vec FROM centroids WHERE complete GROUP BY label),
-{sql_nearest('targets', 'items', 40, 'i.label <> q.qid')}
+@query(f"""WITH {d.SQL_VOCAB}, {_GROUPS}, {_CENTROIDS}, {_WORD_ITEMS},
+targets AS (SELECT grp AS qid, list(x ORDER BY pos) AS vec FROM centroids WHERE complete GROUP BY grp),
+{sql_nearest('targets', 'items', 40, 'i.grp <> q.qid')}
 SELECT qid, item, round(score, 4) + 0 AS score, rank FROM nearest""")
 def distance(spark, sf):
-    vocab, groups = _label_words(spark, sf)
-    return _scores(em.distance(groups, "label", "words", vocab))
+    vocab = d.vocabulary(spark, sf)
+    return _scores(em.distance(_groups(vocab), "grp", "words", vocab))
 
 
 @query(f"""WITH {d.SQL_VOCAB}, {_WORD_ITEMS},
@@ -241,35 +242,39 @@ def analogy(spark, sf):
     return _scores(em.analogy(triples, "qid", vocab, 10))
 
 
-@query(f"""WITH {d.SQL_VOCAB}, heads AS (SELECT label, arg_min(word, rank) AS word, arg_min(vec, rank) AS head FROM vocab GROUP BY label)
-SELECT label, h.word, v.word AS member, round(list_cosine_similarity(head, vec), 4) + 0 AS cosine
-FROM heads h JOIN vocab v USING (label) WHERE label % 5 <> 4""")
+@query(f"""WITH {d.SQL_VOCAB}, {_GROUPS},
+heads AS (SELECT grp, arg_min(word, rank) AS word, arg_min(vec, rank) AS head FROM ranked GROUP BY grp)
+SELECT grp, h.word, v.word AS member, round(list_cosine_similarity(head, vec), 4) + 0 AS cosine
+FROM heads h JOIN ranked v USING (grp) WHERE grp % 5 <> 4""")
 def rank_words(spark, sf):
-    """The most frequent word of a label against all its words; a set with an unknown word gives none."""
-    vocab, groups = _label_words(spark, sf)
-    heads = vocab.groupBy("label").agg(F.min_by("word", "rank").alias("word"))
-    sets = heads.join(groups, "label").select("label", "word", F.explode("words").alias("member"))
-    return em.rank_words(sets, "label", vocab).withColumn("cosine", F.round("cosine", 4) + F.lit(0.0))
+    """The most frequent word of a list against all its words; a list with an unknown word gives none."""
+    vocab = d.vocabulary(spark, sf)
+    grp = F.floor((F.col("rank") - 1) / 5).alias("grp")
+    heads = vocab.groupBy(grp).agg(F.min_by("word", "rank").alias("word"))
+    sets = heads.join(_groups(vocab), "grp").select("grp", "word", F.explode("words").alias("member"))
+    return em.rank_words(sets, "grp", vocab).withColumn("cosine", F.round("cosine", 4) + F.lit(0.0))
 
 
 _UNITS = """units AS (
-  SELECT word, label, pos, x / sqrt(sum(x * x) OVER (PARTITION BY word)) AS x FROM (
-    SELECT word, label, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM vocab))"""
+  SELECT word, rank, (rank - 1) // 5 AS grp, pos, x / sqrt(sum(x * x) OVER (PARTITION BY word)) AS x FROM (
+    SELECT word, rank, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM vocab))"""
 
 
-@query(f"""WITH {d.SQL_VOCAB}, {_UNITS}, {_WORD_ITEMS},
+@query(f"""WITH {d.SQL_VOCAB}, {_GROUPS}, {_UNITS}, {_WORD_ITEMS},
 targets AS (SELECT qid, list(x ORDER BY pos) AS vec FROM (
   SELECT qid, pos, sum(x * sign) AS x FROM (
-    SELECT label AS qid, pos, x, 1 AS sign FROM units
-    UNION ALL SELECT (label + 9) % 10, pos, x, -1 FROM units) GROUP BY ALL) GROUP BY qid),
-{sql_nearest('targets', 'items', 40, 'i.label <> q.qid AND i.label <> (q.qid + 1) % 10')}
-SELECT qid, item, round(score, 4) + 0 AS score, rank FROM nearest""")
+    SELECT grp AS qid, pos, x, 1 AS sign FROM units
+    UNION ALL SELECT grp - 1, pos, x, -1 FROM units) GROUP BY ALL) GROUP BY qid),
+{sql_nearest('targets', 'items', 40, 'i.grp <> q.qid AND i.grp <> q.qid + 1')}
+SELECT qid, item, round(score, 4) + 0 AS score, rank FROM nearest
+WHERE qid >= 0 AND qid % 5 <> 4 AND (qid + 1) % 5 <> 4 AND qid < (SELECT max(grp) FROM ranked)""")
 def near_words(spark, sf):
-    """Words of a label as positive, of the next label as negative words."""
+    """Words of a list as positive, of the next list as negative words; not those with an unknown word."""
     vocab = d.vocabulary(spark, sf)
-    groups = vocab.groupBy("label").agg(F.array_sort(F.collect_list("word")).alias("positive"))
-    negative = groups.select(((F.col("label") + 9) % 10).alias("label"), F.col("positive").alias("negative"))
-    return _scores(em.near_words(groups.join(negative, "label"), "label", vocab))
+    groups = _groups(vocab)
+    negative = groups.select((F.col("grp") - 1).alias("grp"), F.col("words").alias("negative"))
+    both = groups.withColumnRenamed("words", "positive").join(negative, "grp")
+    return _scores(em.near_words(both, "grp", vocab))
 
 
 @query(f"""WITH {d.SQL_VOCAB}, {_UNITS}, {_WORD_ITEMS},
