@@ -16,7 +16,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 # Elements summed at once by ``prefix_sums``.
-_SUM_BLOCK = 256
+_SUM_BLOCK = 32
 
 
 def _last_sums(values: Column) -> Column:
@@ -132,6 +132,27 @@ def terms(text: Column) -> Column:
     return F.filter(tokens(F.lower(text)), lambda t: t.rlike(r"[\p{L}\p{N}]"))
 
 
+def term_frequencies(terms_: Column) -> Column:
+    """(term, tf) of the distinct terms, in term order."""
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        ends = F.filter(
+            F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(s, i - 1) != F.get(s, i))
+        )
+        return let(
+            ends,
+            lambda e: F.transform(
+                e,
+                lambda end, k: F.struct(
+                    F.get(s, end - 1).alias("term"),
+                    (end - F.when(k > 0, F.get(e, k - 1)).otherwise(0)).cast("bigint").alias("tf"),
+                ),
+            ),
+        )
+
+    return F.when(F.size(terms_) > 0, let(F.array_sort(terms_), runs))
+
+
 def collapse_breaks(text: Column) -> Column:
     """Each line break, with the blanks around it, becomes one blank."""
     return F.regexp_replace(text, r"[ ]*(\r)?\n[ ]*", " ")

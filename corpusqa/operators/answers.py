@@ -125,16 +125,22 @@ def candidates_vectors(
     )
 
 
+def _overlaps(sents: Column, bow: Column) -> Column:
+    def of_bag(bag: Column) -> Column:
+        return F.transform(
+            sents,
+            lambda s: F.struct(
+                s["piece"].alias("sentence"),
+                s["start"].alias("start"),
+                (F.size(F.array_intersect(tx.tokens(s["piece"]), bag)) / F.size(bow)).alias("overlap"),
+            ),
+        )
+
+    return tx.let(F.array_distinct(bow), of_bag)
+
+
 def _passages(sents: Column, bow: Column, threshold: float) -> Column:
-    bag = F.array_distinct(bow)
-    scored = F.transform(
-        sents,
-        lambda s: F.struct(
-            s["piece"].alias("sentence"),
-            s["start"].alias("start"),
-            (F.size(F.array_intersect(tx.tokens(s["piece"]), bag)) / F.size(bow)).alias("overlap"),
-        ),
-    )
+    scored = _overlaps(sents, bow)
     run = "struct<passage:string,ranking:double,offset:bigint>"
     start = F.struct(
         F.lit(None).cast(run).alias("run"), F.array().cast(f"array<{run}>").alias("done")

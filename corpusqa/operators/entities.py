@@ -38,6 +38,9 @@ def gazetteer_keys(gazetteer: DataFrame) -> DataFrame:
 def _ngrams(located: Column, most: int) -> Column:
     # one (at, n, start, length, key) per run of up to ``most`` tokens
     def grams(toks: Column) -> Column:
+        return tx.let(F.transform(toks, lambda t: t["piece"]), lambda pieces: runs(toks, pieces))
+
+    def runs(toks: Column, pieces: Column) -> Column:
         return F.flatten(
             F.transform(
                 toks,
@@ -52,9 +55,7 @@ def _ngrams(located: Column, most: int) -> Column:
                             + F.length(F.get(toks, i + n - 1)["piece"])
                             - t["start"]
                         ).alias("length"),
-                        F.array_join(
-                            F.transform(F.slice(toks, i + 1, n), lambda x: x["piece"]), " "
-                        ).alias("_key"),
+                        F.array_join(F.slice(pieces, i + 1, n), " ").alias("_key"),
                     ),
                 ),
             )

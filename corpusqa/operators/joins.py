@@ -155,7 +155,7 @@ def running_total(
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
-    """The first row of each key, as an aggregate: copies of a key merge before the shuffle."""
+    """The row of each key with the smallest ``order_by``; copies of a key merge before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in rest])
     kept = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order_by)).alias("_row"))

@@ -115,6 +115,8 @@ def nearest_neighbors(
         queries.unpersist()
     else:
         local = _in_blocks(queries, items, n, out, math.ceil(size / QUERY_BYTES))
+    # pandas hands NaN over as null
+    local = local.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
     best = top_per_key(
         local,
         ["qid"],

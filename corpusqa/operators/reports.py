@@ -61,22 +61,25 @@ def _scalar(name: str, **value: Column) -> Column:
     return _entry("scalar", name, _value(**value), column.isNotNull())
 
 
-def _detail(json: Column, name: str, kinds: tuple[str, ...]) -> Column:
-    field = F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant")
+def _detail(parsed: Column, name: str, kinds: tuple[str, ...]) -> Column:
+    field = F.try_variant_get(parsed, f"$.{name}", "variant")
     kind = F.schema_of_variant(field)
     matches = F.lit(False)
     for k in kinds:
         matches = matches | kind.startswith(k)
-    return F.when(matches, F.try_variant_get(F.try_parse_json(json), f"$.{name}", "string"))
+    return F.when(matches, F.try_variant_get(parsed, f"$.{name}", "string"))
 
 
-def report_create(json: Column) -> list[Column]:
-    """Entries of a create message: question, sender, creation time and, from valid JSON, details."""
-    valid = F.try_parse_json(json).isNotNull()
-    text = {n: F.coalesce(_detail(json, n, ("STRING",)), F.lit("")) for n in ("corpus", "details")}
+def report_create(parsed: Column) -> list[Column]:
+    """Entries of a create message: question, sender, creation time and details.
+
+    ``parsed`` is the message's JSON as variant; null, for invalid JSON, gives no details.
+    """
+    valid = parsed.isNotNull()
+    text = {n: F.coalesce(_detail(parsed, n, ("STRING",)), F.lit("")) for n in ("corpus", "details")}
     number = {
         n: F.coalesce(
-            _detail(json, n, ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")).try_cast("double").cast("bigint"),
+            _detail(parsed, n, ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")).try_cast("double").cast("bigint"),
             F.lit(0),
         )
         for n in ("id", "time")
@@ -118,7 +121,7 @@ def report_entries(reports: DataFrame) -> DataFrame:
     """Messages as long rows, ready to merge. Messages of other kinds are passed over."""
     kind = F.col("kind")
     by_kind = {
-        "create": report_create(F.col("json")),
+        "create": report_create(F.col("_parsed")),
         "node": report_node(),
         "step": report_step(),
         "finish": report_finish(),
@@ -130,6 +133,7 @@ def report_entries(reports: DataFrame) -> DataFrame:
         entries = F.when(kind == name, F.array(*by_kind[name])).otherwise(entries)
         rank = F.when(kind == name, place).otherwise(rank)
     order = F.struct(F.col("time").alias("time"), rank.alias("rank"), F.col("seq").alias("seq"))
+    reports = reports.withColumn("_parsed", F.when(kind == "create", F.try_parse_json("json")))
     rows = reports.select("id", order.alias("ord"), F.explode(entries).alias("_e"))
     longest = F.struct(
         F.length("_e.value.s").alias("length"),

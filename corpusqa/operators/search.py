@@ -5,24 +5,31 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
 from corpusqa.operators.joins import fits_broadcast, lookup_join, top_per_key
-from corpusqa.session import new_folder
+from corpusqa.session import new_folder, settle
+
+
+# Up to this many terms are pushed down to the scan of a stored index.
+FEW_TERMS = 200
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (field, term, keys, tf, length), one row per field, term and document."""
+    """Postings (field, term, keys, tf, length), one row per field, term and document.
+
+    ``total`` is one row, the number of documents.
+    """
 
     postings: DataFrame
-    docs: DataFrame
+    total: DataFrame
     keys: tuple[str, ...]
+    stored: bool = False
 
 
 def _field_terms(value: Column, kind: T.DataType) -> Column:
@@ -31,20 +38,31 @@ def _field_terms(value: Column, kind: T.DataType) -> Column:
     return tx.terms(F.coalesce(value, F.lit("")))
 
 
+def _field_entry(name: str, terms: Column) -> Column:
+    return tx.let(
+        terms,
+        lambda t: F.struct(
+            F.lit(name).alias("field"),
+            F.size(t).alias("length"),
+            tx.term_frequencies(t).alias("terms"),
+        ),
+    )
+
+
 def build_index(
     docs: DataFrame, keys: Sequence[str], fields: Mapping[str, str] | None = None
 ) -> Index:
-    """Index ``fields`` (name -> string or string array column) of ``docs``."""
+    """Index ``fields`` (name -> string or string array column) of ``docs``, one row per document.
+
+    Terms are counted inside the row of their document, so building postings moves no data.
+    """
     fields = dict(fields or {"text": "text"})
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    per_field = [
-        F.struct(F.lit(name).alias("field"), _field_terms(F.col(col), kinds[col]).alias("terms"))
-        for name, col in fields.items()
-    ]
+    per_field = [_field_entry(name, _field_terms(F.col(c), kinds[c])) for name, c in fields.items()]
     by_field = docs.select(*keys, F.inline(F.array(*per_field)))
-    rows = by_field.select(*keys, "field", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    postings = rows.groupBy("field", "term", *keys, "length").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, docs, tuple(keys))
+    postings = by_field.select(*keys, "field", "length", F.inline("terms"))
+    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    return Index(postings, total, tuple(keys))
 
 
 def write_index(index: Index, path: str | None = None) -> Index:
@@ -58,8 +76,15 @@ def write_index(index: Index, path: str | None = None) -> Index:
     order = ["field", "term", *index.keys]
     index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
         "overwrite"
-    ).parquet(path)
-    return Index(spark.read.parquet(path), index.docs, index.keys)
+    ).parquet(f"{path}/postings")
+    index.total.write.mode("overwrite").parquet(f"{path}/total")
+    return read_index(spark, path, index.keys)
+
+
+def read_index(spark: SparkSession, path: str, keys: Sequence[str]) -> Index:
+    """An index stored by ``write_index``."""
+    postings = spark.read.parquet(f"{path}/postings")
+    return Index(postings, spark.read.parquet(f"{path}/total"), tuple(keys), stored=True)
 
 
 def document_frequency(index: Index) -> DataFrame:
@@ -84,8 +109,11 @@ def search(
 ) -> DataFrame:
     """Top ``n`` documents per query: (qid, keys, score, rank).
 
-    The clause side is measured: while it is small, no posting moves before its query's partial
-    sum; beyond that, frequent terms are salted. Sums form inside the tasks first.
+    The clause side is measured: while it is small it is broadcast, beyond that frequent terms
+    are salted. Postings without a wanted term are dropped where they are read. What is left of
+    an index that is not stored is written out, as it serves both the term frequencies and the
+    scores. The postings of a document lie together, so its sum per query forms inside the task
+    and one row per query and document is shuffled; after that only the best ``n`` per query.
     """
     if scoring not in ("classic", "bm25"):
         raise ValueError("scoring is 'classic' or 'bm25'")
@@ -93,8 +121,11 @@ def search(
     terms = wanted.select("field", "term").distinct()
     small = fits_broadcast(grouped)
     bound = None if small else 0
-    needed = _join(index.postings, terms, ["field", "term"], "left_semi", bound)
-    total = index.docs.agg(F.count(F.lit(1))).scalar()
+    postings = _skip_files(index, terms) if small and index.stored else index.postings
+    needed = _join(postings, terms, ["field", "term"], "left_semi", bound)
+    if not index.stored:
+        needed = settle(needed)
+    total = index.total.scalar()
     freq = needed.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     df = F.coalesce(F.col("df"), F.lit(0))
     idf = (
@@ -109,42 +140,33 @@ def search(
         .withColumn("_idf", idf)
         .withColumn("_clauses", F.sum("_m").over(per_query))
         .withColumn("_squares", F.sum(F.col("_m") * F.col("_idf") * F.col("_idf")).over(per_query))
-        .select(qid, "field", "term", "_m", "_idf", "_clauses", "_squares")
     )
-    matches = _join(needed, weights, ["field", "term"], "inner", bound)
+    # what a query's documents share goes into the term weight
     if scoring == "classic":
-        part = (
-            F.col("_m")
-            * F.sqrt(F.col("tf").cast("double"))
-            * F.col("_idf")
-            * F.col("_idf")
-            / F.sqrt(F.col("length").cast("double"))
-        )
+        weight = F.col("_m") * F.col("_idf") * F.col("_idf") / F.sqrt("_squares") / F.col("_clauses")
+        part = F.col("_w") * F.sqrt(F.col("tf") / F.col("length"))
+        score = F.sum(part) * F.sum("_m")
     else:
-        mean = _mean_lengths(index)
-        matches = matches.join(F.broadcast(mean), "field")
+        weight = F.col("_m") * F.col("_idf")
         k1, b = 1.2, 0.75
-        tf = F.col("tf")
-        part = (
-            F.col("_m")
-            * F.col("_idf")
-            * (tf * (k1 + 1))
-            / (tf + k1 * (1 - b + b * F.col("length") / F.col("_mean")))
-        )
-    scored = matches.groupBy(qid, *index.keys).agg(
-        F.sum(part).alias("_sum"),
-        F.sum("_m").alias("_matched"),
-        F.first("_clauses").alias("_clauses"),
-        F.first("_squares").alias("_squares"),
-    )
-    score = F.col("_sum")
-    if scoring == "classic":
-        score = score * F.col("_matched") / F.col("_clauses") / F.sqrt("_squares")
-    hits = scored.select(qid, *index.keys, score.alias("score"))
+        tf, mean = F.col("tf"), F.col("_mean")
+        part = F.col("_w") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("length") / mean))
+        score = F.sum(part)
+    weights = weights.select(qid, "field", "term", "_m", weight.alias("_w"))
+    matches = _join(needed, weights, ["field", "term"], "inner", bound)
+    if scoring == "bm25":
+        matches = matches.join(F.broadcast(_mean_lengths(index)), "field")
+    hits = matches.groupBy(qid, *index.keys).agg(score.alias("score"))
     order = [F.round("score", 6).desc(), *[F.col(k) for k in index.keys]]
     return top_per_key(hits, [qid], order, n)
 
 
+def _skip_files(index: Index, terms: DataFrame) -> DataFrame:
+    # a stored index is ordered by term: with few terms most of its files need no reading
+    few = [r["term"] for r in terms.select("term").limit(FEW_TERMS + 1).collect()]
+    return index.postings.filter(F.col("term").isin(few)) if len(few) <= FEW_TERMS else index.postings
+
+
 def _join(left: DataFrame, right: DataFrame, on: list[str], how: str, bound: int | None) -> DataFrame:
     # the caller has measured a frame at least as large as ``right``
     if bound is None:

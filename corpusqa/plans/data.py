@@ -108,7 +108,7 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as report messages."""
-    return as_reports(table(spark, sf_dir, "events"))
+    return as_reports(table(spark, sf_dir, "events", "event_id"))
 
 
 def as_reports(events: DataFrame) -> DataFrame:
