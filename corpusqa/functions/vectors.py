@@ -57,6 +57,11 @@ def cosine(a: Column, b: Column) -> Column:
     )
 
 
+def by_score(score: Column) -> Column:
+    """Sort order of scores: highest rounded score first, NaN last."""
+    return F.when(F.isnan(score), float("-inf")).otherwise(F.round(score, 6)).desc()
+
+
 def sums(vec: Column, dim: int, weight: Column | None = None) -> list[Column]:
     """One sum per vector element, for ``groupBy().agg``; short vectors count as padded with 0."""
     out = []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
+from corpusqa.functions.vectors import by_score
 from corpusqa.operators import embeddings as em
 from corpusqa.operators.joins import lookup_join, number_rows, top_per_key
 from corpusqa.operators.neighbors import nearest_neighbors
@@ -178,7 +179,7 @@ def extract_passages(
 
 def rank_passing(candidates: DataFrame, qid: str = "qid", tie: Sequence[str] = SNIPPET_KEYS) -> DataFrame:
     """Candidates by ranking, best first, with blank topic and lecture."""
-    order = [F.round("ranking", 6).desc(), *[F.col(t) for t in tie]]
+    order = [by_score(F.col("ranking")), *[F.col(t) for t in tie]]
     kept = candidates.drop("rank")
     # a question has at most as many candidates as its search returned
     ranked = top_per_key(kept, [qid], order, fixed.TERM_HITS)
@@ -202,7 +203,9 @@ def select_answer(
 ) -> DataFrame:
     """Best candidate per question, and whether its ranking is above the threshold."""
     best = ranked.filter(F.col("rank") == 1).drop("rank")
-    return best.withColumn("accepted", F.col("ranking") > threshold)
+    # Spark sorts NaN above all numbers; a NaN ranking is no answer
+    above = (F.col("ranking") > threshold) & ~F.isnan("ranking")
+    return best.withColumn("accepted", above)
 
 
 def classify_outcome(questions: DataFrame, best: DataFrame, qid: str = "qid", keys: Sequence[str] = SNIPPET_KEYS) -> DataFrame:

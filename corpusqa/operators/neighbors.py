@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.functions import fixed
+from corpusqa.functions.vectors import by_score
 from corpusqa.operators.joins import top_per_key
 
 # Queries up to this many vector bytes go to every task; more are cut into blocks of this size.
@@ -120,7 +121,7 @@ def nearest_neighbors(
     best = top_per_key(
         local,
         ["qid"],
-        [F.when(F.isnan("score"), float("-inf")).otherwise(F.round("score", 6)).desc(), F.col("item")],
+        [by_score(F.col("score")), F.col("item")],
         n,
     )
     if strict_n:
@@ -168,14 +169,10 @@ def _in_blocks(queries: DataFrame, items: DataFrame, n: int, out: str, blocks: i
     return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(score, out)
 
 
-def without_excluded(
-    found: DataFrame, excluded: DataFrame, n: int
-) -> DataFrame:
+def without_excluded(found: DataFrame, excluded: DataFrame, n: int) -> DataFrame:
     """Drop excluded (qid, item) pairs from ``found`` and number the best ``n`` left.
 
     ``found`` must hold at least n + (largest exclusion list) items per query.
     """
     kept = found.join(excluded.select("qid", "item").distinct(), ["qid", "item"], "left_anti")
-    return top_per_key(
-        kept.drop("rank"), ["qid"], [F.round("score", 6).desc(), F.col("item")], n
-    )
+    return top_per_key(kept.drop("rank"), ["qid"], [by_score(F.col("score")), F.col("item")], n)

@@ -66,15 +66,6 @@ def _distinct_sentences(docs: DataFrame, text: str, keys: Sequence[str]) -> Data
     )
 
 
-def _term_frequencies(bag: Column) -> Column:
-    return F.transform(
-        F.array_distinct(bag),
-        lambda w: F.struct(
-            w.alias("w"), F.size(F.filter(bag, lambda x: x == w)).cast("bigint").alias("tf")
-        ),
-    )
-
-
 def _blocks(words: Column) -> Column:
     last = F.ceil(F.size(words) / F.lit(PAIR_BLOCK)).cast("int") - 1
     return F.transform(
@@ -94,22 +85,28 @@ def cooc_sentence(docs: DataFrame, text: str = "text", keys: Sequence[str] = ())
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = (
         _distinct_sentences(docs, text, keys)
-        .select(*keys, "_copies", tx.let(_term_frequencies(F.col("_bag")), _blocks).alias("_blocks"))
-        .select("*", F.posexplode("_blocks").alias("_i", "_left"))
+        .select(
+            *keys, "_copies", tx.let(tx.term_frequencies(F.col("_bag")), _blocks).alias("_blocks")
+        )
+        .select(*keys, "_copies", "_blocks", F.posexplode("_blocks").alias("_i", "_left"))
         .select(
             *keys,
             "_copies",
             "_left",
-            F.explode(F.slice("_blocks", F.col("_i") + 1, F.size("_blocks"))).alias("_right"),
+            F.posexplode(F.slice("_blocks", F.col("_i") + 1, F.size("_blocks"))).alias(
+                "_j", "_right"
+            ),
         )
         .repartition(tasks, F.xxhash64("_left", "_right"))
     )
-    pairs = (
-        units.select(*keys, "_copies", "_right", F.explode("_left").alias("_x"))
-        .select(*keys, "_copies", "_x", F.explode("_right").alias("_y"))
-        .filter(F.col("_x.w") < F.col("_y.w"))
+    # words are in order: a block meets its own words only after the left one
+    later = F.slice("_right", F.col("_k") + 2, F.size("_right"))
+    pairs = units.select(
+        *keys, "_copies", "_j", "_right", F.posexplode("_left").alias("_k", "_x")
+    ).select(
+        *keys, "_copies", "_x", F.explode(F.when(F.col("_j") == 0, later).otherwise(F.col("_right"))).alias("_y")
     )
-    return pairs.groupBy(*keys, F.col("_x.w").alias("first"), F.col("_y.w").alias("second")).agg(
+    return pairs.groupBy(*keys, F.col("_x.term").alias("first"), F.col("_y.term").alias("second")).agg(
         F.sum(F.col("_x.tf") * F.col("_y.tf") * F.col("_copies")).alias("count")
     )
 

@@ -171,8 +171,11 @@ targets AS (SELECT qid, list(x ORDER BY pos) AS vec FROM (
   SELECT qid, pos, sum(x / n) / any_value(parts) AS x
   FROM focus_elements JOIN focus_sizes USING (qid, i) JOIN focus_counts USING (qid) GROUP BY ALL) GROUP BY qid),
 {sql_nearest('targets', 'items', 40)}
-SELECT qid, item, round(score, 4) + 0 AS ranking, rank FROM nearest""")
+SELECT qid, item, round(score, 4) + 0 AS ranking, rank FROM nearest
+UNION ALL SELECT qid, item, 'NaN'::DOUBLE, rank FROM focus_counts, (
+  SELECT item, row_number() OVER (ORDER BY item) AS rank FROM keyed) WHERE rank <= 40 AND qid NOT IN (SELECT qid FROM targets)""")
 def candidates_vectors_focus(spark, sf):
+    """A question without a known word has a zero vector: all its rankings are NaN, ties go by item."""
     analysed = qu.analyze_questions(d.questions(spark, sf))
     found = an.candidates_vectors(analysed, d.snippets(spark, sf), d.vocabulary(spark, sf), use_focus=True)
     return _scored(found.select("qid", F.concat_ws("@", "id", "offset").alias("item"), "ranking", "rank"), "ranking")

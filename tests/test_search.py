@@ -135,6 +135,13 @@ def test_outcomes(spark):
     assert got == [(1, "answered", 0.41), (2, "no_answer", 1.0), (3, "failed", 0.0)]
 
 
+def test_nan_ranking_is_no_answer(spark):
+    ranked = spark.createDataFrame([(1, "a", 0, float("nan")), (1, "b", 0, 0.2)], "qid int, id string, offset int, ranking double")
+    best = an.select_answer(an.rank_passing(ranked)).first()
+    assert (best["id"], best["accepted"]) == ("b", False)
+    assert not an.select_answer(an.rank_passing(ranked.filter("id = 'a'"))).first()["accepted"]
+
+
 def test_ask(spark):
     snippets = spark.createDataFrame(
         [("1", 0, "aiv", "d", "m", "cats chase mice"), ("2", 0, "aiv", "d", "m", "dogs chase cars")],
