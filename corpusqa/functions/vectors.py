@@ -57,9 +57,9 @@ def cosine(a: Column, b: Column) -> Column:
     )
 
 
-def by_score(score: Column) -> Column:
-    """Sort order of scores: highest rounded score first, NaN last."""
-    return F.when(F.isnan(score), float("-inf")).otherwise(F.round(score, 6)).desc()
+def from_best(score: Column) -> Column:
+    """Ascending sort key of scores: highest rounded score first, NaN last."""
+    return F.when(F.isnan(score), float("inf")).otherwise(-F.round(score, 6))
 
 
 def sums(vec: Column, dim: int, weight: Column | None = None) -> list[Column]:

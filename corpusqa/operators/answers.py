@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
-from corpusqa.functions.vectors import by_score
+from corpusqa.functions.vectors import from_best
 from corpusqa.operators import embeddings as em
-from corpusqa.operators.joins import lookup_join, number_rows, top_per_key
+from corpusqa.operators.joins import first_per_key, lookup_join, number_rows
 from corpusqa.operators.neighbors import nearest_neighbors
 from corpusqa.operators.questions import analyze_questions
 from corpusqa.operators.search import Index, build_index, find, find_terms
@@ -94,9 +94,12 @@ def candidates_vectors(
     qid: str = "qid",
     use_focus: bool = False,
     n: int = fixed.NEIGHBORS,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Candidate snippets by vector similarity: (qid, id, offset, ranking, rank).
 
+    Snippet vectors are taken from ``stored`` (id, offset, vec) if given, else computed.
+
     The question vector is the mean of its words without stopwords, or the average of the
     paragraph vectors of its focus phrases. A question with an unknown word has none.
     """
@@ -109,18 +112,16 @@ def candidates_vectors(
         asked = em.average(vecs.select(F.col(f"_part.{qid}").alias(qid), "vec"), qid, dim)
     else:
         asked = em.centroid(question_words(analysed), qid, "words", vocab, dim)
-    keyed = snippets.select(F.struct(*SNIPPET_KEYS).alias("_key"), "text")
-    stored = em.paragraph_vector(keyed, "_key", vocab, dim=dim)
-    found = nearest_neighbors(
-        asked.select(F.col(qid).alias("qid"), "vec"),
-        stored.select(F.concat_ws("@", "_key.id", "_key.offset").alias("item"), "vec"),
-        n,
-    )
-    at = F.split("item", "@")
+    item = F.concat_ws("@", *SNIPPET_KEYS).alias("item")
+    if stored is None:
+        items = em.paragraph_vector(snippets.select(item, "text"), "item", vocab, dim=dim)
+    else:
+        items = stored.select(item, "vec")
+    found = nearest_neighbors(asked.select(F.col(qid).alias("qid"), "vec"), items, n)
     return found.select(
         F.col("qid").alias(qid),
-        at[0].alias("id"),
-        at[1].cast("int").alias("offset"),
+        F.regexp_extract("item", r"(?s)^(.*)@([0-9]+)$", 1).alias("id"),
+        F.regexp_extract("item", r"(?s)^(.*)@([0-9]+)$", 2).cast("int").alias("offset"),
         F.col("score").alias("ranking"),
         "rank",
     )
@@ -177,12 +178,13 @@ def extract_passages(
     return docs.select(*rest, F.inline(found))
 
 
+def _best_first(tie: Sequence[str]) -> list[Column]:
+    return [from_best(F.col("ranking")), *[F.col(t) for t in tie]]
+
+
 def rank_passing(candidates: DataFrame, qid: str = "qid", tie: Sequence[str] = SNIPPET_KEYS) -> DataFrame:
-    """Candidates by ranking, best first, with blank topic and lecture."""
-    order = [by_score(F.col("ranking")), *[F.col(t) for t in tie]]
-    kept = candidates.drop("rank")
-    # a question has at most as many candidates as its search returned
-    ranked = top_per_key(kept, [qid], order, fixed.TERM_HITS)
+    """All candidates by ranking, best first, with blank topic and lecture."""
+    ranked = number_rows(candidates.drop("rank"), _best_first(tie), [qid], "rank")
     return ranked.withColumn("topic", F.lit("")).withColumn("lecture", F.lit(""))
 
 
@@ -199,10 +201,13 @@ def unmatched_candidates(candidates: DataFrame, docs: DataFrame, key: str = "id"
 
 
 def select_answer(
-    ranked: DataFrame, qid: str = "qid", threshold: float = fixed.ANSWER_THRESHOLD
+    candidates: DataFrame,
+    qid: str = "qid",
+    threshold: float = fixed.ANSWER_THRESHOLD,
+    tie: Sequence[str] = SNIPPET_KEYS,
 ) -> DataFrame:
     """Best candidate per question, and whether its ranking is above the threshold."""
-    best = ranked.filter(F.col("rank") == 1).drop("rank")
+    best = first_per_key(candidates, [qid], _best_first(tie)).drop("rank")
     # Spark sorts NaN above all numbers; a NaN ranking is no answer
     above = (F.col("ranking") > threshold) & ~F.isnan("ranking")
     return best.withColumn("accepted", above)
@@ -242,7 +247,7 @@ def ask_batch(
         found = candidates_baseline(analysed, snippets, index, qid, use_focus, with_text=False)
     else:
         found = candidates_vectors(analysed, snippets, vocab, qid, use_focus)
-    best = select_answer(rank_passing(found, qid), qid, threshold)
+    best = select_answer(found, qid, threshold)
     return classify_outcome(questions, candidate_text(best, snippets), qid)
 
 

@@ -13,6 +13,8 @@ from corpusqa.session import settle
 # A side is broadcast only when its measured size is at most this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
+# Largest group limit that Spark applies before the shuffle (windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -167,8 +169,14 @@ def top_per_key(
 ) -> DataFrame:
     """The first ``n`` rows of each key, numbered from 1.
 
-    Spark limits each group inside the tasks before the shuffle, so at most ``n``
-    rows per key and task travel.
+    Spark limits each group inside the tasks before the shuffle, so at most ``n`` rows per key
+    and task travel. It does so for a small ``n`` only; for others each key is first
+    limited per salt.
     """
+    if n > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order_by)
+        salted = df.withColumn("_salt", salt).withColumn("_at", F.row_number().over(part))
+        df = salted.filter(F.col("_at") <= n).drop("_salt", "_at")
     w = Window.partitionBy(*keys).orderBy(*order_by)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)

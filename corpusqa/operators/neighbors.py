@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.functions import fixed
-from corpusqa.functions.vectors import by_score
+from corpusqa.functions.vectors import from_best
 from corpusqa.operators.joins import top_per_key
 
 # Queries up to this many vector bytes go to every task; more are cut into blocks of this size.
@@ -121,7 +121,7 @@ def nearest_neighbors(
     best = top_per_key(
         local,
         ["qid"],
-        [by_score(F.col("score")), F.col("item")],
+        [from_best(F.col("score")), F.col("item")],
         n,
     )
     if strict_n:
@@ -175,4 +175,4 @@ def without_excluded(found: DataFrame, excluded: DataFrame, n: int) -> DataFrame
     ``found`` must hold at least n + (largest exclusion list) items per query.
     """
     kept = found.join(excluded.select("qid", "item").distinct(), ["qid", "item"], "left_anti")
-    return top_per_key(kept.drop("rank"), ["qid"], [by_score(F.col("score")), F.col("item")], n)
+    return top_per_key(kept.drop("rank"), ["qid"], [from_best(F.col("score")), F.col("item")], n)

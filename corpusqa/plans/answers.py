@@ -254,7 +254,7 @@ def unmatched_candidates(spark, sf):
 
 @query(f"""WITH {_RANKED} SELECT qid, id, "offset", round(ranking, 4) + 0 AS ranking, ranking > 0.4 AS accepted FROM ranked WHERE rank = 1""")
 def select_answer(spark, sf):
-    best = an.select_answer(an.rank_passing(_candidates(spark, sf)))
+    best = an.select_answer(_candidates(spark, sf))
     return _scored(best.select("qid", "id", "offset", "ranking", "accepted"), "ranking")
 
 
@@ -276,7 +276,7 @@ def classify_outcome(spark, sf):
     """Questions of the benchmark, and one per nation that finds nothing."""
     asked = d.questions(spark, sf).select("qid")
     silent = d.table(spark, sf, "nation").select((F.lit(-1) - F.col("n_nationkey")).cast("bigint").alias("qid"))
-    best = an.select_answer(an.rank_passing(_candidates(spark, sf)))
+    best = an.select_answer(_candidates(spark, sf))
     found = an.classify_outcome(asked.unionByName(silent), best)
     return _scored(found.select("qid", "status", "ranking"), "ranking")
 

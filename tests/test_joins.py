@@ -55,3 +55,9 @@ def test_first_per_key(spark, skewed):
     got = joins.first_per_key(skewed, ["k"], [-F.col("v")])
     assert got.filter("k = 0").first()["v"] == 2997
     assert got.count() == skewed.select("k").distinct().count()
+
+
+def test_top_per_key_beyond_the_group_limit(spark, skewed, monkeypatch):
+    plain = rows(joins.top_per_key(skewed, ["k"], [F.col("v").desc()], 5))
+    monkeypatch.setattr(joins, "GROUP_LIMIT", 2)
+    assert rows(joins.top_per_key(skewed, ["k"], [F.col("v").desc()], 5)) == plain
