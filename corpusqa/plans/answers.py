@@ -10,11 +10,12 @@ from corpusqa.operators import answers as an
 from corpusqa.operators import embeddings as em
 from corpusqa.operators import questions as qu
 from corpusqa.operators import search as se
+from corpusqa.operators.joins import lookup_join
 from corpusqa.plans import data as d
 from corpusqa.plans.registry import query
 from corpusqa.plans.search import _LINKED, _ENTITY_TERMS, _Q_ENTITIES, joined_map, _linked
 from corpusqa.plans.vectors import _paragraphs, elements, sql_nearest
-from corpusqa.session import new_folder
+from corpusqa.session import new_folder, settle
 from corpusqa.streaming.ask import ask_stream as start_ask_stream
 
 _CLOSED = f"""{d.SQL_QUESTIONS},
@@ -196,11 +197,12 @@ def candidates_vectors(spark, sf):
 
 
 def _gold_pairs(spark, sf):
-    """Documents found for a question, with the question's distinct content words."""
+    """Documents found for a question, with the question's words. The texts stay where they are."""
     analysed = qu.analyze_questions(d.questions(spark, sf))
     docs = d.documents(spark, sf).select("doc_id", "text")
     hits = an.extract(analysed, se.build_index(docs, ["doc_id"]), "fulltext").select("qid", "doc_id")
-    return hits.join(docs, "doc_id").join(analysed.select("qid", "bow"), "qid")
+    asked = settle(hits.join(analysed.select("qid", "bow"), "qid"))
+    return lookup_join(docs, asked, "doc_id")
 
 
 _PIECES = d.q(fixed.SENTENCE_PATTERN + r"|[.!?\n]")

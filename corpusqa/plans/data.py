@@ -14,11 +14,12 @@ from corpusqa.session import settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: str | None = None) -> DataFrame:
-    """A given table. With fewer files than cores its rows are spread by ``spread``; a table of
-    many files is read as it lies."""
+    """A given table. If it is too small to keep all cores busy its rows are spread by ``spread``;
+    any other is read as it lies."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread and len(df.inputFiles()) < cores:
+    # a scan of few files may have one partition with all the rows
+    if spread and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores:
         return df.repartition(cores, spread)
     return df
 
