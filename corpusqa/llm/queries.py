@@ -56,3 +56,29 @@ member AS (SELECT unnest(members) AS doc_id, rep FROM classes)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(r.low, s.doc_id) AS component_id
 FROM sets s LEFT JOIN member m ON m.doc_id = s.doc_id LEFT JOIN roots r ON r.node = m.rep
 """
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusqa.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op2_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM starts),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM twice)),
+covered AS (SELECT DISTINCT doc_id, i + k AS i FROM hits, (SELECT unnest(range(0, 35)) AS k)),
+gone AS (SELECT doc_id, list(i) AS g FROM covered GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(g), 0) AS r,
+    CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(g, x[2])), lambda x: x[1]) END AS k
+  FROM words d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM kept
+"""

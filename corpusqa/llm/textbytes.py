@@ -100,16 +100,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def windows(codes: np.ndarray, first: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def windows(codes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` codes that stay inside one row, and how many each row has."""
     counts = np.maximum(np.diff(first) - (size - 1), 0)
-    if len(codes) < size:
+    total = len(codes) - size + 1
+    if total <= 0:
         return np.zeros(0, np.uint64), counts
-    sums = np.zeros(len(codes) - size + 1, np.uint64)
-    factor = (int(_ODD) * (2 * seed + 1)) | 1
-    for i in range(size):
-        sums += codes[i : len(codes) - size + 1 + i] * np.uint64(pow(factor, i + 1, 1 << 64))
-    return mix(sums[ragged(first[:-1], counts)]), counts
+    out = np.empty(total, np.uint64)
+    for at in range(0, total, _SEGMENT):  # a run's sum is a difference of running sums, shifted to the start
+        n = min(_SEGMENT, total - at)
+        up, down = _powers(_SEGMENT + size)
+        sums = np.zeros(n + size, np.uint64)
+        np.cumsum(codes[at : at + n + size - 1] * up[: n + size - 1], out=sums[1:])
+        out[at : at + n] = (sums[size:] - sums[:n]) * down[:n]
+    return mix(out[ragged(first[:-1], counts)] + np.uint64(size)), counts
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
