@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.llm import textbytes as tb
@@ -39,6 +39,7 @@ SLICE_BYTES = 16 << 20  # text whose tokens fill one slice of the token universe
 CLASS_FROM = (64, 4096)
 # Sets of fewer tokens use single tokens only: their prefixes have no room for combinations.
 SMALL_SET = 48
+NAMED_PAIRS = 256  # buckets of at most so many sets list their pairs
 BLOCK = 1024  # sets of a bucket that one task compares with as many others
 
 _TOKEN_BITS = np.uint64(16)  # dropped from a 64-bit hash: tokens have 48 bits
@@ -312,6 +313,22 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(seen_a, pa.int64()), pa.array(seen_b, pa.int64())], names=["a", "b"])
 
 
+def _can_link(n: Column, k: Column, m: Column, j: Column, percent: int) -> Column:
+    """Bound for sets of n and m tokens, of which k and j occur elsewhere at all."""
+    most = F.least(k, j)
+    return (percent * F.greatest(n, m) <= 100 * F.least(n, m)) & (100 * most >= percent * (n + m - most))
+
+
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(signature, set_id, n, k) of sets that can link with some member of the bucket, by its least size."""
+    k = F.floor(F.octet_length("tokens") / 6)
+    rows = sets.select("set_id", F.col("n_shingles").alias("n"), k.alias("k"), F.explode("signatures").alias("signature"))
+    least = rows.groupBy("signature").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # a partner has at least so many tokens; the larger it is, the more must be common
+    partner = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+    return rows.join(least, "signature").filter(100 * F.col("k") >= percent * (F.col("n") + partner - F.col("k"))).select("signature", "set_id", "n", "k")
+
+
 def _labelled(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     # postings with the component of their set, only of buckets with more than one component
     if roots is None:
@@ -322,23 +339,39 @@ def _labelled(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     return out.join(mixed.filter("_lo <> _hi").drop("_lo", "_hi"), "signature")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    one = sets.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("n"), F.col("tokens").alias("x"))
+    two = sets.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("m"), F.col("tokens").alias("y"))
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y")
+    return rows.mapInArrow(partial(_verify, percent=percent), "a long, b long")
+
+
 def _star(labelled: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
     """Links between each set and one representative: of those of its buckets, the most frequent."""
-    chosen = labelled.groupBy("signature").agg(F.min_by(F.struct("set_id", "root"), F.xxhash64("set_id", F.lit(turn))).alias("_r"))
-    pairs = labelled.join(chosen, "signature").filter(F.col("_r.root") != F.col("root"))
+    chosen = labelled.groupBy("signature").agg(F.min_by(F.struct("set_id", "root", "n", "k"), F.xxhash64("set_id", F.lit(turn))).alias("_r"))
+    pairs = labelled.join(chosen, "signature").filter(
+        (F.col("_r.root") != F.col("root")) & _can_link(F.col("n"), F.col("k"), F.col("_r.n"), F.col("_r.k"), percent)
+    )
     best = (
-        pairs.groupBy(F.col("set_id").alias("a"), F.col("_r.set_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+        pairs.groupBy(F.col("set_id").alias("a"), F.col("_r.set_id").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+        .groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
     )
-    one = sets.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("n"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("m"), F.col("tokens").alias("y"))
-    rows = best.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y")
-    return rows.mapInArrow(partial(_verify, percent=percent), "a long, b long")
+    return _verified(best, sets, percent)
 
 
 def _complete(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of different components of a bucket. A large bucket is cut into blocks;
-    each pair of blocks is one task's work."""
+    """Links between sets of different components of a bucket, all of them.
+
+    Small buckets name their pairs, each of which is verified once however many buckets it is in.
+    A large bucket is cut into blocks; each pair of blocks is one task's work.
+    """
+    small = labelled.filter(F.col("members") <= NAMED_PAIRS)
+    a, b = small.alias("a"), small.alias("b")
+    named = a.join(
+        b,
+        (F.col("a.signature") == F.col("b.signature")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.root") != F.col("b.root"))
+        & _can_link(F.col("a.n"), F.col("a.k"), F.col("b.n"), F.col("b.k"), percent),
+    ).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
     # block i meets block j: side 0 and 1, or 2 where i = j
@@ -349,9 +382,11 @@ def _complete(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side"),
         ),
     )
-    rows = labelled.select("signature", "set_id", "root", F.explode(pairs).alias("p")).select("signature", "set_id", "root", "p.*")
+    large = labelled.filter(F.col("members") > NAMED_PAIRS)
+    rows = large.select("signature", "set_id", "root", F.explode(pairs).alias("p")).select("signature", "set_id", "root", "p.*")
     rows = rows.join(sets.select("set_id", "n_shingles", "tokens"), "set_id")
-    return rows.groupBy("signature", "i", "j").applyInArrow(lambda t: _compare(t, percent), "a long, b long")
+    compared = rows.groupBy("signature", "i", "j").applyInArrow(lambda t: _compare(t, percent), "a long, b long")
+    return _verified(named, sets, percent).unionByName(compared)
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -385,7 +420,9 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     one = held.join(keys, "set_id").filter(F.struct(F.col("doc_id").isNull(), "doc_id") == F.col("_first"))
     one.select("set_id", "n_shingles", "tokens", "signatures").dropDuplicates(["set_id"]).write.parquet(path)
     sets = spark.read.parquet(path)
-    postings = sets.select("set_id", F.explode("signatures").alias("signature"))
+    path = new_folder(spark, "shingle-postings")
+    _postings(sets, percent).write.parquet(path)
+    postings = spark.read.parquet(path)
     roots, found = None, None
     for turn in (0, 1, 2):  # two rounds with representatives, then all that is left
         labelled = _labelled(postings, roots)
