@@ -33,8 +33,8 @@ from corpusqa.session import new_folder
 
 SHINGLE_WORDS = 5
 PERCENT = 75  # link when 100 * intersection >= PERCENT * union
-CHUNK_BYTES = 24 << 20  # text of one chunk
-SLICE_BYTES = 16 << 20  # text whose tokens fill one slice of the token universe
+CHUNK_BYTES = 8 << 20  # text of one chunk
+SLICE_BYTES = 8 << 20  # text whose tokens fill one slice of the token universe
 # Class k = 2 and k = 3 tokens: at least so many sets hold them.
 CLASS_FROM = (64, 4096)
 # Sets of fewer tokens use single tokens only: their prefixes have no room for combinations.
