@@ -35,20 +35,20 @@ HOT_GRAMS = 1 << 16
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(number, ids, null flags, bytes, offsets) of runs of documents of about CHUNK_BYTES."""
+    """(number, other columns, bytes, offsets) of runs of documents of about CHUNK_BYTES."""
     task = TaskContext.get().partitionId() << 24
     held, size, number = [], 0, 0
 
     def join() -> tuple:
-        lengths = np.concatenate([np.diff(h[3]) for h in held])
+        lengths = np.concatenate([np.diff(h[2]) for h in held])
         offsets = np.concatenate([[0], np.cumsum(lengths)])
-        return task + number, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), offsets
+        return task + number, pa.Table.from_batches([h[0] for h in held]), np.concatenate([h[1] for h in held]), offsets
 
     for batch in batches:
-        data, offsets = tb.flat(batch.column(1))
+        data, offsets = tb.flat(batch.column(0))
+        rest = batch.select(range(1, batch.num_columns))
         for lo, hi in tb.spans(offsets, CHUNK_BYTES // 4):
-            ids = batch.column(0).slice(lo, hi - lo)
-            held.append((ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False), data[offsets[lo] : offsets[hi]].copy(), offsets[lo : hi + 1] - offsets[lo]))
+            held.append((rest.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]].copy(), offsets[lo : hi + 1] - offsets[lo]))
             size += int(offsets[hi] - offsets[lo])
             if size >= CHUNK_BYTES:
                 yield join()
@@ -63,7 +63,7 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _hot(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
-    for _, _, _, data, offsets in _chunks(batches):
+    for _, _, data, offsets in _chunks(batches):
         _, _, first, codes = _codes(data, offsets)
         grams = np.sort(tb.windows(codes, first, gram)[0])
         heads = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
@@ -83,10 +83,10 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def _send(batches: Iterator[pa.RecordBatch], buckets: int, hot, size: int, gram: int) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     last = hot.value
-    for number, ids, nulls, data, offsets in _chunks(batches):
+    for number, rest, data, offsets in _chunks(batches):
         starts, ends, first, codes = _codes(data, offsets)
         hashes, counts = tb.windows(codes, first, size)
-        doc = np.repeat(np.arange(len(ids)), counts)
+        doc = np.repeat(np.arange(len(counts)), counts)
         word = tb.ragged(first[:-1], counts)  # first word of each window
         order = np.argsort(hashes, kind="stable")
         new = np.ones(len(hashes), bool)
@@ -96,7 +96,7 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, hot, size: int, gram:
         marked = np.zeros(len(hashes), bool)
         marked[order] = np.repeat(repeats > 1, repeats)
         sent = np.sort(order[heads])
-        out = [(int(number % buckets), 0, _members(pack, ids, nulls, data, offsets, marked))]
+        out = [(int(number % buckets), 0, _members(pack, rest, data, offsets, marked))]
         if len(sent):
             grams = tb.windows(codes, np.array([0, len(codes)]), gram)[0]  # those across documents are in no window
             grams = (grams >> np.uint64(1)) | (np.isin(grams, last).astype(np.uint64) << np.uint64(63))
@@ -126,9 +126,13 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, hot, size: int, gram:
             )
 
 
-def _members(pack, ids, nulls, data, offsets, marked) -> bytes:
-    body = [len(ids), len(marked)]
-    return pack.compress(b"".join([np.array(body, np.int64).tobytes(), ids.tobytes(), np.diff(offsets).astype(np.int64).tobytes(), nulls.tobytes(), np.packbits(marked).tobytes(), data.tobytes()]))
+def _members(pack, rest: pa.Table, data: np.ndarray, offsets: np.ndarray, marked: np.ndarray) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rest.schema) as writer:
+        writer.write_table(rest)
+    other = sink.getvalue()
+    head = np.array([len(offsets) - 1, len(marked), other.size], np.int64)
+    return pack.compress(b"".join([head.tobytes(), np.diff(offsets).astype(np.int64).tobytes(), np.packbits(marked).tobytes(), other, data.tobytes()]))
 
 
 def _answer(table: pa.Table, size: int) -> pa.Table:
@@ -177,18 +181,16 @@ def _answer(table: pa.Table, size: int) -> pa.Table:
     )
 
 
-def _remove(table: pa.Table, size: int) -> pa.Table:
+def _remove(table: pa.Table, size: int, leave_clean: bool) -> pa.Table:
     """For one chunk: its documents without the words of repeated windows."""
     kinds, blobs = table["kind"].to_pylist(), table["data"].to_pylist()
     raw = zstandard.ZstdDecompressor().decompress(next(b for k, b in zip(kinds, blobs, strict=True) if k == 0))
-    n, total = np.frombuffer(raw, np.int64, 2)
-    n, total = int(n), int(total)
-    ids, lengths = np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.int64, n, 16 + 8 * n)
-    at = 16 + 16 * n
-    nulls = np.frombuffer(raw, bool, n, at)
-    bits = -(-total // 8)
-    marked = np.unpackbits(np.frombuffer(raw, np.uint8, bits, at + n), count=total).astype(bool)
-    data = np.frombuffer(raw, np.uint8, -1, at + n + bits)
+    n, total, other = np.frombuffer(raw, np.int64, 3).tolist()
+    lengths = np.frombuffer(raw, np.int64, n, 24)
+    at, bits = 24 + 8 * n, -(-total // 8)
+    marked = np.unpackbits(np.frombuffer(raw, np.uint8, bits, at), count=total).astype(bool)
+    rest = pa.ipc.open_stream(pa.py_buffer(raw).slice(at + bits, other)).read_all()
+    data = np.frombuffer(raw, np.uint8, -1, at + bits + other)
     change = np.zeros(total + 1, np.int32)
     for k, b in zip(kinds, blobs, strict=True):
         if k == 1:
@@ -219,29 +221,36 @@ def _remove(table: pa.Table, size: int) -> pa.Table:
         tail = np.cumsum(width)
         text[tail - 1] = 0x20
         sizes = np.concatenate([[0], tail])[np.concatenate([[0], np.cumsum(n_kept)])]
-        view = memoryview(text)
-        kept += [bytes(view[a : max(a, z - 1)]) for a, z in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
-    return pa.Table.from_arrays(
-        [pa.array(ids, pa.int64(), mask=nulls), pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.binary()).cast(pa.string())],
-        names=["doc_id", "n_words", "n_removed", "kept_text"],
-    )
+        view, whole = memoryview(text), memoryview(part)
+        rows = [bytes(view[a : max(a, z - 1)]) for a, z in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
+        if leave_clean:
+            own = (offsets[lo : hi + 1] - offsets[lo]).tolist()
+            rows = [r if gone else bytes(whole[a:z]) for r, gone, a, z in zip(rows, (words > n_kept).tolist(), own[:-1], own[1:], strict=True)]
+        kept += rows
+    new = [pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.binary()).cast(pa.string())]
+    return pa.Table.from_arrays([*rest.columns, *new], names=[*rest.schema.names, "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) for every row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = (), leave_clean: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text, and the columns ``keep``) for every row of ``docs`` (doc_id, text).
 
     Every word is removed that a window covers whose words also start anywhere else, in the same
-    document included; ``kept_text`` joins the others by one space. A null text has no words;
+    document included; ``kept_text`` joins the others by one space; with ``leave_clean`` a text
+    that loses no word stays as it is. A null text has no words;
     a text of fewer than ``size`` words stays. Null and repeated ids keep their rows, as no step
     uses the id. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    text = F.col("text").cast("string").alias("text")
+    rest = [F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]]
+    rows = docs.select(text, *rest)
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    seen = texts.mapInArrow(partial(_hot, gram=gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    seen = rows.select("text").mapInArrow(partial(_hot, gram=gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = seen.orderBy(F.col("n").desc(), "gram").limit(HOT_GRAMS).select("gram").toArrow()["gram"].to_numpy()
     hot = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
-    sent = texts.mapInArrow(partial(_send, buckets=buckets, hot=hot, size=size, gram=gram), "bucket int, chunk long, kind int, data binary")
+    sent = rows.mapInArrow(partial(_send, buckets=buckets, hot=hot, size=size, gram=gram), "bucket int, chunk long, kind int, data binary")
     answers = sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, size), "chunk long, kind int, data binary")
-    return answers.groupBy("chunk").applyInArrow(lambda t: _remove(t, size), "doc_id long, n_words long, n_removed long, kept_text string")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    out = answers.groupBy("chunk").applyInArrow(lambda t: _remove(t, size, leave_clean), f"{kinds}, n_words long, n_removed long, kept_text string")
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])
