@@ -26,7 +26,7 @@ from corpusqa.llm import textbytes as tb
 
 WINDOW = 35
 GRAM = 4
-CHUNK_BYTES = 8 << 20  # text of one chunk
+CHUNK_BYTES = 6 << 20  # text of one chunk
 BUCKET_BYTES = 4 << 20  # input text for each bucket; about three times that arrives
 # Grams that a chunk holds so often are reported; the HOT_GRAMS most frequent of them are
 # ordered last. That is only the order of the minimisers: any order gives the same result.
@@ -99,7 +99,11 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, hot, size: int, gram:
         out = [(int(number % buckets), 0, _members(pack, rest, data, offsets, marked))]
         if len(sent):
             grams = tb.windows(codes, np.array([0, len(codes)]), gram)[0]  # those across documents are in no window
-            grams = (grams >> np.uint64(1)) | (np.isin(grams, last).astype(np.uint64) << np.uint64(63))
+            if len(last):
+                hot_ones = last[np.minimum(np.searchsorted(last, grams), len(last) - 1)] == grams
+                grams = (grams >> np.uint64(1)) | (hot_ones.astype(np.uint64) << np.uint64(63))
+            else:
+                grams = grams >> np.uint64(1)
             least = _sliding_min(grams, size - gram + 1)[word[sent]]
             begin = np.flatnonzero(np.concatenate([[True], (sent[1:] != sent[:-1] + 1) | (doc[sent][1:] != doc[sent][:-1]) | (least[1:] != least[:-1])]))
             stop = np.concatenate([begin[1:], [len(sent)]]) - 1
