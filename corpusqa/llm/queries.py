@@ -82,3 +82,106 @@ kept AS (
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
 FROM kept
 """
+
+
+@query
+def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpusqa.llm.bitpack import token_files
+    from corpusqa.llm.encoding import read_vocabulary
+
+    content = read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files(_table(spark, sf_dir, "documents"), content, end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpusqa.llm.encoding import read_vocabulary
+    from corpusqa.llm.merge_replay import decode_ids, encode_texts
+
+    ranks = read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = encode_texts(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode_ids(encoded, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query
+def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpusqa.llm.encoding import read_vocabulary
+    from corpusqa.llm.slack_packing import pack_sequences
+
+    return pack_sequences(_table(spark, sf_dir, "documents"), read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op4_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusqa.llm.ppm_language import identify
+
+    return identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op5_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusqa.llm.grid_order_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op5_grid_order_join"] = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+valid AS (
+  SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM vectors
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM valid a JOIN valid b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
+reach AS (
+  SELECT vec_id AS node, vec_id AS low FROM vectors
+  UNION
+  SELECT l.y, r.low FROM reach r JOIN links l ON l.x = r.node WHERE r.low < l.y),
+roots AS (SELECT node, min(low) AS low FROM reach GROUP BY 1),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY 1)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, r.low AS component_id, v.vec_id = r.low AS kept
+FROM vectors v JOIN roots r ON r.node = v.vec_id LEFT JOIN counts c ON c.x = v.vec_id
+"""
+
+
+@query
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusqa.llm.learned_partitions import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusqa.llm.perspectives import rotate_perspectives
+
+    return rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
+SQL["op9_perspective_rotation"] = r"""
+WITH messages AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+parties AS (SELECT DISTINCT conv_id, role AS perspective FROM messages WHERE role IS NOT NULL AND role <> 'system'),
+views AS (
+  SELECT m.*, p.perspective, coalesce(m.role = p.perspective, false) AS trained,
+    CASE WHEN m.role = p.perspective THEN '<|assistant|>' || chr(10) WHEN m.role = 'system' THEN '<|system|>' || chr(10)
+      ELSE '<|user name=' || coalesce(m.role, 'unknown') || '|>' || chr(10) END AS head
+  FROM messages m JOIN parties p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+sized AS (SELECT *, length(head) + length(text) + length('<|end|>') + 1 AS size FROM views),
+placed AS (
+  SELECT *, row_number() OVER w AS position, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST))
+SELECT conv_id, perspective, position, turn, CASE WHEN trained THEN 'assistant' ELSE coalesce(role, 'unknown') END AS speaker, trained,
+  head || text || '<|end|>' || chr(10) AS segment, CAST(start AS BIGINT) AS start,
+  CASE WHEN trained THEN CAST(start + length(head) AS BIGINT) END AS mask_start,
+  CASE WHEN trained THEN CAST(start + size AS BIGINT) END AS mask_end
+FROM placed
+"""
