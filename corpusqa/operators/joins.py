@@ -136,24 +136,36 @@ def number_rows(
     return out.select(*df.columns, number.alias(name))
 
 
-def running_total(
-    df: DataFrame,
-    value: str,
-    order_by: Sequence[Column],
-    group_by: Sequence[str] = (),
-    name: str = "total_before",
+def running_totals(
+    df: DataFrame, totals: dict[str, str], order_by: Sequence[Column], group_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Sum of ``value`` over all earlier rows of the group, without a window over it."""
+    """For each new column of ``totals`` the sum of its value column over all earlier rows of the
+    group, without a window over it."""
     placed = _placed(df, group_by, order_by)
-    summary = placed.groupBy("_part", *group_by).agg(F.sum(value).alias("_total"))
-    out = _with_summary(placed, _before(summary, group_by, "_total"), group_by)
+    summary = placed.groupBy("_part", *group_by).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
+    earlier = Window.partitionBy(*group_by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = summary.select(
+        "_part", *group_by, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in totals]
+    )
+    out = _with_summary(placed, before, group_by)
     inside = (
         Window.partitionBy("_part", *group_by)
         .orderBy("_at")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    total = F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))
-    return out.select(*df.columns, total.alias(name))
+    sums = [(F.col(f"_before_{n}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(n) for n, v in totals.items()]
+    return out.select(*df.columns, *sums)
+
+
+def running_total(
+    df: DataFrame,
+    value: str,
+    order_by: Sequence[Column],
+    group_by: Sequence[str] = (),
+    name: str = "total_before",
+) -> DataFrame:
+    """``running_totals`` of one column."""
+    return running_totals(df, {name: value}, order_by, group_by)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
