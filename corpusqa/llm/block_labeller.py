@@ -35,6 +35,7 @@ PATH_BUCKETS = 512
 WORD_BUCKETS = 16
 MEASURES = 6
 BATCH_PAGES = 128
+PATH_ELEMENTS = 64  # innermost open elements that a path tells, where markup nests deeper
 
 # Fixed lists: elements and names of pages, in plain words.
 SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "head")
@@ -69,7 +70,7 @@ EXTRAS = (
 )
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED[:-1]) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!?(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED[:-1]) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -89,14 +90,14 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     linked, links = 0, 0
-    hidden = 0  # depth of open head elements
+    hidden = False  # inside a head
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block(tuple(stack[-PATH_ELEMENTS:]), text, linked))
             held.clear()
         linked = 0
 
@@ -108,17 +109,14 @@ def blocks(page: str) -> list[Block]:
                 if links:
                     linked += len(text)
             continue
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"] is None or m["raw"].lower() != "title":
-                continue
+        if m["tag"] is None:  # a comment, a declaration or an element that is skipped whole
             continue
-        tag = tag.lower()
+        tag = m["tag"].lower()
         if m["end"]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag == "head":
-                hidden = 0
+                hidden = False
             elif tag in INLINE or tag in VOID:
                 if tag == "br":
                     held.append(" ")
@@ -132,9 +130,9 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             links += 1
         elif tag == "head":
-            hidden = 1
-        elif tag == "body":
-            hidden = 0
+            flush()
+            hidden = True
+            continue
         if tag in INLINE:
             continue
         if tag in VOID:
@@ -144,7 +142,7 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         flush()
-        links = 0
+        links, hidden = 0, False
         if stack and stack[-1][0] == "p":
             stack.pop()  # a paragraph ends where another block begins
         for i in range(len(stack) - 1, -1, -1):

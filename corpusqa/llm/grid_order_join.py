@@ -18,7 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.llm.components import components
@@ -33,14 +33,16 @@ RUN = 128  # classes compared at once inside a task
 FAN = 16  # intervals or runs in one of the next level
 
 
-def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of rows with an id and a vector of finite components, not all zero."""
-    v = F.col("embedding").cast("array<double>")
-    finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    v = F.col("v")
+def is_valid(vec_id: Column, v: Column) -> Column:
+    """An id, and a vector of finite components that are not all zero."""
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(finite & F.exists(v, lambda x: x != 0))
+    return F.coalesce(vec_id.isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def valid_vectors(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v) of the valid rows."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return rows.filter(is_valid(F.col("vec_id"), F.col("v")))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -280,11 +282,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     if result is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     joined = valid.join(result, "v").select("vec_id", "n_links", "component_id")
-    lone = rows.filter(~_is_valid()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    lone = rows.filter(~is_valid(F.col("vec_id"), F.col("embedding"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-
-
-def _is_valid():
-    v = F.col("embedding")
-    ok = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return F.coalesce(F.col("vec_id").isNotNull() & v.isNotNull() & ok, F.lit(False))

@@ -64,8 +64,9 @@ def train(texts: dict[str, list[bytes]]) -> Model:
         g, c = np.unique(np.concatenate(codes), return_counts=True)
         grams.append(g)
         counts.append(c)
-    every = np.concatenate(grams) // SYMBOLS
-    weight = np.concatenate(counts)
+    none = np.zeros(0, np.int64)
+    every = np.concatenate([none, *grams]) // SYMBOLS
+    weight = np.concatenate([none, *counts])
     triples, spot = np.unique(every, return_inverse=True)
     often = np.bincount(spot, weights=weight, minlength=len(triples))
     triples = np.sort(triples[np.argsort(-often, kind="stable")[:MAX_CONTEXTS]])
