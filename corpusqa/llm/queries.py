@@ -119,6 +119,13 @@ def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(_table(spark, sf_dir, "documents"), read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+@query
+def op3_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusqa.llm.block_labeller import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op4_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusqa.llm.ppm_language import identify
