@@ -158,8 +158,11 @@ def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, bytes_per_language
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
         "lang is not null and doc_id is not null and text is not null and text <> ''"
     ).filter(~held_out(F.col("doc_id")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = top_per_key(labelled.select("lang", "doc_id").distinct(), ["lang"], order, docs_per_language).select("lang", "doc_id")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # a row for each language; a few times the wanted number of ids pass, however many there are
+    counts = F.broadcast(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    near = labelled.join(counts, "lang").filter(place * F.col("n") <= 4.0 * docs_per_language * (1 << 30)).select("lang", "doc_id").distinct()
+    chosen = top_per_key(near, ["lang"], [place, F.col("doc_id")], docs_per_language).select("lang", "doc_id")
     # at most docs_per_language rows for each language
     rows = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", F.expr(f"left(text, {bytes_per_language})").alias("text"))
     texts: dict[str, list[bytes]] = {}

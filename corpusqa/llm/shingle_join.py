@@ -202,11 +202,12 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, size: int, percent: int =
     out: set[int] = set()
     for b in (band - 1, band):
         low = _BAND**b  # smaller set of a pair in this band has at least so many tokens
-        if low < SMALL_SET:
+        groups = int(low * (100 - percent) / 200) + 2  # spreads a class, so that combinations stay few
+        # a group of a class gives k - 1 tokens less than it takes: there must be room for that
+        if low < SMALL_SET or low * percent / 100 < 3 * groups + 1:
             out.update(tb.mix(tokens[:need] + np.uint64(1)).tolist())
             continue
         kinds = _classes(counts)
-        groups = int(low * (100 - percent) / 200) + 2  # spreads a class, so that combinations stay few
         got, taken = 0, {}
         for t, k in zip(tokens.tolist(), kinds.tolist(), strict=True):
             if k == 1:
