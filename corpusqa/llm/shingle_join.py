@@ -411,6 +411,7 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     link with nothing and are their own component. A null doc_id keeps its row; it never names
     a component unless all its members are null. Rows that repeat an id are documents of
     their own. Other columns are ignored; an empty table gives an empty result.
+    A task that is run again must meet its rows in the same order: hand over a stored table.
     """
     stored = shingle_sets(docs, words, percent)
     held = stored.filter("own and signatures is not null")

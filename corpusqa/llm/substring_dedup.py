@@ -243,6 +243,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, keep:
     that loses no word stays as it is. A null text has no words;
     a text of fewer than ``size`` words stays. Null and repeated ids keep their rows, as no step
     uses the id. Other columns are ignored; an empty table gives an empty result.
+    A task that is run again must meet its rows in the same order: hand over a stored table.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string").alias("text")
