@@ -132,6 +132,7 @@ def write_token_files(docs: DataFrame, content: bytes, path: str, end_id: int, v
     only; null ids come first; rows that repeat an id follow one another.
     """
     spark = docs.sparkSession
+    tb.small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     ordered = texts.repartitionByRange(max(1, -(-total // SHARD_BYTES)), "doc_id").sortWithinPartitions("doc_id", "text")

@@ -451,6 +451,7 @@ def extract_main_text(pages: DataFrame, labeller: Labeller | None = None) -> Dat
     learned from); other columns are ignored; an empty table gives an empty result.
     """
     labeller = fit(pages) if labeller is None else labeller
+    tb.small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(labeller)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     out = rows.mapInArrow(partial(_extract, labeller=sent), "page_id long, url string, text string, n_blocks long, n_kept long")

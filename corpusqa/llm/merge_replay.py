@@ -140,6 +140,7 @@ def encode_texts(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     special tokens. A null or empty text has no ids. Null and repeated doc_ids keep their rows;
     other columns are ignored; an empty table gives an empty result.
     """
+    tb.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(_content(pattern, ranks))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(partial(_encode, content=sent), "doc_id long, n_tokens long, ids binary")
@@ -168,5 +169,6 @@ def _decode(batches: Iterator[pa.RecordBatch], content) -> Iterator[pa.RecordBat
 
 def decode_ids(encoded: DataFrame, ranks: bytes) -> DataFrame:
     """``encoded`` (doc_id, n_tokens, ids) with ``decoded``: the bytes that the ids stand for."""
+    tb.small_batches(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(partial(_decode, content=sent), "doc_id long, n_tokens long, ids binary, decoded binary")

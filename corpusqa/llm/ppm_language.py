@@ -185,6 +185,7 @@ def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...]
     ids keep their rows; other columns are ignored; an empty table gives an empty result.
     """
     model = fit(docs) if model is None else model
+    tb.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("_letters"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])

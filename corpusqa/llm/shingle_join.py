@@ -393,6 +393,7 @@ def _complete(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """Steps 1 to 3: a stored row for each document with its set size, set id and signatures."""
     spark = docs.sparkSession
+    tb.small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     slices = max(1, -(-total // SLICE_BYTES))

@@ -148,6 +148,7 @@ def pack_sequences(docs: DataFrame, content: bytes, size: int = SIZE, end_id: in
     ignored; an empty table gives an empty result. Sequence ids run from 0 without gaps.
     """
     spark = docs.sparkSession
+    tb.small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = spark.sparkContext.broadcast(content)
     path = new_folder(spark, "pieces")

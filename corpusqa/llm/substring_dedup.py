@@ -246,6 +246,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, keep:
     A task that is run again must meet its rows in the same order: hand over a stored table.
     """
     spark = docs.sparkSession
+    tb.small_batches(spark)
     text = F.col("text").cast("string").alias("text")
     rest = [F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]]
     rows = docs.select(text, *rest)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 # Words are runs of bytes other than these (fixed by the contract of the operators).
 SPACES = np.zeros(256, dtype=bool)
@@ -17,6 +18,19 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most BATCH_BYTES (or one row): a session setting.
+
+    Spark's own bound allows 64 MB, of which a task holds several copies.
+    """
+    if int(str(spark.conf.get(_BATCH, "67108864b")).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
