@@ -417,6 +417,7 @@ _PARTS = 4 << 20
 
 
 def _extract(batches: Iterator[pa.RecordBatch], labeller) -> Iterator[pa.RecordBatch]:
+    tb.make_room()
     model: Labeller = labeller.value
     for batch in batches:
         data, offsets = tb.flat(batch.column(2))

@@ -98,6 +98,7 @@ def library_encoder(content: bytes) -> StretchEncoder:
 
 
 _KEPT: dict[tuple, StretchEncoder] = {}
+tb.CACHES.append(_KEPT.clear)
 
 
 def kept_encoder(content: bytes, make: Callable[[bytes], StretchEncoder] = library_encoder) -> StretchEncoder:

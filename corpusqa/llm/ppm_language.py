@@ -126,6 +126,7 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    tb.make_room()
     m: Model = model.value
     names = np.array([*m.languages, UNKNOWN], dtype=object)
     for batch in batches:

@@ -94,6 +94,7 @@ _OUT = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int3
 
 def _send(batches: Iterator[pa.RecordBatch], slices: int, words: int) -> Iterator[pa.RecordBatch]:
     """Step 1. A set that the task has met before is listed as a copy and sends no tokens."""
+    tb.make_room()
     task = TaskContext.get().partitionId() << 24
     seen: set[int] = set()
     held: list[tuple] = []
@@ -137,6 +138,7 @@ def _send(batches: Iterator[pa.RecordBatch], slices: int, words: int) -> Iterato
             if size >= CHUNK_BYTES:
                 yield flush()
                 held, size, chunk = [], 0, chunk + 1
+                tb.trim()
     if held:
         yield flush()
 
@@ -161,6 +163,7 @@ def _unblob(raw: bytes, counted: bool = False) -> tuple[np.ndarray, np.ndarray,
 
 def _answer(table: pa.Table) -> pa.Table:
     """Step 2, for one slice: tokens with their number of sets, where that is over one."""
+    tb.make_room()
     chunks, kinds, blobs = table["chunk"].to_pylist(), table["kind"].to_pylist(), table["data"].to_pylist()
     out = [(c, 0, b) for c, k, b in zip(chunks, kinds, blobs, strict=True) if k == 0]
     sent = [(c, *_unblob(b)[:2]) for c, k, b in zip(chunks, kinds, blobs, strict=True) if k == 1]
@@ -235,6 +238,7 @@ _SET_TYPE = "doc_id long, n_shingles long, set_id long, own boolean, tokens bina
 
 def _order(table: pa.Table, percent: int) -> pa.Table:
     """Step 3, for one chunk: a row for each document, with signatures where it can link."""
+    tb.make_room()
     kinds, blobs = table["kind"].to_pylist(), table["data"].to_pylist()
     raw = next(b for k, b in zip(kinds, blobs, strict=True) if k == 0)
     n = int.from_bytes(raw[:8], "little")

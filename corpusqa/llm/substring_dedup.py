@@ -36,6 +36,7 @@ HOT_GRAMS = 1 << 16
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(number, other columns, bytes, offsets) of runs of documents of about CHUNK_BYTES."""
+    tb.make_room()
     task = TaskContext.get().partitionId() << 24
     held, size, number = [], 0, 0
 
@@ -53,6 +54,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             if size >= CHUNK_BYTES:
                 yield join()
                 held, size, number = [], 0, number + 1
+                tb.trim()
     if held:
         yield join()
 
@@ -141,6 +143,7 @@ def _members(pack, rest: pa.Table, data: np.ndarray, offsets: np.ndarray, marked
 
 def _answer(table: pa.Table, size: int) -> pa.Table:
     """For one bucket: the windows that occur twice or more, as ranges of window numbers."""
+    tb.make_room()
     unpack = zstandard.ZstdDecompressor()
     out, sent = [], []
     for chunk, kind, raw in zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
@@ -187,6 +190,7 @@ def _answer(table: pa.Table, size: int) -> pa.Table:
 
 def _remove(table: pa.Table, size: int, leave_clean: bool) -> pa.Table:
     """For one chunk: its documents without the words of repeated windows."""
+    tb.make_room()
     kinds, blobs = table["kind"].to_pylist(), table["data"].to_pylist()
     raw = zstandard.ZstdDecompressor().decompress(next(b for k, b in zip(kinds, blobs, strict=True) if k == 0))
     n, total, other = np.frombuffer(raw, np.int64, 3).tolist()

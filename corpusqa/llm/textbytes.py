@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,24 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
 
+# What workers keep beyond a task is emptied by these.
+CACHES: list[Callable[[], None]] = []
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the allocator can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def make_room() -> None:
+    """Free what earlier tasks of this worker keep. Python workers outlive tasks and queries."""
+    for clear in CACHES:
+        clear()
+    trim()
+
+
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
