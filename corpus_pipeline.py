@@ -15,6 +15,7 @@ from corpusqa.llm.ppm_language import UNKNOWN, identify
 from corpusqa.llm.shingle_join import jaccard_components
 from corpusqa.llm.slack_packing import pack_sequences
 from corpusqa.llm.substring_dedup import remove_repeats
+from corpusqa.operators.joins import lookup_join
 from corpusqa.session import new_folder
 
 
@@ -27,9 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies; those without an id stay."""
-    first = jaccard_components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    found = jaccard_components(docs).filter(F.col("doc_id") == F.col("component_id"))
+    path = new_folder(spark, "kept-ids")
+    found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    kept = spark.read.parquet(path)
+    # texts are moved only where the ids are too many to send to them
+    single = lookup_join(docs, kept.filter("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = lookup_join(docs, kept.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A window is ``size`` consecutive words of one document. Its minimiser is the smallest of its
 ``gram``-word hashes, so equal windows have equal minimisers. Consecutive windows with one
 minimiser travel as one packed string to the minimiser's bucket, where sorting the window
-hashes counts every window exactly. All windows are judged on the input.
+hashes counts every window exactly. All windows are judged on the input. Answers go back to the
+chunk of documents they are about, to which a second scan sends the texts.
 
 Hot passages: a chunk of documents counts its own windows first and sends each different one
 once. Grams that are frequent in the corpus are ordered last, so that windows around a
@@ -12,6 +13,7 @@ frequent passage go to buckets of their rare words.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,7 +28,7 @@ from corpusqa.llm import textbytes as tb
 
 WINDOW = 35
 GRAM = 4
-CHUNK_BYTES = 6 << 20  # text of one chunk
+CHUNK_BYTES = 4 << 20  # text of one chunk
 BUCKET_BYTES = 4 << 20  # input text for each bucket; about three times that arrives
 # Grams that a chunk holds so often are reported; the HOT_GRAMS most frequent of them are
 # ordered last. That is only the order of the minimisers: any order gives the same result.
@@ -48,9 +50,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         data, offsets = tb.flat(batch.column(0))
         rest = batch.select(range(1, batch.num_columns))
-        for lo, hi in tb.spans(offsets, CHUNK_BYTES // 4):
+        lo = 0
+        while lo < len(offsets) - 1:
+            # a chunk ends at the row that fills it, wherever batches end
+            hi = min(len(offsets) - 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES - size)))
             held.append((rest.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]].copy(), offsets[lo : hi + 1] - offsets[lo]))
             size += int(offsets[hi] - offsets[lo])
+            lo = hi
             if size >= CHUNK_BYTES:
                 yield join()
                 held, size, number = [], 0, number + 1
@@ -85,7 +91,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def _send(batches: Iterator[pa.RecordBatch], buckets: int, hot, size: int, gram: int) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     last = hot.value
-    for number, rest, data, offsets in _chunks(batches):
+    for number, _, data, offsets in _chunks(batches):
         starts, ends, first, codes = _codes(data, offsets)
         hashes, counts = tb.windows(codes, first, size)
         doc = np.repeat(np.arange(len(counts)), counts)
@@ -98,7 +104,9 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, hot, size: int, gram:
         marked = np.zeros(len(hashes), bool)
         marked[order] = np.repeat(repeats > 1, repeats)
         sent = np.sort(order[heads])
-        out = [(int(number % buckets), 0, _members(pack, rest, data, offsets, marked))]
+        del hashes, order, new
+        # what the chunk knows by itself: its repeated windows
+        out = [(int(number % buckets), 0, _mark(data) + len(marked).to_bytes(8, "little") + np.packbits(marked).tobytes())]
         if len(sent):
             grams = tb.windows(codes, np.array([0, len(codes)]), gram)[0]  # those across documents are in no window
             if len(last):
@@ -132,13 +140,22 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, hot, size: int, gram:
             )
 
 
-def _members(pack, rest: pa.Table, data: np.ndarray, offsets: np.ndarray, marked: np.ndarray) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rest.schema) as writer:
-        writer.write_table(rest)
-    other = sink.getvalue()
-    head = np.array([len(offsets) - 1, len(marked), other.size], np.int64)
-    return pack.compress(b"".join([head.tobytes(), np.diff(offsets).astype(np.int64).tobytes(), np.packbits(marked).tobytes(), other, data.tobytes()]))
+def _mark(data: np.ndarray) -> bytes:
+    # tells whether two scans met the same chunk
+    return zlib.crc32(data).to_bytes(4, "little")
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks themselves: texts and other columns, packed."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for number, rest, data, offsets in _chunks(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest.schema) as writer:
+            writer.write_table(rest)
+        other = sink.getvalue()
+        head = np.array([len(offsets) - 1, other.size], np.int64)
+        raw = _mark(data) + pack.compress(b"".join([head.tobytes(), np.diff(offsets).astype(np.int64).tobytes(), other, data.tobytes()]))
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary())], names=["chunk", "data"])
 
 
 def _answer(table: pa.Table, size: int) -> pa.Table:
@@ -188,17 +205,20 @@ def _answer(table: pa.Table, size: int) -> pa.Table:
     )
 
 
-def _remove(table: pa.Table, size: int, leave_clean: bool) -> pa.Table:
+def _remove(table: pa.Table, texts: pa.Table, size: int, leave_clean: bool) -> pa.Table:
     """For one chunk: its documents without the words of repeated windows."""
     tb.make_room()
     kinds, blobs = table["kind"].to_pylist(), table["data"].to_pylist()
-    raw = zstandard.ZstdDecompressor().decompress(next(b for k, b in zip(kinds, blobs, strict=True) if k == 0))
-    n, total, other = np.frombuffer(raw, np.int64, 3).tolist()
-    lengths = np.frombuffer(raw, np.int64, n, 24)
-    at, bits = 24 + 8 * n, -(-total // 8)
-    marked = np.unpackbits(np.frombuffer(raw, np.uint8, bits, at), count=total).astype(bool)
-    rest = pa.ipc.open_stream(pa.py_buffer(raw).slice(at + bits, other)).read_all()
-    data = np.frombuffer(raw, np.uint8, -1, at + bits + other)
+    own = [b for k, b in zip(kinds, blobs, strict=True) if k == 0]
+    if len(own) != 1 or texts.num_rows != 1 or own[0][:4] != texts["data"][0].as_py()[:4]:
+        raise RuntimeError("the documents came in another order when they were read again: hand over a stored table")
+    total = int.from_bytes(own[0][4:12], "little")
+    marked = np.unpackbits(np.frombuffer(own[0], np.uint8, -1, 12), count=total).astype(bool)
+    raw = zstandard.ZstdDecompressor().decompress(memoryview(texts["data"][0].as_py())[4:])
+    n, other = np.frombuffer(raw, np.int64, 2).tolist()
+    lengths = np.frombuffer(raw, np.int64, n, 16)
+    rest = pa.ipc.open_stream(pa.py_buffer(raw).slice(16 + 8 * n, other)).read_all()
+    data = np.frombuffer(raw, np.uint8, -1, 16 + 8 * n + other)
     change = np.zeros(total + 1, np.int32)
     for k, b in zip(kinds, blobs, strict=True):
         if k == 1:
@@ -259,8 +279,10 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, keep:
     seen = rows.select("text").mapInArrow(partial(_hot, gram=gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = seen.orderBy(F.col("n").desc(), "gram").limit(HOT_GRAMS).select("gram").toArrow()["gram"].to_numpy()
     hot = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
+    # both read the same columns: rows then come in the same order even behind a shuffle
     sent = rows.mapInArrow(partial(_send, buckets=buckets, hot=hot, size=size, gram=gram), "bucket int, chunk long, kind int, data binary")
     answers = sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, size), "chunk long, kind int, data binary")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    out = answers.groupBy("chunk").applyInArrow(lambda t: _remove(t, size, leave_clean), f"{kinds}, n_words long, n_removed long, kept_text string")
+    packed = rows.mapInArrow(_texts, "chunk long, data binary")
+    out = answers.groupBy("chunk").cogroup(packed.groupBy("chunk")).applyInArrow(lambda t, x: _remove(t, x, size, leave_clean), f"{kinds}, n_words long, n_removed long, kept_text string")
     return out.select("doc_id", "n_words", "n_removed", "kept_text", *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])
