@@ -62,9 +62,7 @@ ANSWER_THRESHOLD = 0.4
 OVERLAP_THRESHOLD = 0.4
 LINK_SCORE = 0.5
 LINK_SUPPORT = 10
-KEY_CHARS = 250
 REPORT_CANDIDATES = 10
-PREDICATE_LIMIT = 1_000_000
 
 # Letters folded by the wiki cleaner.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜ"

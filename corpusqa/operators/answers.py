@@ -11,13 +11,15 @@ from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
 from corpusqa.functions.vectors import from_best
 from corpusqa.operators import embeddings as em
-from corpusqa.operators.joins import first_per_key, lookup_join, number_rows
+from corpusqa.operators.joins import first_per_key, holds_map, lookup_join, number_rows
 from corpusqa.operators.neighbors import nearest_neighbors
 from corpusqa.operators.questions import analyze_questions
 from corpusqa.operators.search import Index, build_index, find, find_terms
 from corpusqa.session import settle
 
 SNIPPET_KEYS = ("id", "offset")
+# Folders of stored snippets.
+SNIPPET_PARTS = 64
 
 
 def extract(
@@ -77,14 +79,30 @@ def candidates_baseline(
     return candidate_text(out, snippets) if with_text else out
 
 
-def candidate_text(candidates: DataFrame, snippets: DataFrame, keys: Sequence[str] = SNIPPET_KEYS) -> DataFrame:
-    """Candidates with the header and text of their snippet.
+def candidate_text(
+    candidates: DataFrame, snippets: DataFrame, keys: Sequence[str] = SNIPPET_KEYS, topics: bool = False
+) -> DataFrame:
+    """Candidates with the header and text of their snippet; ``topics`` as for vector candidates.
 
     The candidates are stored and measured: while they are few they go to the snippets, whose
     texts are then not moved at all.
     """
-    texts = snippets.select(*keys, _candidate_text().alias("candidate"))
-    return lookup_join(texts, settle(candidates), list(keys))
+    texts = snippets.select(*keys, *[c for c in snippets.columns if c == "part"], _candidate_text(topics).alias("candidate"))
+    if "part" not in snippets.columns:
+        return lookup_join(texts, settle(candidates), list(keys))
+    placed = settle(candidates.withColumn("part", _snippet_part()))
+    return lookup_join(texts, placed, [*keys, "part"]).drop("part")
+
+
+def _snippet_part() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(SNIPPET_PARTS)).cast("int")
+
+
+def write_snippets(snippets: DataFrame, path: str) -> DataFrame:
+    """Store snippets in folders by a hash of their id: fetching candidates reads only their folders."""
+    rows = snippets.withColumn("part", _snippet_part())
+    rows.repartitionByRange("part", *SNIPPET_KEYS).sortWithinPartitions("part", *SNIPPET_KEYS).write.partitionBy("part").parquet(path)
+    return snippets.sparkSession.read.parquet(path)
 
 
 def candidates_vectors(
@@ -95,8 +113,9 @@ def candidates_vectors(
     use_focus: bool = False,
     n: int = fixed.NEIGHBORS,
     stored: DataFrame | None = None,
+    with_text: bool = False,
 ) -> DataFrame:
-    """Candidate snippets by vector similarity: (qid, id, offset, ranking, rank).
+    """Candidate snippets by vector similarity: (qid, id, offset, ranking, rank[, candidate]).
 
     Snippet vectors are taken from ``stored`` (id, offset, vec) if given, else computed.
 
@@ -118,13 +137,21 @@ def candidates_vectors(
     else:
         items = stored.select(item, "vec")
     found = nearest_neighbors(asked.select(F.col(qid).alias("qid"), "vec"), items, n)
-    return found.select(
+    out = found.select(
         F.col("qid").alias(qid),
         F.regexp_extract("item", r"(?s)^(.*)@([0-9]+)$", 1).alias("id"),
         F.regexp_extract("item", r"(?s)^(.*)@([0-9]+)$", 2).cast("int").alias("offset"),
         F.col("score").alias("ranking"),
         "rank",
     )
+    return candidate_text(out, snippets, topics=True) if with_text else out
+
+
+def snippet_vectors(snippets: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(id, offset, vec): paragraph vectors of snippets, to be stored and handed to later batches."""
+    item = F.struct(*SNIPPET_KEYS).alias("item")
+    vecs = em.paragraph_vector(snippets.select(item, "text"), "item", vocab)
+    return vecs.select("item.*", "vec")
 
 
 def _overlaps(sents: Column, bow: Column) -> Column:
@@ -141,28 +168,15 @@ def _overlaps(sents: Column, bow: Column) -> Column:
     return tx.let(F.array_distinct(bow), of_bag)
 
 
-def _passages(sents: Column, bow: Column, threshold: float) -> Column:
-    scored = _overlaps(sents, bow)
-    run = "struct<passage:string,ranking:double,offset:bigint>"
-    start = F.struct(
-        F.lit(None).cast(run).alias("run"), F.array().cast(f"array<{run}>").alias("done")
+def _hits(sents: Column, bow: Column, threshold: float) -> Column:
+    # sentences above the threshold; those of a run share position minus rank
+    hit = F.filter(
+        F.transform(_overlaps(sents, bow), lambda x, i: F.struct(i.alias("at"), *[x[c].alias(c) for c in ("sentence", "start", "overlap")])),
+        lambda x: x["overlap"] >= threshold,
+    )
+    return F.transform(
+        hit, lambda x, rank: F.struct((x["at"] - rank).alias("_run"), *[x[c].alias(f"_{c}") for c in ("at", "sentence", "start", "overlap")])
     )
-
-    def close(s: Column) -> Column:
-        return F.when(s["run"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["run"])))
-
-    def step(s: Column, x: Column) -> Column:
-        grown = F.struct(
-            F.concat_ws(" ", s["run"]["passage"], x["sentence"]).alias("passage"),
-            (F.coalesce(s["run"]["ranking"], F.lit(1.0)) * x["overlap"]).alias("ranking"),
-            F.coalesce(s["run"]["offset"], x["start"]).alias("offset"),
-        )
-        hit = x["overlap"] >= threshold
-        return F.struct(
-            F.when(hit, grown).alias("run"), F.when(hit, s["done"]).otherwise(close(s)).alias("done")
-        )
-
-    return F.aggregate(scored, start, step, close)
 
 
 def extract_passages(
@@ -174,8 +188,25 @@ def extract_passages(
     sentence is the share of question words it has, the ranking of a run their product.
     """
     rest = [c for c in docs.columns if c not in (bow, text)]
-    found = F.when(F.size(bow) > 0, _passages(tx.located_sentences(F.col(text)), F.col(bow), threshold))
-    return docs.select(*rest, F.inline(found))
+    found = F.when(F.size(bow) > 0, _hits(tx.located_sentences(F.col(text)), F.col(bow), threshold))
+    # rows are told apart by all they hold; equal rows have equal passages
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not holds_map(docs.schema[c].dataType)])
+    copies = docs.withColumn("_row", own).select(*rest, "_row", F.inline(found))
+    runs = copies.groupBy("_row", "_run").agg(
+        F.first(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_rest"),
+        F.array_sort(F.collect_list(F.struct("_at", "_sentence", "_overlap"))).alias("_sents"),
+        F.min("_start").alias("offset"),
+    )
+    # equal rows bring each sentence once more
+    runs = runs.withColumn("_copies", F.size(F.filter("_sents", lambda s: s["_at"] == F.col("_sents")[0]["_at"])))
+    runs = runs.withColumn("_sents", F.array_distinct("_sents"))
+    return runs.select(
+        "_rest.*",
+        F.array_join(F.transform("_sents", lambda s: s["_sentence"]), " ").alias("passage"),
+        F.aggregate("_sents", F.lit(1.0), lambda p, s: p * s["_overlap"]).alias("ranking"),
+        "offset",
+        F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"),
+    ).drop("_copy")
 
 
 def _best_first(tie: Sequence[str]) -> list[Column]:
@@ -190,8 +221,11 @@ def rank_passing(candidates: DataFrame, qid: str = "qid", tie: Sequence[str] = S
 
 def rank_metadata(candidates: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
     """Candidates with module and type of their source document; unknown documents drop out."""
-    meta = docs.select(key, F.col("module").alias("topic"), F.col("type").alias("lecture")).distinct()
-    return lookup_join(candidates, meta, key)
+    candidates = settle(candidates)  # measured and used twice
+    meta = docs.select(key, F.col("module").alias("topic"), F.col("type").alias("lecture"))
+    # the few candidates go to the documents; a document that is there twice counts once
+    wanted = lookup_join(candidates.select(key).distinct(), meta, key).distinct()
+    return lookup_join(candidates, wanted, key)
 
 
 def unmatched_candidates(candidates: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
@@ -236,19 +270,42 @@ def ask_batch(
     text: str = "question",
     use_focus: bool = False,
     threshold: float = fixed.ANSWER_THRESHOLD,
+    extraction: str = "passing",
+    ranking: str = "passing",
+    docs: DataFrame | None = None,
+    docs_index: Index | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Questions in, one answer row per question out.
-
-    Candidates come from full-text search, or from vectors when a vocabulary is given.
-    Only the best candidate's text is fetched.
+    """Questions in, one answer row per question out: (qid, status, answer, ranking, id, offset, topic, lecture).
+
+    Analysis, extraction, candidates, ranking and answer, as the pipeline has them. Candidates
+    come from full-text search, or from vectors when a vocabulary is given (of the snippets, or
+    ``stored`` by ``snippet_vectors``). ``extraction`` finds documents (id, module, type) of
+    ``docs`` by ``docs_index`` for ``ranking="metadata"``, which takes topic and lecture from
+    the documents found and drops other candidates; with ``passing`` extraction it takes
+    them from all ``docs``. Only the best candidate's text is fetched.
     """
     analysed = analyze_questions(questions, gazetteer, qid, text)
     if vocab is None:
         found = candidates_baseline(analysed, snippets, index, qid, use_focus, with_text=False)
     else:
-        found = candidates_vectors(analysed, snippets, vocab, qid, use_focus)
+        found = candidates_vectors(analysed, snippets, vocab, qid, use_focus, stored=stored)
+    if ranking == "metadata":
+        if docs is None:
+            raise ValueError("metadata ranking needs docs")
+        if extraction == "passing":
+            found = rank_metadata(found, docs)
+        else:
+            hits = extract(analysed, docs_index or build_index(docs, ["id"]), extraction, qid)
+            asked = lookup_join(docs.select("id", "module", "type"), hits.select(qid, "id").distinct(), "id")
+            meta = asked.select(qid, "id", F.col("module").alias("topic"), F.col("type").alias("lecture")).distinct()
+            found = lookup_join(found, meta, [qid, "id"])
+    elif ranking == "passing":
+        found = found.withColumn("topic", F.lit("")).withColumn("lecture", F.lit(""))
+    else:
+        raise ValueError(f"unknown ranking {ranking!r}")
     best = select_answer(found, qid, threshold)
-    return classify_outcome(questions, candidate_text(best, snippets), qid)
+    return classify_outcome(questions, candidate_text(best, snippets, topics=vocab is not None), qid, (*SNIPPET_KEYS, "topic", "lecture"))
 
 
 def ask(question: str, snippets: DataFrame, **options: object) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,20 @@ from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
 from corpusqa.functions import vectors as vx
 from corpusqa.operators.joins import lookup_join
-from corpusqa.operators.neighbors import nearest_neighbors, without_excluded
+from corpusqa.operators.neighbors import nearest_neighbors
+
+
+# Text that one training task goes through.
+TRAIN_BYTES = 64 * 1024 * 1024
 
 
 def vector_size(vocab: DataFrame) -> int:
-    row = vocab.select(F.size("vec").alias("n")).first()
-    return row["n"] if row else 0
+    """Length of the vectors; they must all have the same, or no sum over them has a meaning."""
+    known = vocab.filter(F.col("vec").isNotNull())
+    row = known.agg(F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    if row["least"] != row["most"]:
+        raise ValueError(f"vectors have different lengths: {row['least']} to {row['most']}")
+    return row["least"] or 0
 
 
 def contains(words: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -107,11 +117,7 @@ def nearest_words(
     items = _as_items(vocab)
     if include is not None:
         items = items.join(include.select(F.col("word").alias("item")).distinct(), "item", "left_semi")
-    if exclude is None:
-        return nearest_neighbors(queries, items, n)
-    distinct = exclude.select("qid", "item").distinct()
-    most = distinct.groupBy("qid").count().agg(F.max("count").alias("m")).first()["m"] or 0
-    return without_excluded(nearest_neighbors(queries, items, n + most), distinct, n)
+    return nearest_neighbors(queries, items, n, exclude=exclude)
 
 
 def distance(groups: DataFrame, key: str, words: str, vocab: DataFrame, n: int = fixed.NEIGHBORS) -> DataFrame:
@@ -196,17 +202,25 @@ def near_words_text(docs: DataFrame, key: str, vocab: DataFrame, text: str = "te
 
 
 def vectorize(docs: DataFrame, key: str, models: Mapping[str, DataFrame], text: str = "text") -> DataFrame:
-    """(key, vectors): per document the vector of each named model, as a map."""
-    parts = [
-        paragraph_vector(docs, key, vocab, text).select(key, F.lit(name).alias("model"), "vec")
-        for name, vocab in models.items()
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    """(key, vectors): per document the vector of each named model, as a map.
+
+    Documents are read and tokenised once; the words of all models are one lookup table.
+    """
+    dims = {name: vector_size(vocab) for name, vocab in models.items()}
+    most = max(dims.values(), default=0)
+    words = docs.select(key, F.explode_outer(tx.words(F.col(text))).alias("word"))
+    asked = words.select(key, "word", F.explode(F.array(*[F.lit(name) for name in models])).alias("model"))
+    every = None
+    for name, vocab in models.items():
+        part = vocab.select("word", F.lit(name).alias("model"), "vec")
+        every = part if every is None else every.unionByName(part)
+    found = lookup_join(asked, every, ["word", "model"], "left")
+    sums = found.groupBy(key, "model").agg(F.count("word").alias("_n"), *vx.sums(F.col("vec"), most))
+    size = F.create_map(*[F.lit(x) for name, n in dims.items() for x in (name, n)])[F.col("model")]
+    mean = vx.scale_down(F.slice(vx.gather(most), F.lit(1), size), F.col("_n").cast("double"))
     # one entry per named model
-    entries = F.collect_list(F.struct("model", "vec"))
-    return every.groupBy(key).agg(F.map_from_entries(F.array_sort(entries)).alias("vectors"))
+    entries = F.collect_list(F.struct("model", mean.alias("vec")))
+    return sums.groupBy(key).agg(F.map_from_entries(F.array_sort(entries)).alias("vectors"))
 
 
 def unvectorize(docs: DataFrame, column: str = "vectors") -> DataFrame:
@@ -224,31 +238,40 @@ def train_embeddings(
     seed: int = 42,
     path: str | None = None,
     name: str = "model",
+    partitions: int | None = None,
     **other: object,
 ) -> DataFrame:
     """Train word vectors with Spark ML and return the vocabulary (word, vec).
 
     With ``path`` the model is stored under a name that holds its parameters, and a model
     already stored there is loaded instead of trained.
+
+    The text is split over ``partitions`` tasks, by default one for each TRAIN_BYTES. The trainer
+    holds the vocabulary and its vectors on the driver and in each task: keep it within memory
+    by ``min_count``.
     """
     from pyspark.ml.feature import Word2Vec, Word2VecModel
     from pyspark.ml.functions import vector_to_array
 
     if other:
         raise ValueError(f"not supported by Spark ML word vectors: {sorted(other)}")
-    spark = docs.sparkSession
     model = None
     target = path and f"{path}/{name}-sze_{size}-wnd_{window}-mc_{min_count}-it_{iterations}"
     if target:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        try:
             model = Word2VecModel.load(target)
+        except (AnalysisException, Py4JJavaError):  # none stored there yet
+            model = None
     if model is None:
+        words = docs.select(tx.words(F.col(text)).alias("words"))
+        if partitions is None:
+            total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+            partitions = max(1, -(-total // TRAIN_BYTES))
         trainer = Word2Vec(
             vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, seed=seed,
-            inputCol="words", outputCol="vec",
+            numPartitions=partitions, inputCol="words", outputCol="vec",
         )
-        model = trainer.fit(docs.select(tx.words(F.col(text)).alias("words")))
+        model = trainer.fit(words)
         if target:
             model.write().save(target)
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusqa.functions import fixed
@@ -35,8 +37,8 @@ def gazetteer_keys(gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def _ngrams(located: Column, most: int) -> Column:
-    # one (at, n, start, length, key) per run of up to ``most`` tokens
+def _ngrams(located: Column, sizes: Sequence[int]) -> Column:
+    # one (at, n, start, length, key) per run of tokens of one of the ``sizes``
     def grams(toks: Column) -> Column:
         return tx.let(F.transform(toks, lambda t: t["piece"]), lambda pieces: runs(toks, pieces))
 
@@ -45,7 +47,7 @@ def _ngrams(located: Column, most: int) -> Column:
             F.transform(
                 toks,
                 lambda t, i: F.transform(
-                    F.sequence(F.lit(1), F.least(F.lit(most), F.size(toks) - i)),
+                    F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.size(toks) - i),
                     lambda n: F.struct(
                         i.alias("at"),
                         n.alias("n"),
@@ -65,20 +67,22 @@ def _ngrams(located: Column, most: int) -> Column:
 
 
 def _leftmost_longest(found: Column) -> Column:
-    # ordered by position, longer first: keep what starts at or after the end of the last kept
-    ordered = F.array_sort(found)
-    start = F.struct(
-        F.lit(0).alias("end"), F.filter(found, lambda m: F.lit(False)).alias("kept")
-    )
+    # ordered by position, longer first: keep what starts at or after the end of the last kept.
+    # The fold carries a mark for each find, not the finds themselves.
+    def marked(ordered: Column) -> Column:
+        start = F.struct(F.lit(0).alias("end"), F.lit("").alias("marks"))
+
+        def step(s: Column, m: Column) -> Column:
+            fits = m["at"] >= s["end"]
+            return F.struct(
+                F.when(fits, m["at"] - m["minus_n"]).otherwise(s["end"]).alias("end"),
+                F.concat(s["marks"], F.when(fits, "1").otherwise("0")).alias("marks"),
+            )
 
-    def step(s: Column, m: Column) -> Column:
-        fits = m["at"] >= s["end"]
-        return F.struct(
-            F.when(fits, m["at"] - m["minus_n"]).otherwise(s["end"]).alias("end"),
-            F.when(fits, F.concat(s["kept"], F.array(m))).otherwise(s["kept"]).alias("kept"),
-        )
+        marks = F.split(F.aggregate(ordered, start, step, lambda s: s["marks"]), "")
+        return tx.let(marks, lambda k: F.filter(ordered, lambda m, i: F.get(k, i) == "1"))
 
-    return F.aggregate(ordered, start, step, lambda s: s["kept"])
+    return tx.let(F.array_sort(found), marked)
 
 
 def link_entities(docs: DataFrame, gazetteer: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -88,8 +92,9 @@ def link_entities(docs: DataFrame, gazetteer: DataFrame, key: str, text: str = "
     of overlapping finds the leftmost, then longest, wins. Offsets are char offsets.
     """
     entries = settle(gazetteer_keys(filter_links(gazetteer)))
-    most = entries.agg(F.max(F.size(F.split("_key", " "))).alias("m")).first()["m"] or 1
-    grams = docs.select(key, F.inline(_ngrams(tx.located_tokens(F.col(text)), most)))
+    # the lengths that surfaces have; a few numbers
+    sizes = sorted(r["n"] for r in entries.select(F.size(F.split("_key", " ")).alias("n")).distinct().collect()) or [1]
+    grams = docs.select(key, F.inline(_ngrams(tx.located_tokens(F.col(text)), sizes)))
     hits = lookup_join(grams, entries, "_key")
     found = F.struct(
         F.col("at"),
@@ -102,9 +107,13 @@ def link_entities(docs: DataFrame, gazetteer: DataFrame, key: str, text: str = "
         F.col("surface").alias("surface_form"),
         F.col("types"),
     )
-    # the finds of one text
-    per_doc = hits.groupBy(key).agg(F.collect_list(found).alias("_found"))
-    return per_doc.select(key, F.inline(_leftmost_longest(F.col("_found")))).drop("at", "minus_n")
+    # runs of finds that overlap: only inside a run do finds compete
+    order = Window.partitionBy(key).orderBy("at", F.col("n").desc())
+    end = F.max(F.col("at") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = hits.withColumn("_opens", (F.col("at") >= F.coalesce(end, F.lit(0))).cast("int"))
+    run = F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = placed.withColumn("_run", run).groupBy(key, "_run").agg(F.collect_list(found).alias("_found"))
+    return runs.select(key, F.inline(_leftmost_longest(F.col("_found")))).drop("at", "minus_n")
 
 
 def attach_clues(docs: DataFrame, links: DataFrame, key: str, column: str = "clues") -> DataFrame:

@@ -13,6 +13,8 @@ from corpusqa.session import settle
 # A side is broadcast only when its measured size is at most this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
+# A key is hot if it holds more than this share (one in ...) of the rows.
+HOT_SHARE = 64
 # Largest group limit that Spark applies before the shuffle (windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 
@@ -47,29 +49,39 @@ def lookup_join(
     max_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join a large ``left`` to ``right`` by equal keys (inner, left, left_semi or left_anti).
+    """Join ``left`` to ``right`` by equal keys (inner, left, left_semi or left_anti).
 
-    ``right`` is measured. If small it is broadcast, and ``left`` is not moved.
-    Otherwise ``right`` is repeated per salt and each key of ``left`` spread over
-    the salts, so a hot key of ``left`` becomes ``salts`` partitions' work.
+    Both sides are measured. A small ``right`` is broadcast; for an inner join a small ``left``
+    is too, so that the large side is not moved. Otherwise rows of ``left`` whose key holds more
+    than 1 / HOT_SHARE of them are spread over ``salts`` partitions, to which only the matching
+    rows of ``right`` are repeated.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(right, max_bytes):
         return left.join(F.broadcast(right), keys, how)
+    if how == "inner" and fits_broadcast(left, max_bytes):
+        names = [*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys]]
+        return right.join(F.broadcast(left), keys, how).select(*names)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    many = left.count() / HOT_SHARE
+    # fewer than HOT_SHARE keys can be hot
+    hot = F.broadcast(settle(counts.filter(F.col("_rows") > many).select(*keys, F.lit(True).alias("_hot"))))
     # salted by row content: the same row gets the same salt when a lost task is run again
-    rest = [F.col(f"`{f.name}`") for f in left.schema.fields if not _holds_map(f.dataType)]
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rest = [F.col(f"`{f.name}`") for f in left.schema.fields if not holds_map(f.dataType)]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rest), F.lit(salts))).otherwise(0).cast("int")
+    salted = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
-def _holds_map(kind: T.DataType) -> bool:
+def holds_map(kind: T.DataType) -> bool:
     if isinstance(kind, T.MapType):
         return True
     if isinstance(kind, T.ArrayType):
-        return _holds_map(kind.elementType)
+        return holds_map(kind.elementType)
     if isinstance(kind, T.StructType):
-        return any(_holds_map(f.dataType) for f in kind.fields)
+        return any(holds_map(f.dataType) for f in kind.fields)
     return False
 
 

@@ -1,88 +1,74 @@
-"""Exact nearest neighbours by cosine. Spark splits the vectors, numpy scores blocks of them."""
+"""Exact nearest neighbours by cosine. Spark deals out blocks of vectors, numpy scores them."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.functions import fixed
 from corpusqa.functions.vectors import from_best
 from corpusqa.operators.joins import top_per_key
 
-# Queries up to this many vector bytes go to every task; more are cut into blocks of this size.
-QUERY_BYTES = 32 * 1024 * 1024
-ITEM_BYTES = 64 * 1024 * 1024
-# Queries scored at once against one batch of vectors.
+# Measured bytes of the queries, and of the items, that one task scores against one another.
+QUERY_BYTES = 16 * 1024 * 1024
+ITEM_BYTES = 16 * 1024 * 1024
+# Queries scored at once.
 SCORE_ROWS = 256
+# Keys that order the scores of a query below every similarity.
+NO_SCORE, EXCLUDED = -2.0, -3.0
 
 
-def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors padded to one width, and their lengths. A zero vector becomes NaN."""
-    sizes = np.array([len(r) for r in rows], dtype=np.int64)
-    width = int(sizes.max()) if len(sizes) else 0
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+def _unit(rows: list) -> np.ndarray:
+    """Rows of one length as unit vectors. A zero vector becomes NaN."""
+    out = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
     with np.errstate(divide="ignore", invalid="ignore"):
-        out /= np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return out, sizes
-
-
-def _scores(q: np.ndarray, q_sizes: np.ndarray, v: np.ndarray, v_sizes: np.ndarray) -> np.ndarray:
-    width = min(q.shape[1], v.shape[1])
-    s = q[:, :width] @ v[:, :width].T
-    s[q_sizes[:, None] != v_sizes[None, :]] = -1.0
-    return s
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the best ``n``: highest rounded score first, then smallest id; NaN last."""
-    rounded = np.where(np.isnan(scores), -np.inf, np.round(scores, 6))
-    if len(rounded) > n:
-        edge = np.partition(rounded, len(rounded) - n)[len(rounded) - n]
-        near = np.flatnonzero(rounded >= edge)
-    else:
-        near = np.arange(len(rounded))
-    order = np.lexsort((ids[near], -rounded[near]))
-    return near[order][:n]
-
-
-class _TopItems:
-    """The best ``n`` items seen so far for each query of one block."""
-
-    def __init__(self, qids: list, vectors: list, n: int):
-        self.qids, self.n = qids, n
-        self.q, self.sizes = _unit(vectors)
-        self.ids = [np.array([], dtype=object) for _ in qids]
-        self.scores = [np.array([], dtype=float) for _ in qids]
-
-    def add(self, ids: np.ndarray, vectors: list) -> None:
-        v, v_sizes = _unit(vectors)
-        for at in range(0, len(self.qids), SCORE_ROWS):
-            end = at + SCORE_ROWS
-            block = _scores(self.q[at:end], self.sizes[at:end], v, v_sizes)
-            for row, k in enumerate(range(at, min(end, len(self.qids)))):
-                # cut the batch first: joining it whole to the kept items copies object arrays
-                new = _best(ids, block[row], self.n)
-                all_ids = np.concatenate([self.ids[k], ids[new]])
-                all_scores = np.concatenate([self.scores[k], block[row][new]])
-                keep = _best(all_ids, all_scores, self.n)
-                self.ids[k], self.scores[k] = all_ids[keep], all_scores[keep]
-
-    def frame(self) -> pd.DataFrame:
-        counts = [len(x) for x in self.ids]
-        return pd.DataFrame(
-            {
-                "qid": np.repeat(np.array(self.qids, dtype=object), counts),
-                "item": np.concatenate([*self.ids, np.array([], dtype=object)]),
-                "score": np.concatenate([*self.scores, np.array([], dtype=float)]),
-            }
-        )
+        return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+
+
+def _scores(queries: list, items: list) -> np.ndarray:
+    """Similarity of all queries and items; -1 where the lengths differ."""
+    q_sizes, v_sizes = np.array([len(x) for x in queries]), np.array([len(x) for x in items])
+    out = np.full((len(queries), len(items)), -1.0)
+    for size in np.intersect1d(q_sizes, v_sizes).tolist():
+        q, v = np.flatnonzero(q_sizes == size), np.flatnonzero(v_sizes == size)
+        if size == 0:
+            out[np.ix_(q, v)] = np.nan
+        else:
+            out[np.ix_(q, v)] = _unit([queries[i] for i in q]) @ _unit([items[i] for i in v]).T
+    return out
+
+
+def _top(qids: list, queries: list, banned: list, ids: list, items: list, n: int) -> pd.DataFrame:
+    """The best ``n`` items of each query: highest rounded score first, then smallest item; NaN last."""
+    order = sorted(range(len(ids)), key=lambda i: ids[i])
+    rank = np.empty(len(ids), np.int64)  # place of an item among all by its id
+    rank[order] = np.arange(len(ids))
+    at: dict = {}
+    for i, item in enumerate(ids):
+        at.setdefault(item, []).append(i)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(qids), SCORE_ROWS):
+        scores = _scores(queries[a : a + SCORE_ROWS], items)
+        keys = np.where(np.isnan(scores), NO_SCORE, np.round(scores, 6))
+        for row, items_out in enumerate(banned[a : a + SCORE_ROWS]):
+            gone = [i for item in (items_out if items_out is not None else ()) for i in at.get(item, ())]
+            keys[row, gone] = EXCLUDED
+        edge = -np.partition(-keys, n - 1, axis=1)[:, n - 1] if len(ids) > n else np.full(len(keys), EXCLUDED)
+        q, v = np.nonzero((keys >= edge[:, None]) & (keys > EXCLUDED))
+        best = np.lexsort((rank[v], -keys[q, v], q))
+        q, v = q[best], v[best]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < n
+        found.append((q[keep] + a, v[keep], scores[q[keep], v[keep]]))
+    q, v, s = (np.concatenate([f[k] for f in found]) for k in range(3))
+    return pd.DataFrame({"qid": [qids[i] for i in q], "item": [ids[i] for i in v], "score": s})
+
+
+def _bytes(column: str) -> Column:
+    return F.size("vec").cast("long") * 8 + F.octet_length(F.col(column).cast("string")) + 64
 
 
 def nearest_neighbors(
@@ -90,89 +76,46 @@ def nearest_neighbors(
     items: DataFrame,
     n: int = fixed.NEIGHBORS,
     strict_n: bool = False,
+    exclude: DataFrame | None = None,
 ) -> DataFrame:
     """Top ``n`` items per query vector: (qid, item, score, rank), ties by item.
 
-    ``queries`` has (qid, vec), ``items`` has (item, vec). A vector of another length scores -1.
-    With ``strict_n`` a query with fewer than ``n`` items gets none.
+    ``queries`` has (qid, vec), ``items`` has (item, vec), ``exclude`` (qid, item) pairs that do
+    not count. A vector of another length scores -1. With ``strict_n`` a query with fewer than
+    ``n`` items gets none.
 
-    Every task scores its own slice of the items against the queries and keeps ``n`` per query,
-    so what is shuffled is n rows per query and task, never the pairs. Queries that exceed
-    the bound are cut into blocks, items into slices, and each (block, slice) is one task's work.
+    Queries are cut into blocks and items into slices of a bounded size; each (block, slice) is
+    one task's work, which gives at most n rows per query. What is shuffled for the result is so n
+    rows per query and slice, never the pairs.
     """
     qid_type = queries.schema["qid"].dataType.simpleString()
     item_type = items.schema["item"].dataType.simpleString()
-    out = f"qid {qid_type}, item {item_type}, score double"
-    queries = queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).filter(
-        F.col("vec").isNotNull()
-    )
-    items = items.select("item", F.col("vec").cast("array<double>").alias("vec")).filter(
-        F.col("vec").isNotNull()
-    )
-    queries = queries.persist()
-    size = queries.agg(F.sum(F.size("vec") * 8 + 64).alias("b")).first()["b"] or 0
-    if size <= QUERY_BYTES:
-        local = _against_all(queries, items, n, out)
-        queries.unpersist()
+    queries = queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
+    items = items.select("item", F.col("vec").cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
+    if exclude is None:
+        queries = queries.withColumn("banned", F.lit(None).cast(f"array<{item_type}>"))
     else:
-        local = _in_blocks(queries, items, n, out, math.ceil(size / QUERY_BYTES))
-    # pandas hands NaN over as null
-    local = local.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
-    best = top_per_key(
-        local,
-        ["qid"],
-        [from_best(F.col("score")), F.col("item")],
-        n,
-    )
-    if strict_n:
-        full = best.filter(F.col("rank") == n).select("qid")
-        best = best.join(full, "qid", "left_semi")
-    return best
-
-
-def _against_all(queries: DataFrame, items: DataFrame, n: int, out: str) -> DataFrame:
-    rows = queries.collect()  # at most QUERY_BYTES, measured by the caller
-    spark = items.sparkSession
-    shared = spark.sparkContext.broadcast(([r["qid"] for r in rows], [list(r["vec"]) for r in rows]))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, vecs = shared.value
-        top = _TopItems(qids, vecs, n) if qids else None
-        for batch in batches:
-            if top is not None and len(batch):
-                top.add(batch["item"].to_numpy(dtype=object), list(batch["vec"]))
-        if top is not None:
-            yield top.frame()
+        banned = exclude.groupBy("qid").agg(F.collect_set(F.col("item").cast(item_type)).alias("banned"))
+        queries = queries.join(banned, "qid", "left")
+    blocks = max(1, math.ceil((queries.agg(F.sum(_bytes("qid"))).first()[0] or 0) / QUERY_BYTES))
+    slices = max(1, math.ceil((items.agg(F.sum(_bytes("item"))).first()[0] or 0) / ITEM_BYTES))
 
-    return items.mapInPandas(score, out)
-
-
-def _in_blocks(queries: DataFrame, items: DataFrame, n: int, out: str, blocks: int) -> DataFrame:
-    size = items.agg(F.sum(F.size("vec") * 8 + 64).alias("b")).first()["b"] or 0
-    slices = max(1, math.ceil(size / ITEM_BYTES))
-
-    def every(count: int):
+    def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    q = queries.withColumn("_block", F.pmod(F.xxhash64("qid", "vec"), F.lit(blocks)).cast("int"))
-    v = items.withColumn("_slice", F.pmod(F.xxhash64("item", "vec"), F.lit(slices)).cast("int"))
-    q = q.withColumn("_slice", every(slices))
-    v = v.withColumn("_block", every(blocks))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64("qid", "vec"), F.lit(blocks)).cast("int")).withColumn("_slice", every(slices))
+    v = items.withColumn("_slice", F.pmod(F.xxhash64("item", "vec"), F.lit(slices)).cast("int")).withColumn("_block", every(blocks))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        top = _TopItems(list(left["qid"]), list(left["vec"]), n)
-        if len(left) and len(right):
-            top.add(right["item"].to_numpy(dtype=object), list(right["vec"]))
-        return top.frame()
+        if not len(left) or not len(right):
+            return pd.DataFrame({"qid": [], "item": [], "score": []})
+        return _top(list(left["qid"]), list(left["vec"]), list(left["banned"]), list(right["item"]), list(right["vec"]), n)
 
     keys = ["_block", "_slice"]
-    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(score, out)
-
-
-def without_excluded(found: DataFrame, excluded: DataFrame, n: int) -> DataFrame:
-    """Drop excluded (qid, item) pairs from ``found`` and number the best ``n`` left.
-
-    ``found`` must hold at least n + (largest exclusion list) items per query.
-    """
-    kept = found.join(excluded.select("qid", "item").distinct(), ["qid", "item"], "left_anti")
-    return top_per_key(kept.drop("rank"), ["qid"], [from_best(F.col("score")), F.col("item")], n)
+    local = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(score, f"qid {qid_type}, item {item_type}, score double")
+    # pandas hands NaN over as null
+    local = local.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
+    best = top_per_key(local, ["qid"], [from_best(F.col("score")), F.col("item")], n)
+    if strict_n:
+        best = best.join(best.filter(F.col("rank") == n).select("qid"), "qid", "left_semi")
+    return best

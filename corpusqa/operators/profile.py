@@ -41,28 +41,17 @@ def word_frequency_per_document(docs: DataFrame, key: str, text: str = "text") -
     return counts.select(key, "token", "count", (F.col("count") / F.col("_n")).alias("frequency"))
 
 
-def document_tags(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct tokens of each document."""
-    return docs.withColumn("bag", tx.bag_of_words(F.col(text))).drop(text)
-
-
-def sentence_rows(docs: DataFrame, keys: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """One row per sentence: position, sentence and its tokens."""
-    return docs.select(
-        *keys, F.posexplode(tx.sentences(F.col(text))).alias("pos", "sentence")
-    ).withColumn("tokens", tx.tokens(F.col("sentence")))
-
-
 def _distinct_sentences(docs: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     # Word multisets of sentences with the number of sentences that share one: copied and
-    # boiler-plate sentences are counted here and their pairs built only once.
+    # boiler-plate sentences are counted here, by a digest, and their pairs built only once.
     bag = F.array_sort(tx.without_punctuation(F.col("_s")))
     return (
         docs.select(*keys, F.explode(tx.sentence_tokens(F.col(text))).alias("_s"))
         .select(*keys, bag.alias("_bag"))
         .filter(F.size("_bag") > 1)
-        .groupBy(*keys, "_bag")
-        .agg(F.count(F.lit(1)).alias("_copies"))
+        .withColumn("_id", F.sha2(F.array_join("_bag", " "), 256))
+        .groupBy(*keys, "_id")
+        .agg(F.count(F.lit(1)).alias("_copies"), F.first("_bag").alias("_bag"))
     )
 
 
@@ -77,40 +66,43 @@ def _blocks(words: Column) -> Column:
 def cooc_sentence(docs: DataFrame, text: str = "text", keys: Sequence[str] = ()) -> DataFrame:
     """Unordered pairs of different words of a sentence, summed over all sentences.
 
-    A pair counts tf(x) * tf(y) per sentence. The words of a sentence are cut into blocks;
-    two blocks are one unit of work, and units are spread over all tasks by hash, so a
-    very long sentence is no task of its own.
+    A pair counts tf(x) * tf(y) per sentence. The words of a sentence are cut into blocks. Pairs
+    inside a block are built where it is; for those between blocks the block numbers are
+    paired first and the words joined to them, so that a very long sentence is many
+    tasks' work.
     """
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    units = (
-        _distinct_sentences(docs, text, keys)
-        .select(
-            *keys, "_copies", tx.let(tx.term_frequencies(F.col("_bag")), _blocks).alias("_blocks")
-        )
-        .select(*keys, "_copies", "_blocks", F.posexplode("_blocks").alias("_i", "_left"))
-        .select(
-            *keys,
-            "_copies",
-            "_left",
-            F.posexplode(F.slice("_blocks", F.col("_i") + 1, F.size("_blocks"))).alias(
-                "_j", "_right"
-            ),
-        )
-        .repartition(tasks, F.xxhash64("_left", "_right"))
+    sentences = _distinct_sentences(docs, text, keys).select(
+        *keys, "_id", "_copies", tx.let(tx.term_frequencies(F.col("_bag")), _blocks).alias("_blocks")
     )
-    # words are in order: a block meets its own words only after the left one
-    later = F.slice("_right", F.col("_k") + 2, F.size("_right"))
-    pairs = units.select(
-        *keys, "_copies", "_j", "_right", F.posexplode("_left").alias("_k", "_x")
-    ).select(
-        *keys, "_copies", "_x", F.explode(F.when(F.col("_j") == 0, later).otherwise(F.col("_right"))).alias("_y")
+    blocks = sentences.select(*keys, "_id", "_copies", F.size("_blocks").alias("_n"), F.posexplode("_blocks").alias("_i", "_words"))
+    # words are in order: inside a block a word meets the later ones
+    inside = blocks.select(*keys, "_copies", "_words", F.posexplode("_words").alias("_k", "_x")).select(
+        *keys, "_copies", "_x", F.explode(F.slice("_words", F.col("_k") + 2, F.size("_words"))).alias("_y")
     )
+    long_ones = blocks.filter("_n > 1")
+    by = [*keys, "_id"]
+    numbers = long_ones.filter("_i < _n - 1").select(*by, "_i", F.explode(F.sequence(F.col("_i") + 1, F.col("_n") - 1)).alias("_j"))
+    left = long_ones.select(*by, "_i", "_copies", F.col("_words").alias("_left"))
+    right = long_ones.select(*by, F.col("_i").alias("_j"), F.col("_words").alias("_right"))
+    between = (
+        _null_safe(_null_safe(numbers, left, [*by, "_i"]), right, [*by, "_j"])
+        .select(*keys, "_copies", F.explode("_left").alias("_x"), "_right")
+        .select(*keys, "_copies", "_x", F.explode("_right").alias("_y"))
+    )
+    pairs = inside.unionByName(between)
     return pairs.groupBy(*keys, F.col("_x.term").alias("first"), F.col("_y.term").alias("second")).agg(
         F.sum(F.col("_x.tf") * F.col("_y.tf") * F.col("_copies")).alias("count")
     )
 
 
+def _null_safe(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    # a null among the keys is a key like any other
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.alias("a").join(b.alias("b"), same).select("a.*", *[f"b.{c}" for c in b.columns if c not in on])
+
+
 def sentence_pairs(tokens_: Column, stop_on_repeat: bool = True) -> Column:
     return tx.adjacent_pairs(tx.without_punctuation(tokens_), stop_on_repeat)
 
@@ -157,18 +149,34 @@ def doc_count(docs: DataFrame) -> DataFrame:
 
 
 def corpus_stats(docs: DataFrame, department: str, module: str, text: str = "text") -> DataFrame:
-    """One row: documents, words, unique words, departments, modules, mean sentence length."""
-    counts = word_count(docs, (), text).agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("unique_words")
+    """One row: documents, words, unique words, departments, modules, mean sentence length.
+
+    Every document gives (section, key) entries, counted inside the tasks: one scan, one shuffle.
+    """
+    rows = docs.select(
+        F.col(department).cast("string").alias("_d"), F.col(module).cast("string").alias("_m"), tx.sentence_tokens(F.col(text)).alias("_s"),
+        tx.words(F.col(text)).alias("_w"),
+    )
+    entries = F.concat(
+        _entries("docs", F.array(F.lit(""))),
+        _entries("department", F.array("_d")),
+        _entries("module", F.array("_m")),
+        _entries("length", F.transform(F.coalesce("_s", F.array().cast("array<array<string>>")), lambda s: F.size(s).cast("string"))),
+        _entries("word", F.coalesce("_w", F.array().cast("array<string>"))),
     )
-    mean = avg_sentence_length(docs, text)
-    return docs.agg(
-        F.count(F.lit(1)).alias("docs"),
-        counts.select("words").scalar().alias("words"),
-        counts.select("unique_words").scalar().alias("unique_words"),
-        F.count_distinct(department).alias("departments"),
-        F.count_distinct(module).alias("modules"),
-        mean.scalar().alias("avg_sentence_length"),
+    counts = rows.select(F.inline(entries)).groupBy("section", "key").agg(F.count(F.lit(1)).alias("count"))
+
+    def of(section: str, value: Column) -> Column:
+        return F.when((F.col("section") == section) & F.col("key").isNotNull(), value)
+
+    lengths = F.sum(of("length", F.col("key").cast("long") * F.col("count")))
+    return counts.agg(
+        F.coalesce(F.sum(of("docs", F.col("count"))), F.lit(0)).alias("docs"),
+        F.coalesce(F.sum(of("word", F.col("count"))), F.lit(0)).alias("words"),
+        F.count(of("word", F.lit(1))).alias("unique_words"),
+        F.count(of("department", F.lit(1))).alias("departments"),
+        F.count(of("module", F.lit(1))).alias("modules"),
+        (lengths / F.sum(of("length", F.col("count")))).alias("avg_sentence_length"),
     )
 
 

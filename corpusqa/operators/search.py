@@ -15,21 +15,23 @@ from corpusqa.operators.joins import fits_broadcast, lookup_join, top_per_key
 from corpusqa.session import new_folder, settle
 
 
-# Up to this many terms are pushed down to the scan of a stored index.
-FEW_TERMS = 200
+# Partitions of a stored index: a term's postings are in the one its hash names.
+TERM_PARTITIONS = 64
 
 
 @dataclass(frozen=True)
 class Index:
     """Postings (field, term, keys, tf, length), one row per field, term and document.
 
-    ``total`` is one row, the number of documents.
+    ``total`` is one row, the number of documents; ``lengths`` has the mean length of each field.
+    ``frequencies`` (field, term, df) is there once an index is stored.
     """
 
     postings: DataFrame
     total: DataFrame
     keys: tuple[str, ...]
-    stored: bool = False
+    lengths: DataFrame
+    frequencies: DataFrame | None = None
 
 
 def _field_terms(value: Column, kind: T.DataType) -> Column:
@@ -62,32 +64,44 @@ def build_index(
     by_field = docs.select(*keys, F.inline(F.array(*per_field)))
     postings = by_field.select(*keys, "field", "length", F.inline("terms"))
     total = docs.agg(F.count(F.lit(1)).alias("total"))
-    return Index(postings, total, tuple(keys))
+    lengths = by_field.filter("length > 0").groupBy("field").agg(F.avg("length").alias("_mean"))
+    return Index(postings, total, tuple(keys), lengths)
+
+
+def _term_partition() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(TERM_PARTITIONS)).cast("int")
 
 
 def write_index(index: Index, path: str | None = None) -> Index:
-    """Store the postings, clustered by term, and use the stored table from now on.
+    """Store the postings by term, with document frequencies and field lengths, and use the stored
+    tables from now on.
 
-    Rows are range-partitioned by term and key: a frequent term is spread over many files,
-    and min/max statistics let a search skip the files without its terms.
+    The folder ``part`` of a posting is a hash of its term, so that a search joined on it reads
+    only the folders of its terms, however many they are. Inside a folder rows are ordered by
+    field, term and key, and a frequent term is spread over several files.
     """
     spark = index.postings.sparkSession
     path = path or new_folder(spark, "index")
-    order = ["field", "term", *index.keys]
-    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/postings")
+    order = ["part", "field", "term", *index.keys]
+    rows = index.postings.withColumn("part", _term_partition())
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     index.total.write.mode("overwrite").parquet(f"{path}/total")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    stored = spark.read.parquet(f"{path}/postings")
+    frequencies = stored.groupBy("part", "field", "term").agg(F.count(F.lit(1)).alias("df"))
+    frequencies.write.mode("overwrite").partitionBy("part").parquet(f"{path}/frequencies")
     return read_index(spark, path, index.keys)
 
 
 def read_index(spark: SparkSession, path: str, keys: Sequence[str]) -> Index:
     """An index stored by ``write_index``."""
-    postings = spark.read.parquet(f"{path}/postings")
-    return Index(postings, spark.read.parquet(f"{path}/total"), tuple(keys), stored=True)
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "total", "lengths", "frequencies")}
+    return Index(tables["postings"], tables["total"], tuple(keys), tables["lengths"], tables["frequencies"])
 
 
 def document_frequency(index: Index) -> DataFrame:
+    if index.frequencies is not None:
+        return index.frequencies.select("field", "term", "df")
     return index.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -112,21 +126,26 @@ def search(
     The clause side is measured: while it is small it is broadcast, beyond that frequent terms
     are salted. Postings without a wanted term are dropped where they are read. What is left of
     an index that is not stored is written out, as it serves both the term frequencies and the
-    scores. The postings of a document lie together, so its sum per query forms inside the task
-    and one row per query and document is shuffled; after that only the best ``n`` per query.
+    scores. Where the postings of a document lie together (an index that is not stored), its sum
+    per query forms inside the task and one row per query and document is shuffled; a stored
+    index is ordered by term, so there a row per match is. After that only the best ``n`` per
+    query are. A stored index is joined on its folders too, and has its frequencies at hand.
     """
     if scoring not in ("classic", "bm25"):
         raise ValueError("scoring is 'classic' or 'bm25'")
     grouped = wanted.groupBy(qid, "field", "term").agg(F.count(F.lit(1)).alias("_m"))
     terms = wanted.select("field", "term").distinct()
-    small = fits_broadcast(grouped)
-    bound = None if small else 0
-    postings = _skip_files(index, terms) if small and index.stored else index.postings
-    needed = _join(postings, terms, ["field", "term"], "left_semi", bound)
-    if not index.stored:
-        needed = settle(needed)
+    bound = None if fits_broadcast(grouped) else 0
     total = index.total.scalar()
-    freq = needed.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    if index.frequencies is None:
+        needed = settle(_join(index.postings, terms, ["field", "term"], "left_semi", bound))
+        freq = needed.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+        on = ["field", "term"]
+    else:
+        on = ["part", "field", "term"]
+        terms = terms.withColumn("part", _term_partition())
+        needed = index.postings
+        freq = _join(index.frequencies, terms, on, "left_semi", bound).drop("part")
     df = F.coalesce(F.col("df"), F.lit(0))
     idf = (
         F.lit(1.0) + F.ln(F.col("_N") / (df + F.lit(1.0)))
@@ -153,20 +172,16 @@ def search(
         part = F.col("_w") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("length") / mean))
         score = F.sum(part)
     weights = weights.select(qid, "field", "term", "_m", weight.alias("_w"))
-    matches = _join(needed, weights, ["field", "term"], "inner", bound)
+    if "part" in on:
+        weights = weights.withColumn("part", _term_partition())
+    matches = _join(needed, weights, on, "inner", bound)
     if scoring == "bm25":
-        matches = matches.join(F.broadcast(_mean_lengths(index)), "field")
+        matches = matches.join(F.broadcast(index.lengths), "field")  # a row for each field
     hits = matches.groupBy(qid, *index.keys).agg(score.alias("score"))
     order = [F.round("score", 6).desc(), *[F.col(k) for k in index.keys]]
     return top_per_key(hits, [qid], order, n)
 
 
-def _skip_files(index: Index, terms: DataFrame) -> DataFrame:
-    # a stored index is ordered by term: with few terms most of its files need no reading
-    few = [r["term"] for r in terms.select("term").limit(FEW_TERMS + 1).collect()]
-    return index.postings.filter(F.col("term").isin(few)) if len(few) <= FEW_TERMS else index.postings
-
-
 def _join(left: DataFrame, right: DataFrame, on: list[str], how: str, bound: int | None) -> DataFrame:
     # the caller has measured a frame at least as large as ``right``
     if bound is None:
@@ -174,12 +189,6 @@ def _join(left: DataFrame, right: DataFrame, on: list[str], how: str, bound: int
     return lookup_join(left, right, on, how, max_bytes=bound)
 
 
-def _mean_lengths(index: Index) -> DataFrame:
-    # one row per field
-    lengths = index.postings.select("field", "length", *index.keys).distinct()
-    return lengths.groupBy("field").agg(F.avg("length").alias("_mean"))
-
-
 def find_terms(index: Index, queries: DataFrame, qid: str, words: str, n: int = fixed.TERM_HITS,
                scoring: str = "classic") -> DataFrame:
     """OR search of the words in the text field."""

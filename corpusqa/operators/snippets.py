@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,22 +149,28 @@ def pack_by_spaces(docs: DataFrame, text: str = "text", max_spaces: int = 100) -
     return docs.select(*rest, F.posexplode(packed).alias("line_no", "line"))
 
 
-def sample_lines(
-    docs: DataFrame, key: str, epoch: int, probability: float = 0.5, text: str = "text"
-) -> DataFrame:
-    """Lines of a training epoch: the first half of each document's lines in epoch 0, the second
-    in epoch 1, later a sample that depends on line and epoch alone."""
+def sample_epochs(docs: DataFrame, key: str, epochs: Mapping[int, float], text: str = "text") -> DataFrame:
+    """(key, line_no, line, epoch): the lines of several training epochs, read once.
+
+    Epoch 0 has the first half of each document's lines, epoch 1 the second; later ones sample
+    a line with the probability given for them, by a digest of epoch and line alone.
+    """
     parts = docs.select(key, F.split(F.col(text), "\n").alias("_lines"))
     rows = parts.select(key, F.size("_lines").alias("_n"), F.posexplode("_lines").alias("line_no", "line"))
     first_half = F.col("line_no") * 2 < F.col("_n")
-    if epoch == 0:
-        keep = first_half
-    elif epoch == 1:
-        keep = ~first_half
-    else:
+    chosen = []
+    for epoch, probability in epochs.items():
         line_key = F.concat_ws("-", F.lit(str(epoch)), F.col(key).cast("string"), "line_no")
-        keep = tx.digest_below(line_key, probability)
-    return rows.filter(keep).select(key, "line_no", "line")
+        keep = first_half if epoch == 0 else ~first_half if epoch == 1 else tx.digest_below(line_key, probability)
+        chosen.append(F.when(keep, F.lit(epoch)))
+    return rows.withColumn("epoch", F.explode(F.array_compact(F.array(*chosen)))).select(key, "line_no", "line", "epoch")
+
+
+def sample_lines(
+    docs: DataFrame, key: str, epoch: int, probability: float = 0.5, text: str = "text"
+) -> DataFrame:
+    """``sample_epochs`` of one epoch."""
+    return sample_epochs(docs, key, {epoch: probability}, text).drop("epoch")
 
 
 def random_document(docs: DataFrame, key: str, seed: int) -> DataFrame:

@@ -10,8 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusqa.operators.joins import lookup_join
-
 
 def _rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
@@ -61,8 +59,9 @@ def corpus_history(verdicts: DataFrame) -> DataFrame:
 
 def corpus_stats_run(verdicts: DataFrame) -> DataFrame:
     """Statistics of the newest run of each corpus."""
-    newest = verdicts.groupBy("corpus").agg(F.max("run").alias("run"))
-    return measures(lookup_join(verdicts, newest, ["corpus", "run"], "left_semi"), ["corpus", "run"])
+    runs = measures(verdicts, ["corpus", "run"])
+    newest = runs.filter("run is not null").groupBy("corpus").agg(F.max_by(F.struct(*runs.columns), "run").alias("_run"))
+    return newest.select("_run.*")
 
 
 def question_type_stats(verdicts: DataFrame, start: int, end: int) -> DataFrame:

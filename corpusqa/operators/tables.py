@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
-from corpusqa.operators.joins import first_per_key, lookup_join
+from corpusqa.operators.joins import first_per_key, lookup_join, number_rows
 
 
-def upsert_counts(counts: DataFrame, new: DataFrame, key_chars: int = fixed.KEY_CHARS) -> DataFrame:
-    """(section, key, count) after adding ``new``; keys are cut, equal cut keys add up."""
-    cut = [
-        part.select("section", F.substring("key", 1, key_chars).alias("key"), "count")
-        for part in (counts, new)
-    ]
+def upsert_counts(counts: DataFrame, new: DataFrame, key_chars: int | None = None) -> DataFrame:
+    """(section, key, count) after adding ``new``. With ``key_chars`` keys are cut, and equal cut
+    keys add up."""
+    key = F.col("key") if key_chars is None else F.substring("key", 1, key_chars)
+    cut = [part.select("section", key.alias("key"), "count") for part in (counts, new)]
     return cut[0].unionByName(cut[1]).groupBy("section", "key").agg(F.sum("count").alias("count"))
 
 
@@ -31,11 +30,6 @@ def overwrite_counts(counts: DataFrame, path: str) -> None:
     )
 
 
-def pair_key(first: Column, second: Column) -> Column:
-    """Key of a pair in a count table."""
-    return F.concat(F.lit("("), first, F.lit(","), second, F.lit(")"))
-
-
 def write_kv_csv(counts: DataFrame, path: str) -> None:
     """``key;count`` files, one folder per section."""
     line = F.concat_ws(";", "key", F.col("count").cast("string"))
@@ -44,11 +38,6 @@ def write_kv_csv(counts: DataFrame, path: str) -> None:
     )
 
 
-def reset_counts(counts: DataFrame) -> DataFrame:
-    """The count table emptied before a new run."""
-    return counts.limit(0)
-
-
 # Sections of a profile report in order, with their headings.
 REPORT_SECTIONS = (
     ("general", ""),
@@ -133,23 +122,46 @@ def incremental_docs(docs: DataFrame, present: DataFrame, keys: Sequence[str] =
     return docs.join(present.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def update_field(table: DataFrame, changes: DataFrame, key: str, field: str, append: bool = False) -> DataFrame:
+def update_field(
+    table: DataFrame,
+    changes: DataFrame,
+    key: str,
+    field: str,
+    append: bool = False,
+    order_by: str | None = None,
+) -> DataFrame:
     """Set ``field`` from ``changes`` (key, value), or append to it.
 
-    Appending joins arrays, and adds map entries, new ones replacing old of the same name.
+    Changes of a key are applied one after another in the order of the column ``order_by`` of
+    ``changes`` (without it, of their values): the last one set stays, appended arrays follow one
+    another, and map entries replace earlier ones of the same name. A null value changes nothing.
     """
     kind = table.schema[field].dataType
-    new = changes.select(key, F.col("value").alias("_new"))
+    value = F.col("value")
+    at = F.col(order_by) if order_by else F.lit(0)
+    known = changes.filter(F.col(key).isNotNull() & value.isNotNull())
+    order = F.struct(at.alias("at"), F.to_json(F.struct(value)).alias("text"))
+    if not append:
+        new = known.groupBy(key).agg(F.max_by(value, order).alias("_new"))
+    else:
+        listed = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.to_json(F.struct(value)).alias("text"), F.struct(value).alias("v"))))
+        if kind.typeName() == "map":
+            # the last entry of each name
+            entries = known.select(key, at.alias("at"), F.to_json(F.struct(value)).alias("text"), F.explode(value).alias("_k", "_v"))
+            last = entries.groupBy(key, "_k").agg(F.max_by("_v", F.struct("at", "text")).alias("_v"))
+            new = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_new"))
+        else:
+            new = known.groupBy(key).agg(F.flatten(F.transform(listed, lambda c: c["v"]["value"])).alias("_new"))
     joined = table.join(new, key, "left")
     old, change = F.col(field), F.col("_new")
     if not append:
-        value = F.when(change.isNotNull(), change).otherwise(old)
+        result = F.coalesce(change, old)
     elif kind.typeName() == "map":
         kept = F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(change), k))
-        value = F.when(change.isNull(), old).when(old.isNull(), change).otherwise(F.map_concat(kept, change))
+        result = F.when(change.isNull(), old).when(old.isNull(), change).otherwise(F.map_concat(kept, change))
     else:
-        value = F.when(change.isNull(), old).when(old.isNull(), change).otherwise(F.concat(old, change))
-    return joined.withColumn(field, value).drop("_new")
+        result = F.when(change.isNull(), old).when(old.isNull(), change).otherwise(F.concat(old, change))
+    return joined.withColumn(field, result).select(*table.columns)
 
 
 def set_flag(table: DataFrame, which: DataFrame, keys: Sequence[str], flag: str, value: bool) -> DataFrame:
@@ -187,11 +199,7 @@ def to_transcript(
 
 
 def get_page(table: DataFrame, order_by: Sequence[str], start: int, size: int) -> DataFrame:
-    """Rows ``start`` to ``start + size`` in order; deep pages are cut by distributed row numbers."""
+    """Rows ``start`` to ``start + size`` in order, by distributed row numbers."""
     order = [F.col(c) for c in order_by]
-    if start + size <= 10_000:
-        return table.orderBy(*order).offset(start).limit(size)
-    from corpusqa.operators.joins import number_rows
-
     numbered = number_rows(table, order, name="_no")
     return numbered.filter((F.col("_no") > start) & (F.col("_no") <= start + size)).drop("_no")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusqa.functions import fixed
-
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 RDF_PROPERTY = "http://www.w3.org/1999/02/22-rdf-syntax-ns#Property"
 RDFS_LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
@@ -17,10 +17,20 @@ def local_name(uri: Column) -> Column:
     return F.regexp_replace(uri, r"^.*http://.*/", "")
 
 
+def _has_predicate(predicates: Sequence[str]) -> Column:
+    # whole URIs are compared as they are, and the end of a local name is: a scan can use both
+    out = F.lit(False)
+    for p in predicates:
+        if "http://" in p:
+            out = out | (F.col("p") == p)
+        else:
+            out = out | (F.col("p").endswith(p) & (local_name(F.col("p")) == p))
+    return out
+
+
 def entities_of_predicate(triples: DataFrame, predicate: str) -> DataFrame:
     """All (object, subject) of a predicate, given by URI or local name."""
-    name = predicate.rsplit("/", 1)[-1] if "http://" in predicate else predicate
-    return triples.filter(local_name(F.col("p")) == name).select(
+    return triples.filter(_has_predicate([predicate])).select(
         F.col("o").alias("object"), F.col("s").alias("subject")
     )
 
@@ -31,18 +41,16 @@ def predicate_list(
     type_: str = RDF_TYPE,
     property_: str = RDF_PROPERTY,
     lang: str = "en",
-    limit: int = fixed.PREDICATE_LIMIT,
 ) -> DataFrame:
     """Properties with their label in one language."""
     labels = triples.filter((F.col("p") == label) & (F.col("lang") == lang)).select("s", "o")
     properties = triples.filter((F.col("p") == type_) & (F.col("o") == property_)).select("s")
-    return labels.join(properties.distinct(), "s", "left_semi").limit(limit)
+    return labels.join(properties.distinct(), "s", "left_semi")
 
 
 def build_entity_index(triples: DataFrame, predicates: list[str]) -> DataFrame:
     """(key, entity) rows: objects of the predicates and their subjects."""
-    names = [p.rsplit("/", 1)[-1] if "http://" in p else p for p in predicates]
-    return triples.filter(local_name(F.col("p")).isin(names)).select(
+    return triples.filter(_has_predicate(predicates)).select(
         F.col("o").alias("key"), F.col("s").alias("entity")
     )
 

@@ -110,12 +110,12 @@ def extract_vector_doc(spark, sf):
     return _scored(an.extract(analysed, index, "vector-doc"))
 
 
-@query("SELECT qid, count(*) FILTER (WHERE false) AS docs FROM (SELECT item_id AS qid FROM benchmark) GROUP BY qid")
+@query(f"WITH {d.SQL_QUESTIONS} SELECT qid, question, 0 AS docs FROM questions")
 def extract_passing(spark, sf):
     """The passing mode finds no documents for any question."""
-    analysed = qu.analyze_questions(d.questions(spark, sf))
-    found = an.extract(analysed, None, "passing")
-    return analysed.select("qid").join(found, "qid", "left").groupBy("qid").agg(F.count("id").alias("docs"))
+    asked = d.questions(spark, sf)
+    found = an.extract(qu.analyze_questions(asked), None, "passing")
+    return asked.join(found, "qid", "left").groupBy("qid", "question").agg(F.count("id").alias("docs"))
 
 
 _MEANS = """label_means AS (
@@ -183,13 +183,13 @@ def candidates_vectors_focus(spark, sf):
 
 
 @query(f"""WITH {d.SQL_VOCAB}, {d.SQL_SNIPPETS}, {_SNIPPET_PARAS},
-asked AS (SELECT word AS qid, vec FROM vocab WHERE NOT word IN ({d.STOP}) AND regexp_matches(word, '^\\p{{L}}')),
+asked AS (SELECT word AS qid, vec FROM vocab WHERE NOT word IN ({d.STOP})),
 {sql_nearest('asked', 'items', 40)}
 SELECT qid, item, round(score, 4) + 0 AS ranking, rank FROM nearest""")
 def candidates_vectors(spark, sf):
     """Each known word as a question of one word."""
     vocab = d.vocabulary(spark, sf)
-    asked = vocab.filter(F.col("word").rlike(r"^\p{L}")).select(
+    asked = vocab.select(
         F.col("word").alias("qid"), F.array("word").alias("bow"), F.array().cast("array<string>").alias("focus")
     )
     found = an.candidates_vectors(asked, d.snippets(spark, sf), vocab)
@@ -260,13 +260,14 @@ def select_answer(spark, sf):
     return _scored(best.select("qid", "id", "offset", "ranking", "accepted"), "ranking")
 
 
-_OUTCOME = f"""best AS (SELECT * FROM ranked WHERE rank = 1),
+_OUTCOME = f"""best AS (SELECT *, '' AS topic, '' AS lecture FROM ranked WHERE rank = 1),
 outcome AS (SELECT q.qid, CASE WHEN b.qid IS NULL THEN 'failed' WHEN ranking > 0.4 THEN 'answered' ELSE 'no_answer' END AS status,
   CASE WHEN b.qid IS NULL THEN '[FAILED]' WHEN ranking > 0.4 THEN
     '[id: ' || id || ', corpus: ' || corpus || ', department: ' || department || ', module: ' || module || ']' || chr(10) || text
     ELSE '[NO ANSWER]' END AS answer,
   CASE WHEN b.qid IS NULL THEN 0 WHEN ranking > 0.4 THEN round(ranking, 4) + 0 ELSE 1 END::DOUBLE AS ranking,
-  CASE WHEN ranking > 0.4 THEN id END AS id, CASE WHEN ranking > 0.4 THEN b."offset" END AS "offset"
+  CASE WHEN ranking > 0.4 THEN id END AS id, CASE WHEN ranking > 0.4 THEN b."offset" END AS "offset",
+  CASE WHEN ranking > 0.4 THEN topic END AS topic, CASE WHEN ranking > 0.4 THEN lecture END AS lecture
 FROM %s q LEFT JOIN best b USING (qid) LEFT JOIN snippets USING (id, "offset"))"""
 
 _ASK = f"{_RANKED}, {_OUTCOME % 'questions'}"
@@ -288,6 +289,44 @@ def ask_batch(spark, sf):
     return _scored(an.ask_batch(d.questions(spark, sf), d.snippets(spark, sf)), "ranking")
 
 
+_META = _OUTCOME.replace("""SELECT *, '' AS topic, '' AS lecture FROM ranked WHERE rank = 1""", """SELECT r.*, module AS topic, type AS lecture
+  FROM ranked r JOIN transcripts USING (id) WHERE corpus = 'base'
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(r.ranking, 6) DESC, id, "offset") = 1""")
+
+
+@query(f"WITH {_RANKED}, {_META % 'questions'} SELECT * FROM outcome")
+def ask_batch_metadata(spark, sf):
+    """Topic and lecture from the documents of one corpus; candidates of the other drop out."""
+    base = d.transcripts(spark, sf).filter("corpus = 'base'")
+    return _scored(an.ask_batch(d.questions(spark, sf), d.snippets(spark, sf), ranking="metadata", docs=base), "ranking")
+
+
+@query(f"""WITH {d.SQL_VOCAB}, {_CLOSED}, {d.SQL_SNIPPETS}, {_SNIPPET_PARAS},
+focus_words AS (SELECT qid, i, unnest({d.sql_tokens('phrase')}) AS word FROM phrases),
+focus_sizes AS (SELECT qid, i, count(*) AS n FROM focus_words GROUP BY ALL),
+focus_counts AS (SELECT qid, count(*) AS parts FROM focus_sizes GROUP BY qid),
+focus_elements AS (SELECT qid, i, unnest(vec) AS x, unnest(range(64)) AS pos FROM focus_words JOIN vocab USING (word)),
+targets AS (SELECT qid, list(x ORDER BY pos) AS vec FROM (
+  SELECT qid, pos, sum(x / n) / any_value(parts) AS x
+  FROM focus_elements JOIN focus_sizes USING (qid, i) JOIN focus_counts USING (qid) GROUP BY ALL) GROUP BY qid),
+{sql_nearest('targets', 'items', 40)},
+best AS (SELECT qid, item, score FROM nearest WHERE rank = 1)
+SELECT q.qid, CASE WHEN f.qid IS NULL THEN 'failed' WHEN score > 0.4 THEN 'answered' ELSE 'no_answer' END AS status,
+  CASE WHEN f.qid IS NULL THEN 0 WHEN score > 0.4 THEN round(score, 4) + 0 ELSE 1 END::DOUBLE AS ranking,
+  CASE WHEN score > 0.4 THEN item END AS item,
+  CASE WHEN score > 0.4 THEN ', topics: List()]' || chr(10) || text END AS tail
+FROM questions q LEFT JOIN focus_counts f USING (qid) LEFT JOIN best USING (qid) LEFT JOIN keyed USING (item)""")
+def ask_batch_vectors(spark, sf):
+    """Vector candidates from stored snippet vectors."""
+    snippets, vocab = d.snippets(spark, sf), d.vocabulary(spark, sf)
+    path = new_folder(spark, "snippet-vectors")
+    an.snippet_vectors(snippets, vocab).write.parquet(path)
+    out = an.ask_batch(d.questions(spark, sf), snippets, vocab=vocab, use_focus=True, stored=spark.read.parquet(path))
+    item = F.when(F.col("status") == "answered", F.concat_ws("@", "id", "offset")).alias("item")
+    tail = F.when(F.col("status") == "answered", F.regexp_extract("answer", r"(?s)(, topics: List\(\)\]\n.*)$", 1)).alias("tail")
+    return _scored(out.select("qid", "status", "ranking", item, tail), "ranking")
+
+
 @query(f"WITH {_ASK} SELECT * FROM outcome")
 def ask_stream(spark, sf):
     """The benchmark file as a stream of questions."""

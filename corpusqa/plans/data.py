@@ -13,19 +13,16 @@ from corpusqa.operators.snippets import split_snippets
 from corpusqa.session import settle
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: str | None = None) -> DataFrame:
-    """A given table. If it is too small to keep all cores busy its rows are spread by ``spread``;
-    any other is read as it lies."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as it lies, or dealt to as many partitions as the session's ``corpusqa.spread``
+    says (for measurements on one machine, whose tables may be one file with one row group)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    # a scan of few files may have one partition with all the rows
-    if spread and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores:
-        return df.repartition(cores, spread)
-    return df
+    spread = spark.conf.get("corpusqa.spread", None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +106,7 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as report messages."""
-    return as_reports(table(spark, sf_dir, "events", "event_id"))
+    return as_reports(table(spark, sf_dir, "events"))
 
 
 def as_reports(events: DataFrame) -> DataFrame:

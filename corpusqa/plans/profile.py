@@ -189,14 +189,14 @@ def profile_report(spark, sf):
 @query(f"""WITH {d.SQL_WORDS}, old AS (
   SELECT 'word' AS section, token AS key, count FROM word_counts),
 new AS (SELECT 'word', unnest({d.sql_words('text')}), 1 FROM conversations
-  UNION ALL SELECT 'long', left(text, 250), 1 FROM documents)
-SELECT section, left(key, 250) AS key, sum(count)::BIGINT AS count
+  UNION ALL SELECT 'long', text, 1 FROM documents)
+SELECT section, key, sum(count)::BIGINT AS count
 FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY ALL""")
 def upsert_counts(spark, sf):
     docs = d.documents(spark, sf)
     section = F.lit("word").alias("section")
     old = profile.word_count(docs).select(section, F.col("token").alias("key"), "count")
-    turns = d.table(spark, sf, "conversations", "conv_id")
+    turns = d.table(spark, sf, "conversations")
     added = profile.word_count(turns).select(section, F.col("token").alias("key"), "count")
     long_keys = docs.select(F.lit("long").alias("section"), F.col("text").alias("key"), F.lit(1).cast("bigint").alias("count"))
     return tables.upsert_counts(old, added.unionByName(long_keys))

@@ -384,15 +384,24 @@ def _rounded(df):
 
 
 @query(f"WITH {_VERDICTS} SELECT * FROM verdicts")
-def analyze_doc(spark, sf):
+def analyze_docs(spark, sf):
     return _verdicts(spark, sf)
 
 
-@query(f"WITH {_VERDICTS} SELECT corpus, run, question_id, correct FROM verdicts")
+@query(f"WITH {_VERDICTS} SELECT * FROM verdicts WHERE question_id = (SELECT max(doc_id) FROM labels WHERE quality = 1 AND doc_id IN (SELECT id FROM reports))")
+def analyze_doc(spark, sf):
+    """The newest question whose document is labelled good."""
+    asked = _asked(spark, sf)
+    good = d.table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("question_id"))
+    newest = asked.join(good, "question_id", "left_semi").agg(F.max("question_id")).first()[0]
+    return st.analyze_doc(asked, rp.merge_process(d.reports(spark, sf)), _gold(spark, sf), newest)
+
+
+@query(f"WITH {_VERDICTS} SELECT * FROM verdicts")
 def reanalyze(spark, sf):
     path = new_folder(spark, "verdicts")
     st.reanalyze(_asked(spark, sf), rp.merge_process(d.reports(spark, sf)), _gold(spark, sf), path)
-    return spark.read.parquet(path).select("corpus", "run", "question_id", "correct")
+    return spark.read.parquet(path)
 
 
 # 2024-01-10 to 2024-01-20 UTC
@@ -437,11 +446,19 @@ def delete_where(spark, sf):
     return kept.select("id", "corpus", "department")
 
 
-@query("SELECT count(*) FILTER (WHERE false) AS rows FROM documents")
+@query("""SELECT 'department' AS section, source AS key, count(*) AS count FROM documents WHERE lang = 'en' GROUP BY ALL
+UNION ALL SELECT 'module', lang, count(*) FROM documents GROUP BY ALL""")
 def reset(spark, sf):
+    """Counts of a first run stored; a second run, over fewer documents, replaces one of two sections."""
     docs = d.table(spark, sf, "documents")
-    counts = docs.groupBy(F.lit("department").alias("section"), F.col("source").alias("key")).count()
-    return tb.reset_counts(counts).agg(F.count(F.lit(1)).alias("rows"))
+
+    def counts(rows, section, key):
+        return rows.groupBy(F.lit(section).alias("section"), F.col(key).alias("key")).count()
+
+    path = new_folder(spark, "counts")
+    tb.overwrite_counts(counts(docs, "department", "source").unionByName(counts(docs, "module", "lang")), path)
+    tb.overwrite_counts(counts(docs.filter("lang = 'en'"), "department", "source"), path)
+    return spark.read.parquet(path).select("section", "key", "count")
 
 
 def _keyed(turns):
@@ -477,15 +494,26 @@ def incremental_docs(spark, sf):
 
 
 @query("""SELECT d.doc_id, CASE WHEN quality IS NULL THEN lang ELSE 'q' || quality END AS lang,
-  CASE WHEN toxic IS NULL THEN 'src=' || source ELSE 'src=' || source || ',toxic=' || toxic END AS tags
+  CASE WHEN toxic IS NULL THEN 'src=' || source ELSE 'src=' || source || ',toxic=' || toxic END AS tags,
+  CASE WHEN toxic IS NULL THEN lang ELSE lang || '>t' || toxic || '>q' || quality END AS path
 FROM documents d LEFT JOIN labels USING (doc_id)""")
 def update_field(spark, sf):
-    docs = d.table(spark, sf, "documents").select("doc_id", "lang", F.create_map(F.lit("src"), F.col("source")).alias("tags"))
+    """Each label makes two changes, in order: the last one set stays, appended ones follow one another."""
+    docs = d.table(spark, sf, "documents").select("doc_id", "lang", F.create_map(F.lit("src"), F.col("source")).alias("tags"), F.array("lang").alias("path"))
     labels = d.table(spark, sf, "labels")
-    quality = labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("value"))
-    toxic = labels.select("doc_id", F.create_map(F.lit("toxic"), F.col("toxic").cast("string")).alias("value"))
-    out = tb.update_field(tb.update_field(docs, quality, "doc_id", "lang"), toxic, "doc_id", "tags", append=True)
-    return out.withColumn("tags", joined_map("tags"))
+    q = F.concat(F.lit("q"), F.col("quality").cast("string"))
+    t = F.concat(F.lit("t"), F.col("toxic").cast("string"))
+
+    def changes(first, second):
+        return labels.select("doc_id", F.posexplode(F.array(first, second)).alias("seq", "value"))
+
+    def tag(value):
+        return F.create_map(F.lit("toxic"), value)
+
+    out = tb.update_field(docs, changes(t, q), "doc_id", "lang", order_by="seq")
+    out = tb.update_field(out, changes(tag(q), tag(F.col("toxic").cast("string"))), "doc_id", "tags", append=True, order_by="seq")
+    out = tb.update_field(out, changes(F.array(t), F.array(q)), "doc_id", "path", append=True, order_by="seq")
+    return out.select("doc_id", "lang", joined_map("tags").alias("tags"), F.array_join("path", ">").alias("path"))
 
 
 @query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS taken FROM documents")
@@ -564,7 +592,7 @@ def _parts_sql(area: str, p: str) -> str:
   CASE WHEN regexp_matches(html, {d.q(_PAGES.others)}) THEN {_parts_sql(_PAGES.others, _PAGES.other)} END AS otheranswers
 FROM pages WHERE regexp_matches(html, {d.q(_PAGES.question)})""")
 def parse_question_page(spark, sf):
-    found = pg.parse_question_page(d.table(spark, sf, "pages", "page_id"), _PAGES)
+    found = pg.parse_question_page(d.table(spark, sf, "pages"), _PAGES)
     return found.withColumn("category", F.array_join("category", "|")).withColumn(
         "otheranswers", F.array_join("otheranswers", "|")
     )
@@ -663,7 +691,7 @@ def read_transcript_xml(spark, sf):
         _xml_escaped(F.col("url")),
         F.lit("</u>\n<u><b>end</b></u></text></TEI>"),
     )
-    files = d.table(spark, sf, "pages", "page_id").select(F.col("page_id").cast("string").alias("name"), xml.alias("xml"))
+    files = d.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("name"), xml.alias("xml"))
     return ts.parse_transcript_xml(files)
 
 
@@ -676,7 +704,7 @@ def read_transcript_json(spark, sf):
         F.lit("</projectname></general>\n<text>first part "), F.col("page_id").cast("string"),
         F.lit("<br/>second part</text></decoded-data></r>"),
     )
-    rows = d.table(spark, sf, "pages", "page_id").select(
+    rows = d.table(spark, sf, "pages").select(
         F.col("page_id").alias("id"), F.when(F.col("page_id") % 5 != 0, F.col("url")).alias("title"), xml.alias("transkription")
     )
     path = new_folder(spark, "json")

@@ -10,7 +10,8 @@ from corpusqa.operators import search as se
 from corpusqa.operators import triples as tr
 from corpusqa.plans import data as d
 from corpusqa.plans.registry import query
-from corpusqa.sources.records import parse_triples
+from corpusqa.session import new_folder
+from corpusqa.sources import records
 
 _DOC_TERMS = f"""terms AS (
   SELECT doc_id, len(l) AS length, unnest(l) AS term FROM (SELECT doc_id, {d.sql_terms('text')} AS l FROM documents))"""
@@ -238,10 +239,11 @@ def attach_clues(spark, sf):
     return done.select("doc_id", F.size("clues").cast("bigint").alias("n_clues"), F.array_join(shown, " ").alias("clues"))
 
 
-@query("SELECT doc_id, 0 AS n_clues FROM documents")
+@query("SELECT doc_id, lang, n_chars, 0 AS n_clues FROM documents")
 def clear_clues(spark, sf):
-    docs = d.table(spark, sf, "documents").select("doc_id")
-    return en.clear_clues(docs).select("doc_id", F.size("clues").alias("n_clues"))
+    """Documents that hold a clue each, cleared; their other columns stay."""
+    docs = d.table(spark, sf, "documents").select("doc_id", "lang", "n_chars", F.array(F.col("source")).alias("clues"))
+    return en.clear_clues(docs).select("doc_id", "lang", "n_chars", F.size("clues").alias("n_clues"))
 
 
 _Q_ENTITIES = f"""{d.SQL_GAZETTEER}, {d.SQL_QUESTIONS}, {d.sql_links('q_links', 'questions', 'qid', 'question')},
@@ -269,7 +271,7 @@ def joined_map(column: str):
   SELECT conv_id || '-' || turn AS conv_id, unnest(l) AS token, unnest(range(len(l))) AS pos
   FROM (SELECT conv_id, turn, {d.sql_tokens('text')} AS l FROM conversations))""")
 def tag_tokens(spark, sf):
-    turns = d.table(spark, sf, "conversations", "conv_id")
+    turns = d.table(spark, sf, "conversations")
     return en.tag_tokens(turns.select(F.concat_ws("-", "conv_id", "turn").alias("conv_id"), "text"), "conv_id")
 
 
@@ -318,12 +320,14 @@ _TRIPLES = f"""triples AS (
 
 @query(f"WITH {_TRIPLES} SELECT * FROM triples")
 def read_triples(spark, sf):
-    """Triples written as N-Triples lines and parsed again."""
+    """Triples written as N-Triples files and read back."""
     t = _triples(spark, sf)
     iri = F.format_string("<%s>", "p")
     obj = F.when(F.col("lang") != "", F.format_string('"%s"@%s', "o", "lang")).otherwise(F.format_string('"%s"', "o"))
     lines = t.select(F.concat(F.format_string("<%s> ", "s"), iri, F.lit(" "), obj, F.lit(" .")).alias("value"))
-    return parse_triples(lines)
+    path = new_folder(spark, "triples")
+    lines.write.text(path)
+    return records.read_triples(spark, path)
 
 
 @query(f"WITH {_TRIPLES} SELECT o AS object, s AS subject FROM triples WHERE p = '{_BASE}inNation'")
@@ -332,7 +336,7 @@ def entities_of_predicate(spark, sf):
 
 
 @query(f"""WITH {_TRIPLES} SELECT s, o FROM triples WHERE p = '{tr.RDFS_LABEL}' AND lang = 'en'
-AND s IN (SELECT s FROM triples WHERE p = '{tr.RDF_TYPE}' AND o = '{tr.RDF_PROPERTY}') LIMIT 1000000""")
+AND s IN (SELECT s FROM triples WHERE p = '{tr.RDF_TYPE}' AND o = '{tr.RDF_PROPERTY}')""")
 def predicate_list(spark, sf):
     return tr.predicate_list(_triples(spark, sf))
 

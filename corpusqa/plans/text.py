@@ -54,7 +54,7 @@ def drop_punct_tokens(spark, sf):
 @query(r"""SELECT page_id, regexp_replace(replace(replace(regexp_replace(regexp_replace(html, '<.+?>\s*', '', 'g'),
   '[ ]*(\r)?\n[ ]*', ' ', 'g'), '\''', ''), chr(9), ' '), '[ ]+', ' ', 'g') AS text FROM pages""")
 def flatten_markup(spark, sf):
-    return d.table(spark, sf, "pages", "page_id").select(
+    return d.table(spark, sf, "pages").select(
         "page_id", tx.flatten_markup(F.col("html")).alias("text")
     )
 
@@ -64,7 +64,17 @@ def split_snippets(spark, sf):
     return d.snippets(spark, sf).select("id", "corpus", "offset", "text")
 
 
-@query()
+@query(r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_replace(unnest(l), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS word, unnest(range(len(l))) AS i, len(l) AS n
+  FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)),
+walk AS (
+  SELECT doc_id, -1::BIGINT AS i, any_value(n) AS n, '' AS chunk, 0::BIGINT AS "offset", 0::BIGINT AS closed_at, '' AS closed, false AS full_ FROM words GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, i, n, CASE WHEN f THEN word ELSE chunk || ' ' || word END, CASE WHEN f THEN "offset" + length(chunk) + 1 ELSE "offset" END, "offset", chunk, f
+  FROM (SELECT w.doc_id, s.i, w.n, w.chunk, w."offset", s.word, length(s.word) + length(w.chunk) > 500 AS f
+        FROM walk w JOIN words s ON s.doc_id = w.doc_id AND s.i = w.i + 1))
+SELECT doc_id, closed_at AS "offset", closed AS chunk FROM walk WHERE full_
+UNION ALL SELECT doc_id, "offset", chunk FROM walk WHERE i = n - 1 AND chunk <> ''""")
 def chunk_by_chars(spark, sf):
     return snippets.chunk_by_chars(d.documents(spark, sf).select("doc_id", "text"))
 
@@ -123,12 +133,7 @@ UNION ALL SELECT 1, doc_id, line_no, line FROM lines WHERE line_no * 2 >= n
 UNION ALL SELECT 2, doc_id, line_no, line FROM lines WHERE substr(md5('2-' || doc_id || '-' || line_no), 1, 8) < '80000000'
 UNION ALL SELECT 3, doc_id, line_no, line FROM lines WHERE substr(md5('3-' || doc_id || '-' || line_no), 1, 8) < '40000000'""")
 def sample_lines(spark, sf):
-    docs = d.documents(spark, sf)
-    out = None
-    for epoch, share in ((0, 0.5), (1, 0.5), (2, 0.5), (3, 0.25)):
-        part = snippets.sample_lines(docs, "doc_id", epoch, share).withColumn("epoch", F.lit(epoch))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return snippets.sample_epochs(d.documents(spark, sf), "doc_id", {0: 0.5, 1: 0.5, 2: 0.5, 3: 0.25})
 
 
 @query("SELECT doc_id, text FROM documents ORDER BY md5('42-' || doc_id), doc_id LIMIT 1")
@@ -148,13 +153,13 @@ _LINKS = _rows(f"regexp_extract_all(html, {d.q(fixed.LINK_PATTERN)}, 1)", "link"
 
 @query(_LINKS)
 def extract_links(spark, sf):
-    return pg.extract_links(d.table(spark, sf, "pages", "page_id"))
+    return pg.extract_links(d.table(spark, sf, "pages"))
 
 
 @query(f"""WITH links AS ({_LINKS}) SELECT DISTINCT link AS url FROM links
 WHERE link NOT IN (SELECT link FROM links WHERE pos = 0)""")
 def new_urls(spark, sf):
-    links = pg.extract_links(d.table(spark, sf, "pages", "page_id")).withColumnRenamed("link", "url")
+    links = pg.extract_links(d.table(spark, sf, "pages")).withColumnRenamed("link", "url")
     return pg.new_urls(links, links.filter(F.col("pos") == 0))
 
 
@@ -195,7 +200,7 @@ def clean_wiki_markup(spark, sf):
 
 def _articles(spark, sf):
     wrapped = F.concat(F.lit('<page><text xml:space="preserve">'), F.col("html"), F.lit("</text></page>"))
-    return d.table(spark, sf, "pages", "page_id").select("page_id", wrapped.alias("markup"))
+    return d.table(spark, sf, "pages").select("page_id", wrapped.alias("markup"))
 
 
 @query(f"""WITH cleaned AS (SELECT page_id, {_clean_sql('html')} AS text FROM pages

@@ -8,6 +8,7 @@ from corpusqa.functions import text as tx
 from corpusqa.functions import vectors as vx
 from corpusqa.operators import embeddings as em
 from corpusqa.operators import neighbors as nb
+from corpusqa.operators import snippets
 from corpusqa.plans import data as d
 from corpusqa.plans.registry import query
 from corpusqa.sources import records
@@ -315,17 +316,34 @@ def vectorize(spark, sf):
     return elements(out.select("doc_id", F.explode("vectors").alias("model", "vec")), ["doc_id", "model"])
 
 
-@query("SELECT vec_id, 0 AS models FROM embeddings")
+@query("SELECT vec_id, label, len(embedding) AS dimension, 0 AS models FROM embeddings")
 def unvectorize(spark, sf):
     stored = d.embeddings(spark, sf).withColumn("vectors", F.create_map(F.lit("main"), F.col("vec")))
-    return em.unvectorize(stored).select("vec_id", F.size("vectors").alias("models"))
+    return em.unvectorize(stored).select("vec_id", "label", F.size("vec").alias("dimension"), F.size("vectors").alias("models"))
 
 
-@query()
+@query(f"WITH {d.SQL_WORDS} SELECT token AS word, 16 AS dimension, true AS trained FROM word_counts WHERE count >= 5")
 def train_embeddings(spark, sf):
-    """Word vectors trained on the documents."""
+    """Word vectors trained on the documents: the words they are for, their length, and that none is zero."""
     trained = em.train_embeddings(d.documents(spark, sf), size=16, min_count=5)
-    return trained.select("word", F.size("vec").alias("dimension"))
+    return trained.select("word", F.size("vec").alias("dimension"), F.exists("vec", lambda x: x != 0).alias("trained"))
+
+
+@query(f"""WITH {d.SQL_WORDS}, lines AS (
+  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+half_words AS (SELECT unnest({d.sql_words('line')}) AS token FROM lines WHERE line_no * 2 < n),
+half AS (SELECT token, count(*) AS count FROM half_words GROUP BY token)
+SELECT 'min_count_20-size_8' AS model, token AS word, 8 AS dimension FROM half WHERE count >= 20
+UNION ALL SELECT 'min_count_60-size_4', token, 4 FROM half WHERE count >= 60""")
+def train_grid(spark, sf):
+    """The first epoch's lines trained with two sets of parameters."""
+    lines = snippets.sample_lines(d.documents(spark, sf), "doc_id", 0).select(F.col("line").alias("text"))
+    grid = [{"size": 8, "min_count": 20}, {"size": 4, "min_count": 60}]
+    out = None
+    for label, vocab in em.train_grid(lines, new_folder(spark, "models"), grid).items():
+        part = vocab.select(F.lit(label).alias("model"), "word", F.size("vec").alias("dimension"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("""SELECT 'w' || vec_id AS word, pos, round(x / norm, 4) + 0 AS value FROM (

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
-def local_session(cores: str = "8", app: str = "corpusqa", memory: str = "16g") -> SparkSession:
-    """Single-machine session for tests and measurements. On a cluster, bring your own."""
+def local_session(cores: str = "8", app: str = "corpusqa", memory: str = "16g", folder: str | None = None) -> SparkSession:
+    """Single-machine session for tests and measurements, with ``folder`` (or a new temporary one) for
+    data between jobs. On a cluster, bring your own, with spark.checkpoint.dir set."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -24,6 +25,8 @@ def local_session(cores: str = "8", app: str = "corpusqa", memory: str = "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="corpusqa-"))
+        .config("corpusqa.spread", cores if cores.isdigit() else "8")
         .getOrCreate()
     )
 

@@ -63,20 +63,14 @@ def parse_word_vectors(lines: DataFrame, line: str = "value", normalize: bool =
     return vocab.withColumn("vec", vx.normalize(F.col("vec"))) if normalize else vocab
 
 
-def read_word_vectors(
-    spark: SparkSession, path: str, limit: int | None = None, normalize: bool = True
-) -> DataFrame:
-    """A word vector text file; ``limit`` words are loaded if given."""
-    vocab = parse_word_vectors(spark.read.text(path), normalize=normalize)
-    return vocab.limit(limit) if limit else vocab
+def read_word_vectors(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:
+    """All words of a word vector text file."""
+    return parse_word_vectors(spark.read.text(path), normalize=normalize)
 
 
-def read_vocabulary(
-    spark: SparkSession, path: str, limit: int | None = None, normalize: bool = True
-) -> DataFrame:
+def read_vocabulary(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:
     """The same from parquet (word, vec)."""
     vocab = spark.read.parquet(path).select("word", vx.as_doubles(F.col("vec")).alias("vec"))
-    vocab = vocab.limit(limit) if limit else vocab
     return vocab.withColumn("vec", vx.normalize(F.col("vec"))) if normalize else vocab
 
 

@@ -2,12 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusqa.operators.reports import merge_entries, process_records, report_entries
-from corpusqa.session import new_folder
+from corpusqa.session import new_folder, settle
+
+
+# Parts of a streamed table, by a hash of its keys.
+PARTS = 64
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The rows of each part's newest version. Versions are folders: only those of the newest are read."""
+    newest = rows.groupBy("part").agg(F.max("batch").alias("batch"))  # a row for each part
+    return rows.join(F.broadcast(newest), ["part", "batch"], "left_semi").drop("batch")
+
+
+def _store(new: DataFrame, table: str, number: int, keys: Sequence[str], merge: Callable[[DataFrame], DataFrame]) -> None:
+    # A batch writes the parts it touches, merged with what they held, as version ``batch=number``.
+    # It reads earlier versions only, so a replayed batch gives the same again.
+    spark = new.sparkSession
+    rows = settle(new.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")))
+    if rows.isEmpty():
+        return
+    try:
+        earlier = spark.read.parquet(table).filter(F.col("batch") < number)
+    except AnalysisException:  # nothing is stored yet
+        earlier = None
+    if earlier is not None:
+        touched = F.broadcast(rows.select("part").distinct())  # at most PARTS rows
+        old = _newest(earlier.join(touched, "part", "left_semi"))
+        rows = rows.unionByName(old.select(*rows.columns))
+    merged = merge(rows.drop("part")).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
+    merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{table}/batch={number}")
 
 
 def merge_process_stream(
@@ -15,12 +47,12 @@ def merge_process_stream(
 ) -> StreamingQuery:
     """Merge arriving messages into ``table``.
 
-    Each micro-batch stores its own merge as one partition, ``batch=N``; replaying a batch
-    replaces that partition. As merging is idempotent and order-free, redelivered and late
-    messages need no state and none is dropped. ``merged_records`` merges on read.
+    The table has parts by question. Each micro-batch merges into the parts it touches and stores
+    them as ``batch=N``; replaying a batch replaces that version. As merging is idempotent
+    and order-free, redelivered and late messages need no state and none is dropped.
     """
     def store(batch: DataFrame, number: int) -> None:
-        merge_entries(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        _store(merge_entries(batch), table, number, ["id"], merge_entries)
 
     writer = (
         report_entries(reports)
@@ -31,18 +63,18 @@ def merge_process_stream(
 
 
 def merged_entries(spark: SparkSession, table: str) -> DataFrame:
-    return merge_entries(spark.read.parquet(table).drop("batch"))
+    return _newest(spark.read.parquet(table)).drop("part")
 
 
 def merged_records(spark: SparkSession, table: str) -> DataFrame:
-    """One record per question from all batches so far."""
+    """One record per question: the newest version of every part."""
     return process_records(merged_entries(spark, table))
 
 
 def compact(spark: SparkSession, table: str) -> str:
-    """Merge the batches into a new table and return its path; run it between streams."""
+    """Copy the newest versions into a new table and return its path; run it between streams."""
     path = new_folder(spark, "reports")
-    merged_entries(spark, table).write.parquet(f"{path}/batch=-1")
+    _newest(spark.read.parquet(table)).repartition("part").write.partitionBy("part").parquet(f"{path}/batch=-1")
     return path
 
 
@@ -51,11 +83,12 @@ def running_counts(
 ) -> StreamingQuery:
     """Counts per (section, key) of arriving entries, as they grow.
 
-    The counts are Spark's streaming state. After each micro-batch the changed totals are
-    stored as ``batch=N``; ``latest_counts`` takes the newest of each key.
+    The counts are Spark's streaming state. After each micro-batch the changed totals replace the
+    old ones in the parts of ``table`` they are in; ``latest_counts`` reads all parts.
     """
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        # a total only grows, so the larger one is the newer
+        _store(batch, table, number, ["section", "key"], lambda rows: rows.groupBy("section", "key").agg(F.max("count").alias("count")))
 
     counts = entries.groupBy("section", "key").agg(F.count(F.lit(1)).alias("count"))
     writer = (
@@ -68,5 +101,4 @@ def running_counts(
 
 def latest_counts(spark: SparkSession, table: str) -> DataFrame:
     """Newest total of each key."""
-    rows = spark.read.parquet(table)
-    return rows.groupBy("section", "key").agg(F.max_by("count", "batch").alias("count"))
+    return _newest(spark.read.parquet(table)).select("section", "key", "count")

@@ -61,3 +61,26 @@ def test_top_per_key_beyond_the_group_limit(spark, skewed, monkeypatch):
     plain = rows(joins.top_per_key(skewed, ["k"], [F.col("v").desc()], 5))
     monkeypatch.setattr(joins, "GROUP_LIMIT", 2)
     assert rows(joins.top_per_key(skewed, ["k"], [F.col("v").desc()], 5)) == plain
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_lookup_join_salts_hot_keys_only(spark, skewed, how, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df, max_bytes: False)
+    right = spark.range(0, 1500, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    plain = rows(skewed.join(right, "k", how).fillna(-1))
+    assert rows(joins.lookup_join(skewed, right, "k", how).fillna(-1)) == plain
+
+
+def test_lookup_join_moves_the_small_left_side(spark, skewed, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df, max_bytes: "v" in df.columns)
+    right = spark.range(0, 1500, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    got = joins.lookup_join(skewed, right, "k")
+    assert got.columns == ["k", "v", "w"] and rows(got) == rows(skewed.join(right, "k"))
+
+
+def test_running_totals(spark, skewed):
+    with_one = skewed.withColumn("one", F.lit(1))
+    got = joins.running_totals(with_one, {"sum": "v", "n": "one"}, [F.col("v")], ["k"]).filter("k = 0")
+    for r in got.collect():
+        n = r["v"] // 3
+        assert (r["sum"], r["n"]) == (3 * n * (n - 1) // 2, n)

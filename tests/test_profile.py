@@ -68,7 +68,8 @@ def test_tag_table_of_another_tagger(spark):
 def test_counts_merge_on_cut_keys(spark):
     old = spark.createDataFrame([("word", "x" * 250 + "a", 2)], "section string, key string, count bigint")
     new = spark.createDataFrame([("word", "x" * 250 + "b", 3)], "section string, key string, count bigint")
-    assert rows(tb.upsert_counts(old, new)) == [("word", "x" * 250, 5)]
+    assert rows(tb.upsert_counts(old, new)) == [("word", "x" * 250 + "a", 2), ("word", "x" * 250 + "b", 3)]
+    assert rows(tb.upsert_counts(old, new, key_chars=250)) == [("word", "x" * 250, 5)]
 
 
 def test_report_and_count_files(spark, tmp_path):
@@ -81,3 +82,11 @@ def test_report_and_count_files(spark, tmp_path):
     assert "a;2" in {r["value"] for r in spark.read.text(str(tmp_path / "kv" / "section=word")).collect()}
     tb.overwrite_counts(prof, str(tmp_path / "counts"))
     assert spark.read.parquet(str(tmp_path / "counts")).count() == prof.count()
+
+
+def test_pairs_of_a_long_sentence(spark):
+    words = [f"w{i:04d}" for i in range(400)] + ["w0000", "w0399"]
+    docs = spark.createDataFrame([(" ".join(words),), (" ".join(words),), ("w0001 w0000",)], "text string")
+    got = {(r["first"], r["second"]): r["count"] for r in pf.cooc_sentence(docs).collect()}
+    assert len(got) == 400 * 399 // 2
+    assert got["w0000", "w0001"] == 2 * 2 + 1 and got["w0000", "w0399"] == 2 * 4 and got["w0005", "w0300"] == 2

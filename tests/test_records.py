@@ -200,7 +200,6 @@ def test_word_vector_file(spark, tmp_path):
     (tmp_path / "v.txt").write_text("2 2\nson 3 4\nboy 1 0\n")
     vocab = {r["word"]: r["vec"] for r in rc.read_word_vectors(spark, str(tmp_path)).collect()}
     assert vocab == {"son": [0.6, 0.8], "boy": [1.0, 0.0]}
-    assert rc.read_word_vectors(spark, str(tmp_path), limit=1).count() == 1
 
 
 def test_annotations_and_triples(spark):
@@ -209,3 +208,17 @@ def test_annotations_and_triples(spark):
     assert [tuple(r) for r in rc.parse_annotations(df).collect()] == [("<http://x/A>", 5, ["T", "U"], "a", 13, 0.5)]
     lines = spark.createDataFrame([('<a> <p> "x \\"y\\""@en .',), ("<a> <p> <b> .",), ("# no",)], "value string")
     assert rows(rc.parse_triples(lines)) == [("a", "p", "b", ""), ("a", "p", 'x "y"', "en")]
+
+
+def test_update_field_applies_changes_in_order(spark):
+    table = spark.createDataFrame([(1, "o", ["a"], {"x": "0"}), (2, "p", None, None)], "k int, f string, l array<string>, m map<string,string>")
+    changes = spark.createDataFrame([(1, 2, "y"), (1, 1, "z"), (2, 1, None), (2, 2, "w"), (None, 1, "n"), (9, 1, "q")], "k int, at int, v string")
+    one = changes.select("k", "at", changes["v"].alias("value"))
+    got = {r["k"]: r["f"] for r in tb.update_field(table, one, "k", "f", order_by="at").collect()}
+    assert got == {1: "y", 2: "w"}
+    lists = changes.filter("v is not null").selectExpr("k", "at", "array(v) AS value")
+    got = {r["k"]: r["l"] for r in tb.update_field(table, lists, "k", "l", append=True, order_by="at").collect()}
+    assert got == {1: ["a", "z", "y"], 2: ["w"]}
+    maps = changes.filter("v is not null").selectExpr("k", "at", "map('x', v, 'k' || at, v) AS value")
+    got = {r["k"]: r["m"] for r in tb.update_field(table, maps, "k", "m", append=True, order_by="at").collect()}
+    assert got == {1: {"x": "y", "k1": "z", "k2": "y"}, 2: {"x": "w", "k2": "w"}}

@@ -160,3 +160,30 @@ def test_passages(spark):
         (r["id"], r["passage"], round(r["ranking"], 4), r["offset"]) for r in an.extract_passages(docs, threshold=0.3).collect()
     )
     assert got == [(1, "a x.  a b.", 0.2222, 0), (1, "b!", 0.3333, 22)]
+
+
+def test_passages_of_equal_rows(spark):
+    text = "a b. a b c. x y. b a. z."
+    docs = spark.createDataFrame([(1, text, ["a", "b"])] * 2 + [(2, None, ["a"]), (3, text, [])], "k int, text string, bow array<string>")
+    got = sorted((r["k"], r["passage"], r["ranking"], r["offset"]) for r in an.extract_passages(docs).collect())
+    assert sorted((g[0], g[1].split()[0], g[2]) for g in got) == [(1, "a", 1.0)] * 2 + [(1, "b", 1.0)] * 2
+
+
+def test_links_in_runs(spark):
+    docs = spark.createDataFrame([(1, "a b c x b c d a")], "k int, text string")
+    entries = [(s, f"u/{s}", "LOC", ["t"], 20, 0.9) for s in ("a b", "b c", "b c d", "c", "a")]
+    names = spark.createDataFrame(entries, "surface string, uri string, label string, types array<string>, support int, score double")
+    got = [(r["start"], r["surface_form"]) for r in en.link_entities(docs, names, "k").orderBy("start").collect()]
+    assert got == [(0, "a b"), (4, "c"), (8, "b c d"), (14, "a")]
+
+
+def test_stored_snippets_and_index_answer_alike(spark, tmp_path):
+    rows_ = [(f"d{i}", "c", "dep", "mod", i * 10, f"word{i} cats purr {'loud' * (i % 3)} because{i}") for i in range(30)]
+    snippets = spark.createDataFrame(rows_, "id string, corpus string, department string, module string, offset int, text string")
+    asked = spark.createDataFrame([(1, "Why word3 cats"), (2, "zebra")], "qid long, question string")
+    plain = rows(an.ask_batch(asked, snippets, threshold=0.0))
+    stored = an.write_snippets(snippets, str(tmp_path / "s"))
+    index = se.write_index(se.build_index(snippets, an.SNIPPET_KEYS), str(tmp_path / "i"))
+    assert rows(an.ask_batch(asked, stored, index=index, threshold=0.0)) == plain
+    assert rows(se.find_terms(index, asked.selectExpr("qid", "array('cats', 'word3') AS w"), "qid", "w", scoring="bm25")) == rows(
+        se.find_terms(se.build_index(snippets, an.SNIPPET_KEYS), asked.selectExpr("qid", "array('cats', 'word3') AS w"), "qid", "w", scoring="bm25"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from corpusqa.functions import text as tx
 from corpusqa.operators import snippets as sn
+from corpusqa.sources import wiki
 
 
 def one(spark, value, expr):
@@ -128,3 +129,9 @@ def test_wiki_text(spark):
 def test_sample_passage(spark):
     assert one(spark, "x#a#b#c#d#e", tx.sample_passage) == "#a#b#c#d#"
     assert one(spark, "x#a#b", tx.sample_passage) is None
+
+
+def test_lines_are_written(spark, tmp_path):
+    lines = wiki.articles_to_lines(spark.createDataFrame([("a b, c",), ("d",)], "text string"))
+    wiki.write_lines(lines, str(tmp_path))
+    assert rows(spark.read.text(str(tmp_path))) == [("a b , c",), ("d",)]

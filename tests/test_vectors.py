@@ -110,3 +110,21 @@ def test_vectorize_and_reset(spark, vocab):
     done = em.vectorize(docs, "id", {"m": vocab})
     assert {r["id"]: r["vectors"]["m"] for r in done.collect()} == {1: [2.0, 2.0], 2: [1.5, 0.5]}
     assert em.unvectorize(done).filter(F.size("vectors") > 0).count() == 0
+
+
+def test_mixed_lengths_are_refused(spark):
+    mixed = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [1.0, 2.0, 3.0])], "word string, vec array<double>")
+    groups = spark.createDataFrame([(1, ["b"])], "k int, words array<string>")
+    with pytest.raises(ValueError):
+        em.centroid(groups, "k", "words", mixed)
+    assert em.vector_size(mixed.limit(0)) == 0
+
+
+def test_exclusions_count_inside_the_kernel(spark):
+    items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "item long, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "qid long, vec array<double>")
+    out = spark.createDataFrame([(1, i) for i in range(45)], "qid long, item long")
+    got = {}
+    for r in nb.nearest_neighbors(q, items, 3, exclude=out).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["item"])
+    assert got == {1: [45, 46, 47], 2: [0, 1, 2]}
