@@ -38,11 +38,21 @@ BATCH_PAGES = 128
 PATH_ELEMENTS = 64  # innermost open elements that a path tells, where markup nests deeper
 
 # Fixed lists: elements and names of pages, in plain words.
-SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "head")
-INLINE = (
+RAW = ("script", "style", "title")  # hold no markup and no text of the page
+INLINE = frozenset((
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
-    "time tt u var wbr"
-).split()
+    "time tt u var wbr "
+    # what is embedded: text inside is shown in its place, and one that is never closed holds nothing
+    "object canvas iframe noscript "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction mglyph semantics annotation annotation-xml "
+    "svg g defs desc symbol use path rect circle ellipse line polyline polygon text tspan textpath marker pattern clippath mask image "
+    "lineargradient radialgradient stop filter foreignobject switch view metadata animate animatemotion animatetransform mpath set "
+    "feblend fecolormatrix fecomponenttransfer fecomposite feconvolvematrix fediffuselighting fedisplacementmap fedistantlight "
+    "fedropshadow feflood fefunca fefuncb fefuncg fefuncr fegaussianblur feimage femerge femergenode femorphology feoffset "
+    "fepointlight fespecularlighting fespotlight fetile feturbulence"
+).split())
+SPACED = ("br", "img", "input", "desc", "text", "mtr", "mtd")  # inline, but words end there
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 CLOSED_BY = {"p": None, "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "option": ("option",)}
 HOLDERS = ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "menu")
@@ -70,9 +80,10 @@ EXTRAS = (
 )
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED[:-1]) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -91,6 +102,8 @@ def blocks(page: str) -> list[Block]:
     held: list[str] = []
     linked, links = 0, 0
     hidden = False  # inside a head
+    foreign = False  # inside svg or math, where an element may close itself
+    at = 0
 
     def flush() -> None:
         nonlocal linked
@@ -101,7 +114,9 @@ def blocks(page: str) -> list[Block]:
             held.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         text = m["text"]
         if text is not None:
             if not hidden:
@@ -109,19 +124,29 @@ def blocks(page: str) -> list[Block]:
                 if links:
                     linked += len(text)
             continue
-        if m["tag"] is None:  # a comment, a declaration or an element that is skipped whole
+        if m["raw"] is not None:
+            raw = m["raw"].lower()
+            if not (foreign and m[0].endswith("/>")):
+                end = _RAW_END[raw].search(page, at)
+                # a title without an end does not hide the page
+                at = end.end() if end else at if raw == "title" else len(page)
+            continue
+        if m["tag"] is None:  # a comment or a declaration
             continue
         tag = m["tag"].lower()
+        if tag in ("svg", "math"):
+            foreign = not m["end"] and not m["attrs"].endswith("/")
         if m["end"]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag == "head":
                 hidden = False
             elif tag in INLINE or tag in VOID:
-                if tag == "br":
+                if tag in SPACED:
                     held.append(" ")
             else:
                 flush()
+                foreign = False
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
@@ -134,15 +159,17 @@ def blocks(page: str) -> list[Block]:
             hidden = True
             continue
         if tag in INLINE:
+            if tag in SPACED:
+                held.append(" ")
             continue
         if tag in VOID:
-            if tag in ("br", "img", "input"):
+            if tag in SPACED:
                 held.append(" ")
             if tag == "hr":
                 flush()
             continue
         flush()
-        links, hidden = 0, False
+        links, hidden, foreign = 0, False, False
         if stack and stack[-1][0] == "p":
             stack.pop()  # a paragraph ends where another block begins
         for i in range(len(stack) - 1, -1, -1):

@@ -96,6 +96,27 @@ def test_blocks():
     assert bl.blocks("") == [] and bl.blocks("<script>x") == [] and bl.blocks("<p") == [bl.Block((), "<p", 0)]
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<nav><svg class='i'/>Menu</nav><article><p>One.</p><p>Two.</p></article>", ["Menu", "One.", "Two."]),
+        ("<nav><svg><title/><style/><path d='M0'/>Menu</nav><article><p>One.</p></article>", ["Menu", "One."]),
+        ("<article><p>Area is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> m.</p><p>Is <math/>it?</p></article>", ["Area is x+1 m.", "Is it?"]),
+        ("<article><object data='a'><p>One.</p><canvas><p>Two.</p></article><p>Three.</p>", ["One.", "Two.", "Three."]),
+        ("<article><p>See <object>the film</object>, <noscript>or its script</noscript>.</p></article>", ["See the film, or its script."]),
+        ("<div><template><p>One.</p></div><iframe src='b'/><p>Two.</p>", ["One.", "Two."]),
+        ("<p>A <svg><text>chart</text><text>of</text></svg> it</p><script>if (a</script >b<style x>y</style><p>c", ["A chart of it", "b", "c"]),
+        ("<style-guide>One.</style-guide><SCRIPT src='x'></p><p>no", ["One."]),
+    ],
+)
+def test_only_scripts_styles_and_titles_are_skipped(body, want):
+    got = bl.blocks(f"<html><head><title>T</title></head><body>{body}")
+    assert [b.text for b in got] == want
+    assert all(b.path[-1][0] in ("nav", "p", "style-guide") for b in got if b.text != "b")
+    assert all(t not in ("article", "template") for b in got if b.text == "Three." or "template" in body and b.text == "Two." for t, _ in b.path)
+    assert bl.blocks("<title>no end<p>One.</p>")[-1].text == "One."
+
+
 def test_main_text_of_the_sample_layout(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {}
