@@ -18,7 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,6 @@ PATH_BUCKETS = 512
 WORD_BUCKETS = 16
 MEASURES = 6
 BATCH_PAGES = 128
-PATH_ELEMENTS = 64  # innermost open elements that a path tells, where markup nests deeper
 
 # Fixed lists: elements and names of pages, in plain words.
 RAW = ("script", "style", "title")  # hold no markup and no text of the page
@@ -90,15 +89,29 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Block:
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # open elements: tag, class and id words
+    # open elements that say something those around them do not, then the innermost: tag, class and id words
+    path: tuple[tuple[str, tuple[str, ...]], ...]
     text: str
     linked: int  # characters inside links
 
 
+@lru_cache(1 << 14)
+def _tells(tag: str, names: tuple[str, ...]) -> frozenset:
+    """All that labels and inputs take from an open element; at any depth there are few different ones."""
+    fixed = {t for t in (tag,) if t in _TOLD_TAGS} | {f"word {w}" for w in names if w in _TOLD_WORDS}
+    return frozenset({_bucket(f"tag {tag}", PATH_BUCKETS)} | {_bucket(f"word {w}", PATH_BUCKETS) for w in names} | fixed)
+
+
+_TOLD_TAGS = {*BOILERPLATE_TAGS, *ARTICLE_TAGS, "header"}
+_TOLD_WORDS = {*BOILERPLATE_WORDS, *ARTICLE_WORDS}
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, character references decoded, white space made one space."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    told: dict = {}  # what open elements tell, with the depth of the first that does
+    telling: list[int] = []  # depths of those
     held: list[str] = []
     linked, links = 0, 0
     hidden = False  # inside a head
@@ -110,10 +123,26 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(tuple(stack[-PATH_ELEMENTS:]), text, linked))
+                around = [stack[i] for i in telling if i < len(stack) - 1]
+                out.append(Block((*around, *stack[-1:]), text, linked))
             held.clear()
         linked = 0
 
+    def opened(element: tuple[str, tuple[str, ...]]) -> None:
+        new = [k for k in _tells(*element) if k not in told]
+        if new:
+            told.update(dict.fromkeys(new, len(stack)))
+            telling.append(len(stack))
+        stack.append(element)
+
+    def closed(depth: int) -> None:
+        del stack[depth:]
+        if telling and telling[-1] >= depth:
+            while telling and telling[-1] >= depth:
+                telling.pop()
+            for k in [k for k, i in told.items() if i >= depth]:
+                del told[k]
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -149,7 +178,7 @@ def blocks(page: str) -> list[Block]:
                 foreign = False
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
-                        del stack[i:]
+                        closed(i)
                         break
             continue
         if tag == "a":
@@ -171,11 +200,11 @@ def blocks(page: str) -> list[Block]:
         flush()
         links, hidden, foreign = 0, False, False
         if stack and stack[-1][0] == "p":
-            stack.pop()  # a paragraph ends where another block begins
+            closed(len(stack) - 1)  # a paragraph ends where another block begins
         for i in range(len(stack) - 1, -1, -1):
             ends = CLOSED_BY.get(stack[i][0])
             if ends and tag in ends:
-                del stack[i:]
+                closed(i)
                 break
             if stack[i][0] in HOLDERS:
                 break
@@ -183,7 +212,7 @@ def blocks(page: str) -> list[Block]:
             continue
         names = tuple(w.lower() for a, b, c in _NAMES.findall(m["attrs"] or "") for w in _WORD.findall(a or b or c))
         if not m["attrs"].endswith("/"):
-            stack.append((tag, names))
+            opened((tag, names))
     flush()
     return out
 
@@ -463,10 +492,11 @@ def _extract(batches: Iterator[pa.RecordBatch], labeller) -> Iterator[pa.RecordB
 
 def fit(pages: DataFrame, sample: int = TRAIN_PAGES) -> Labeller:
     """Train on the ``sample`` pages with html whose hashed ids come first."""
-    keys = pages.filter("html is not null").select(F.col("page_id").cast("long").alias("page_id")).orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    ids = pages.filter("html is not null").select(F.col("page_id").cast("long").alias("page_id")).filter("page_id is not null").distinct()
+    keys = ids.orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).filter("html is not null")
     # ids first, then only their pages; rows that repeat an id count once
-    chosen = rows.join(F.broadcast(keys.distinct()), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+    chosen = rows.join(F.broadcast(keys), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
     found = sorted(((r["page_id"], r["html"]) for r in chosen.toLocalIterator()), key=lambda r: r[0])
     return train([h for _, h in found])
 

@@ -117,6 +117,24 @@ def test_only_scripts_styles_and_titles_are_skipped(body, want):
     assert bl.blocks("<title>no end<p>One.</p>")[-1].text == "One."
 
 
+def test_deep_paths_tell_what_is_around():
+    for depth in (70, 700):
+        got = bl.blocks("<nav class=menu>" + "<div class=a><div class=b>" * depth + "<p>x</p>" + "</div></div>" * depth + "<p>y</p></nav><article><div><div><p>z</p>")
+        assert [b.path for b in got] == [
+            (("nav", ("menu",)), ("div", ("a",)), ("div", ("b",)), ("p", ())), (("nav", ("menu",)), ("p", ())), (("article", ()), ("div", ()), ("p", ()))
+        ]
+        assert [bl._said(b.path) for b in got] == [False, False, True]
+    many = bl.blocks("<aside>" + "".join(f"<div class={'abcdefgh'[i % 8] * (i + 1)}>t" for i in range(3000)))
+    assert len(many) == 3000 and max(len(b.path) for b in many) <= bl.PATH_BUCKETS + 2 and not any(bl._said(b.path) for b in many)
+
+
+def test_labeller_learns_from_distinct_ids(spark, monkeypatch):
+    rows = [(None if i % 3 else 1, f"<p>r{i}</p>") for i in range(600)] + [(2 + i, f"<p>p{i}</p>") for i in range(30)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    monkeypatch.setattr(bl, "train", lambda texts: texts)
+    assert len(bl.fit(pages, 20)) == 20 and len(bl.fit(pages)) == 31
+
+
 def test_main_text_of_the_sample_layout(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {}
