@@ -15,7 +15,7 @@ from corpusqa.llm.ppm_language import UNKNOWN, identify
 from corpusqa.llm.shingle_join import jaccard_components
 from corpusqa.llm.slack_packing import pack_sequences
 from corpusqa.llm.substring_dedup import remove_repeats
-from corpusqa.operators.joins import lookup_join
+from corpusqa.operators.joins import holds_map, lookup_join
 from corpusqa.session import new_folder
 
 
@@ -27,15 +27,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; those without an id stay."""
-    found = jaccard_components(docs).filter(F.col("doc_id") == F.col("component_id"))
-    path = new_folder(spark, "kept-ids")
-    found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    """Keeps one row of each group of near copies: that with the smallest id, or one without an id if none has one.
+
+    Rows are told apart by a 64-bit digest of all their columns. Rows without words are no copies and stay.
+    """
+    told = [F.col(f"`{f.name}`") for f in docs.schema.fields if not holds_map(f.dataType)]
+    keyed = docs.withColumn("_row", F.xxhash64(*told, *[c.isNull() for c in told]))
+    found = jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    path = new_folder(spark, "copy-groups")
+    # equal rows are in the same group
+    found.groupBy(F.col("doc_id").alias("_row")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component"), F.max("set_id").isNull().alias("wordless")
+    ).write.parquet(path)
+    groups = spark.read.parquet(path)
+    ids = keyed.groupBy("_row").agg(F.min("doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = groups.filter("not wordless").join(ids, "_row").groupBy("component").agg(F.min_by(F.struct("_row", "rows"), order).alias("_first"))
+    path = new_folder(spark, "kept-rows")
+    first.select("_first.*").unionByName(groups.filter("wordless").select("_row", F.lit(1).cast("long").alias("rows"))).write.parquet(path)
     kept = spark.read.parquet(path)
-    # texts are moved only where the ids are too many to send to them
-    single = lookup_join(docs, kept.filter("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = lookup_join(docs, kept.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    # texts are moved only where the rows are too many to send to them
+    single = lookup_join(keyed, kept.filter("rows = 1").select("_row"), "_row", "left_semi")
+    repeated = lookup_join(keyed, kept.filter("rows > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return single.unionByName(repeated).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

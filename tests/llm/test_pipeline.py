@@ -54,6 +54,28 @@ def test_stages(spark):
     assert {r["doc_id"] for r in four.select("doc_id").distinct().collect()} == {r["doc_id"] for r in three.collect()}
 
 
+def test_near_copies_leave_one_row_of_each_group(spark):
+    def text(seed, n=60):
+        return " ".join(f"w{seed}x{i}" for i in range(n))
+
+    rows = [
+        (None, text(1), "a"), (None, text(1), "b"), (None, text(1) + " more", "a"),  # no member has an id
+        (3, text(2), "a"), (None, text(2), "a"), (5, text(2) + " end", "a"), (5, text(3), "a"),  # 5: a copy of 3, and a text of its own
+        (7, text(4), "a"), (7, text(4) + " near", "a"), (8, text(4), "a"),  # two near texts under one id
+        (9, text(5), "a"), (9, text(5), "a"), (9, text(5), None),  # repeated rows
+        (None, text(6), "a"), (None, text(6), "a"),
+        (10, "", "a"), (10, "", "a"), (None, None, "a"),  # nothing to compare
+    ]
+    docs = spark.createDataFrame([(d, t, None, s, 1) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).cache()
+    got = corpus_pipeline.near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    found = [(r["doc_id"], r["text"]) for r in got.collect()]
+    groups = Counter((r[1] or "").split("x")[0] for r in found)
+    assert groups == {**{f"w{i}": 1 for i in range(1, 7)}, "": 3}
+    by = {t.split("x")[0]: d for d, t in found if t}
+    assert by == {"w1": None, "w2": 3, "w3": 5, "w4": 7, "w5": 9, "w6": None}
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
