@@ -6,7 +6,8 @@
 2. A small classifier (one hidden layer, trained here) learns the parts in a node's
    neighbourhood from its vector.
 3. Every row is put in its most probable part. A query goes to its most probable parts; how
-   many is the least number that finds ``recall`` of the sample's true neighbours.
+   many is the least number that finds ``recall`` of the true neighbours among sample rows that
+   nothing was learned from, and more where those parts hold too few candidates.
 4. Candidates of those parts are scored exactly, in double precision, on the original vectors.
 
 Parts are split into blocks of bounded size, so a part that holds most rows is many tasks.
@@ -32,7 +33,8 @@ SAMPLE = 8192  # vectors that the partitions are learned from
 GRAPH_DEGREE = 12
 HIDDEN = 128
 EPOCHS = 24
-RECALL = 0.95  # aimed at on the sample
+HELD_OUT = 4  # one in so many sample rows is not learned from
+RECALL = 0.95  # aimed at on the held-out rows
 BLOCK = 16_384  # rows of a part that one task scores
 QUERY_BLOCK = 4096  # queries that one task scores them for
 
@@ -135,6 +137,8 @@ def _nearest_rows(x: np.ndarray, k: int) -> np.ndarray:
 
 def learn(sample: np.ndarray, rows: int, nearest: int = NEAREST, recall: float = RECALL) -> Index:
     """Partitions and their router from ``sample``; ``rows`` is the size of the whole table."""
+    order = np.random.default_rng(3).permutation(len(sample))
+    held, sample = sample[np.sort(order[: len(sample) // HELD_OUT])], sample[np.sort(order[len(sample) // HELD_OUT :])]
     n = len(sample)
     parts = max(1, min(max(8, int(np.sqrt(rows) / 16)), n // 64))
     if parts == 1:
@@ -149,10 +153,10 @@ def learn(sample: np.ndarray, rows: int, nearest: int = NEAREST, recall: float =
         np.add.at(target, (np.arange(n), part[graph[:, j]]), 1.0 / graph.shape[1])
     router = Router(x.shape[1], parts)
     router.fit(sample, target / target.sum(1, keepdims=True))
-    # how many parts must be looked into: true neighbours in the sample and where the router puts them
-    tests = np.random.default_rng(3).permutation(n)[: min(n, 1024)]
-    truth = _nearest_rows(x, min(nearest, n - 1))[tests]
-    scores = router.logits(sample)
+    # how many parts must be looked into: true neighbours among rows the router has not seen, as most of the table
+    tests = np.arange(min(len(held), 1024))
+    truth = _nearest_rows(held / np.abs(held).max(), min(nearest, len(held) - 1))[tests]
+    scores = router.logits(held)
     home = scores.argmax(1)
     rank = np.empty((len(tests), parts), np.int64)
     np.put_along_axis(rank, np.argsort(-scores[tests], axis=1), np.arange(parts)[None, :], axis=1)
@@ -170,12 +174,15 @@ def _assign(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home.astype(np.int32))], names=["vec_id", "v", "part"])
 
 
-def _route(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
+def _route(batches: Iterator[pa.RecordBatch], index, ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """``ids``: different ids in each part. Further parts are asked until there are ``k`` besides the query's own."""
     i: Index = index.value
     for batch in batches:
         if batch.num_rows:
-            best = np.argsort(-i.router.logits(matrix(batch.column(1))), axis=1, kind="stable")[:, : i.probes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], names=["query_id", "q", "parts"])
+            best = np.argsort(-i.router.logits(matrix(batch.column(1))), axis=1, kind="stable").astype(np.int32)
+            enough = 1 + (np.cumsum(ids[best], axis=1) <= k).sum(1)
+            parts = [row[: max(i.probes, n)] for row, n in zip(best, enough.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int32()))], names=["query_id", "q", "parts"])
 
 
 def best_of(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,7 +254,11 @@ def _search(spark, valid: DataFrame, query_filter, k: int, recall: float, sample
     queries = valid.filter(query_filter).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     count = queries.count()
     turns = max(1, -(-count // QUERY_BLOCK))
-    routed = queries.mapInArrow(partial(_route, index=index), "query_id long, q array<double>, parts array<int>")
+    ids = np.zeros(index.value.parts, np.int64)
+    # an id with rows in several parts counts in one of them
+    for r in stored.groupBy("vec_id").agg(F.min("part").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("ids")).collect():
+        ids[r["part"]] = r["ids"]
+    routed = queries.mapInArrow(partial(_route, index=index, ids=ids, k=k), "query_id long, q array<double>, parts array<int>")
     # queries of a part in turns, so that no task holds them all
     turn = F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(turns)).cast("int")
     asked = (

@@ -282,6 +282,37 @@ def test_recall_on_the_table(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def test_recall_beyond_the_sample(spark):
+    # a table of twelve samples: most rows and queries are none the router has seen
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    got = {}
+    for r in lp.nearest_neighbours(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), "vec_id % 20 = 0", sample=512).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    m = x.astype(np.float64)
+    hit = 0
+    for q, found in got.items():
+        s = m @ m[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 300 and all(len(f) == 20 for f in got.values())
+    assert hit / 6000 >= 0.9
+
+
+def test_small_parts_do_not_shorten_the_answer(spark, monkeypatch):
+    # rows of a large first component are in part 0, all others in part 3
+    router = lp.Router(4, 4)
+    router.w = [np.zeros((4, lp.HIDDEN)), np.zeros(lp.HIDDEN), np.zeros((lp.HIDDEN, 4)), np.array([0, -1, -1, 0.001])]
+    router.w[0][0, 0], router.w[1][0], router.w[2][0, 0] = 1, -0.995, 10
+    monkeypatch.setattr(lp, "build_index", lambda *a: lp.Index(router, 4, 1, 1.0))
+    x = np.random.default_rng(4).random((1000, 4))
+    x[:60, 0] = 0.999 * (np.arange(60) % 20 == 0)
+    assert 3 <= (x[:, 0] > 0.996).sum() < 20
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 40
+    got = lp.nearest_neighbours(vectors(spark, rows), "vec_id % 20 = 0").groupBy("query_id").count().collect()
+    assert len(got) == 50 and {r["count"] for r in got} == {20}
+
+
 def test_partitions_are_balanced():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 8))
