@@ -192,3 +192,34 @@ SELECT conv_id, perspective, position, turn, CASE WHEN trained THEN 'assistant'
   CASE WHEN trained THEN CAST(start + size AS BIGINT) END AS mask_end
 FROM placed
 """
+
+
+@query
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusqa.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_benchmark_decontamination"] = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+grams AS (
+  SELECT DISTINCT item_id, len(g) AS n, array_to_string(g, ' ') AS gram
+  FROM (SELECT item_id, unnest([w[i:i + 9] FOR i IN range(1, greatest(2, len(w) - 8))]) AS g FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM grams) WHERE len(w) >= n)),
+hits AS (SELECT r, p.n, i, item_id FROM places p JOIN grams g ON p.gram = g.gram AND p.n = g.n),
+counts AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS i FROM hits) GROUP BY r),
+listed AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM words LEFT JOIN counts USING (r) LEFT JOIN listed USING (r)
+"""
