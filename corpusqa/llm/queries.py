@@ -223,3 +223,100 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM words LEFT JOIN counts USING (r) LEFT JOIN listed USING (r)
 """
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusqa.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def _sql_crc32(data: str) -> str:
+    """CRC-32 of a list of bytes in SQL, four bits at a time."""
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+
+    def nibble(c: str) -> str:
+        return f"xor({c} >> 4, ({table})[({c} & 15) + 1])"
+
+    fold = nibble(nibble("xor(c, b)"))
+    return f"xor(list_reduce({data}, lambda c, b: {fold}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+_DECIMAL = "list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT))"
+
+SQL["op11_prefix_trie"] = rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_sql_crc32(_DECIMAL)} % 6 AS h, own
+  FROM (SELECT conv_id, count(*) AS own FROM turns GROUP BY 1)),
+sized AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS taken FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+rebuilt AS (
+  SELECT s.conv_id, pos AS depth, role, text FROM sized s JOIN turns t ON t.conv_id = s.base AND pos <= h
+  UNION ALL SELECT s.conv_id, taken + pos - h, role, text FROM sized s JOIN turns t ON t.conv_id = s.conv_id AND pos > h),
+listed AS (
+  SELECT s.conv_id, coalesce(l, []) AS l
+  FROM sized s LEFT JOIN (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY depth) AS l FROM rebuilt GROUP BY 1) USING (conv_id)),
+prefixes AS (
+  SELECT conv_id, d, len(l) = d AS is_end, sha256(array_to_string(l[1:d], '')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(l[1:d - 1], '')) END AS parent
+  FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM listed)),
+members AS (
+  SELECT p.*, coalesce(length(r.text), 0) AS chars FROM prefixes p LEFT JOIN rebuilt r ON r.conv_id = p.conv_id AND r.depth = p.d),
+nodes AS (
+  SELECT node, min(conv_id) AS conv_id, min(d) AS depth, min(parent) AS parent, count(*) AS n_convs, min(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM members GROUP BY node),
+children AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.parent = n.node),
+sums AS (
+  SELECT m.node, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * f.chars) AS saved
+  FROM full_nodes f JOIN members m ON m.conv_id = f.conv_id AND m.d <= f.depth GROUP BY 1)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN sums s ON s.node = f.node LEFT JOIN nodes p ON p.node = f.parent
+"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusqa.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+# letters up to U+00FF are one or two bytes
+_UTF8 = """flatten(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN unicode(s[i]) < 128 THEN [CAST(unicode(s[i]) AS BIGINT)]
+    ELSE [CAST(192 + (unicode(s[i]) >> 6) AS BIGINT), CAST(128 + (unicode(s[i]) & 63) AS BIGINT)] END))"""
+
+SQL["op12_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)),
+hashed AS (SELECT low, times, {_sql_crc32(_UTF8)} AS h FROM (SELECT low, d || ':' || low AS s, count(*) AS times FROM runs GROUP BY ALL)),
+results AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(low, 1, h % length(low)) || substr(low, h % length(low) + 2) ELSE low END AS word, times FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM results WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+holes AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT h.word AS a, h.n AS a_n, w.word AS b, w.n AS b_n FROM holes h JOIN words w ON w.word = h.part),
+near AS (
+  SELECT a AS word, a_n AS n, b AS near, b_n AS near_n FROM shorter
+  UNION ALL SELECT b, b_n, a, a_n FROM shorter
+  UNION ALL SELECT a.word, a.n, b.word, b.n FROM holes a JOIN holes b ON a.part = b.part AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS top FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= 2 * w.n THEN top[2] END AS form, CASE WHEN -top[1] >= 2 * w.n THEN -top[1] END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (
+  SELECT word, word AS at, form AS next FROM forms
+  UNION ALL SELECT c.word, c.next, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, CAST(f.form_n AS BIGINT) AS form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
