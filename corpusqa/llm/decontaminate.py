@@ -17,9 +17,10 @@ from corpusqa.session import settle
 
 SIZE = 10  # words of a window
 
-# Fixed by the contract: characters of words, once A-Z are lower case, and in a text as it is.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Fixed by the contract: characters of words, once A-Z are lower case, and in a text as it is. Said by
+# what they are, not by what they are not: Java takes six times as long for the negated class.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
@@ -41,11 +42,14 @@ def _windows(benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 def _hits(texts: DataFrame, grams: DataFrame) -> DataFrame:
     """(digest, pos, n, win): each window of ``texts`` (digest, w) that is one of ``grams``."""
     lengths = [r["n"] for r in grams.select("n").distinct().collect()]  # at most ``size`` numbers
-    at = texts.select("digest", "w", F.posexplode("w").alias("pos", "_"))
+    # A column used twice is computed before the rows of a document are made, once and not for each of
+    # them; the outer form keeps Spark from inferring a filter that finds the words again.
+    texts = texts.select("w", F.substring("digest", 1, 32).alias("d1"), F.substring("digest", 33, 32).alias("d2"))
+    at = texts.select("w", "d1", "d2", F.posexplode_outer("w").alias("pos", "_"))
     for_length = F.explode(F.array(*[F.lit(n) for n in lengths])) if len(lengths) > 1 else F.lit(lengths[0] if lengths else 0)
-    at = at.select("digest", "w", "pos", for_length.alias("n")).filter(F.col("pos") + F.col("n") <= F.size("w"))
+    at = at.select("w", "d1", "d2", "pos", for_length.alias("n")).filter(F.col("pos") + F.col("n") <= F.size("w"))
     gram = F.slice("w", F.col("pos") + 1, F.col("n"))
-    seen = at.select("digest", "pos", "n", gram.alias("here"), F.xxhash64(gram).alias("h"))
+    seen = at.select(F.concat("d1", "d2").alias("digest"), "pos", "n", gram.alias("here"), F.xxhash64(gram).alias("h"))
     wanted = grams.select("h", "gram", "win")
     if fits_broadcast(wanted):
         pairs = seen.join(F.broadcast(wanted), "h")
