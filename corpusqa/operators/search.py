@@ -5,33 +5,29 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
 from corpusqa.operators.joins import fits_broadcast, lookup_join, top_per_key
-from corpusqa.session import new_folder, settle
-
-
-# Partitions of a stored index: a term's postings are in the one its hash names.
-TERM_PARTITIONS = 64
+from corpusqa.session import settle
 
 
 @dataclass(frozen=True)
 class Index:
     """Postings (field, term, keys, tf, length), one row per field, term and document.
 
-    ``total`` is one row, the number of documents; ``lengths`` has the mean length of each field.
-    ``frequencies`` (field, term, df) is there once an index is stored.
+    ``total`` is one row, the number of documents; ``lengths`` has the mean length of each field;
+    ``documents`` (keys, field, length, terms) has the postings still in the rows of their documents.
     """
 
     postings: DataFrame
     total: DataFrame
     keys: tuple[str, ...]
     lengths: DataFrame
-    frequencies: DataFrame | None = None
+    documents: DataFrame
 
 
 def _field_terms(value: Column, kind: T.DataType) -> Column:
@@ -65,43 +61,10 @@ def build_index(
     postings = by_field.select(*keys, "field", "length", F.inline("terms"))
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     lengths = by_field.filter("length > 0").groupBy("field").agg(F.avg("length").alias("_mean"))
-    return Index(postings, total, tuple(keys), lengths)
-
-
-def _term_partition() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(TERM_PARTITIONS)).cast("int")
-
-
-def write_index(index: Index, path: str | None = None) -> Index:
-    """Store the postings by term, with document frequencies and field lengths, and use the stored
-    tables from now on.
-
-    The folder ``part`` of a posting is a hash of its term, so that a search joined on it reads
-    only the folders of its terms, however many they are. Inside a folder rows are ordered by
-    field, term and key, and a frequent term is spread over several files.
-    """
-    spark = index.postings.sparkSession
-    path = path or new_folder(spark, "index")
-    order = ["part", "field", "term", *index.keys]
-    rows = index.postings.withColumn("part", _term_partition())
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    index.total.write.mode("overwrite").parquet(f"{path}/total")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    stored = spark.read.parquet(f"{path}/postings")
-    frequencies = stored.groupBy("part", "field", "term").agg(F.count(F.lit(1)).alias("df"))
-    frequencies.write.mode("overwrite").partitionBy("part").parquet(f"{path}/frequencies")
-    return read_index(spark, path, index.keys)
-
-
-def read_index(spark: SparkSession, path: str, keys: Sequence[str]) -> Index:
-    """An index stored by ``write_index``."""
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "total", "lengths", "frequencies")}
-    return Index(tables["postings"], tables["total"], tuple(keys), tables["lengths"], tables["frequencies"])
+    return Index(postings, total, tuple(keys), lengths, by_field)
 
 
 def document_frequency(index: Index) -> DataFrame:
-    if index.frequencies is not None:
-        return index.frequencies.select("field", "term", "df")
     return index.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -114,38 +77,11 @@ def clauses(queries: DataFrame, qid: str, words: str, field: str = "text") -> Da
     return queries.select(qid, F.lit(field).alias("field"), F.explode(every).alias("term"))
 
 
-def search(
-    index: Index,
-    wanted: DataFrame,
-    qid: str,
-    n: int = fixed.TERM_HITS,
-    scoring: str = "classic",
-) -> DataFrame:
-    """Top ``n`` documents per query: (qid, keys, score, rank).
-
-    The clause side is measured: while it is small it is broadcast, beyond that frequent terms
-    are salted. Postings without a wanted term are dropped where they are read. What is left of
-    an index that is not stored is written out, as it serves both the term frequencies and the
-    scores. Where the postings of a document lie together (an index that is not stored), its sum
-    per query forms inside the task and one row per query and document is shuffled; a stored
-    index is ordered by term, so there a row per match is. After that only the best ``n`` per
-    query are. A stored index is joined on its folders too, and has its frequencies at hand.
-    """
+def term_weights(grouped: DataFrame, freq: DataFrame, total: Column, qid: str, scoring: str) -> DataFrame:
+    """(qid, field, term, _m, _w) of the clauses ``grouped`` (qid, field, term, _m): what a query's
+    documents share goes into the weight of a term."""
     if scoring not in ("classic", "bm25"):
         raise ValueError("scoring is 'classic' or 'bm25'")
-    grouped = wanted.groupBy(qid, "field", "term").agg(F.count(F.lit(1)).alias("_m"))
-    terms = wanted.select("field", "term").distinct()
-    bound = None if fits_broadcast(grouped) else 0
-    total = index.total.scalar()
-    if index.frequencies is None:
-        needed = settle(_join(index.postings, terms, ["field", "term"], "left_semi", bound))
-        freq = needed.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        on = ["field", "term"]
-    else:
-        on = ["part", "field", "term"]
-        terms = terms.withColumn("part", _term_partition())
-        needed = index.postings
-        freq = _join(index.frequencies, terms, on, "left_semi", bound).drop("part")
     df = F.coalesce(F.col("df"), F.lit(0))
     idf = (
         F.lit(1.0) + F.ln(F.col("_N") / (df + F.lit(1.0)))
@@ -160,25 +96,62 @@ def search(
         .withColumn("_clauses", F.sum("_m").over(per_query))
         .withColumn("_squares", F.sum(F.col("_m") * F.col("_idf") * F.col("_idf")).over(per_query))
     )
-    # what a query's documents share goes into the term weight
     if scoring == "classic":
         weight = F.col("_m") * F.col("_idf") * F.col("_idf") / F.sqrt("_squares") / F.col("_clauses")
-        part = F.col("_w") * F.sqrt(F.col("tf") / F.col("length"))
-        score = F.sum(part) * F.sum("_m")
     else:
         weight = F.col("_m") * F.col("_idf")
-        k1, b = 1.2, 0.75
-        tf, mean = F.col("tf"), F.col("_mean")
-        part = F.col("_w") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("length") / mean))
-        score = F.sum(part)
-    weights = weights.select(qid, "field", "term", "_m", weight.alias("_w"))
-    if "part" in on:
-        weights = weights.withColumn("part", _term_partition())
-    matches = _join(needed, weights, on, "inner", bound)
+    return weights.select(qid, "field", "term", "_m", weight.alias("_w"))
+
+
+def impact(scoring: str, tf: Column, length: Column, mean: Column) -> Column:
+    """What a posting is worth: its part of a score, without the weight of the term. Grows with ``tf``
+    and falls with ``length``. ``mean`` is the field's mean length, for bm25."""
+    if scoring == "classic":
+        return F.sqrt(tf / length)
+    k1, b = 1.2, 0.75
+    return (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / mean))
+
+
+def total_score(scoring: str, parts: Column, matched: Column) -> Column:
+    """The score of a document from the sum of its parts and the number of clauses it has."""
+    return parts * matched if scoring == "classic" else parts
+
+
+def search(
+    index: Index,
+    wanted: DataFrame,
+    qid: str,
+    n: int = fixed.TERM_HITS,
+    scoring: str = "classic",
+) -> DataFrame:
+    """Top ``n`` documents per query: (qid, keys, score, rank).
+
+    A stored index (``stored_index``) looks only at the postings that can matter. For another the
+    clause side is measured: while it is small it is broadcast, beyond that frequent terms
+    are salted. Postings without a wanted term are dropped where they are read, and what is left
+    is written out, as it serves both the term frequencies and the scores. The postings of a document
+    lie together, so its sum per query forms inside the task and one row per query and
+    document is shuffled; after that only the best ``n`` per query are.
+    """
+    if not isinstance(index, Index):
+        return index.search(wanted, qid, n, scoring)
+    grouped = wanted.groupBy(qid, "field", "term").agg(F.count(F.lit(1)).alias("_m"))
+    terms = wanted.select("field", "term").distinct()
+    bound = None if fits_broadcast(grouped) else 0
+    needed = settle(_join(index.postings, terms, ["field", "term"], "left_semi", bound))
+    freq = needed.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    weights = term_weights(grouped, freq, index.total.scalar(), qid, scoring)
+    matches = _join(needed, weights, ["field", "term"], "inner", bound)
     if scoring == "bm25":
         matches = matches.join(F.broadcast(index.lengths), "field")  # a row for each field
-    hits = matches.groupBy(qid, *index.keys).agg(score.alias("score"))
-    order = [F.round("score", 6).desc(), *[F.col(k) for k in index.keys]]
+    part = F.col("_w") * impact(scoring, F.col("tf"), F.col("length"), F.col("_mean") if scoring == "bm25" else F.lit(None))
+    hits = matches.groupBy(qid, *index.keys).agg(total_score(scoring, F.sum(part), F.sum("_m")).alias("score"))
+    return best_hits(hits, qid, index.keys, n)
+
+
+def best_hits(hits: DataFrame, qid: str, keys: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` best of (qid, keys, score), ties by key: with their rank."""
+    order = [F.round("score", 6).desc(), *[F.col(k) for k in keys]]
     return top_per_key(hits, [qid], order, n)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusqa.functions import text as tx
 from corpusqa.operators import entities as en
 from corpusqa.operators import search as se
+from corpusqa.operators import stored_index as si
 from corpusqa.operators import triples as tr
 from corpusqa.plans import data as d
 from corpusqa.plans.registry import query
@@ -58,11 +59,50 @@ def find_terms_bm25(spark, sf):
 @query(f"""WITH {_CLAUSES}, {d.sql_search('clauses', 'documents', ['doc_id'], 100)}
 SELECT qid, doc_id, round(score, 4) AS score, rank FROM hits""")
 def find_terms_stored_index(spark, sf):
-    """The same search on a stored index."""
-    index = se.write_index(_index(spark, sf))
+    """The same search on a stored index, which skips postings by score bounds."""
+    index = si.write_index(_index(spark, sf))
     return _ranked(se.find_terms(index, _question_words(spark, sf), "qid", "words"))
 
 
+@query(f"""WITH {_CLAUSES}, {d.sql_search('clauses', 'documents', ['doc_id'], 100, scoring='bm25')}
+SELECT qid, doc_id, round(score, 4) AS score, rank FROM hits""")
+def find_terms_stored_bm25(spark, sf):
+    index = si.write_index(_index(spark, sf))
+    return _ranked(se.find_terms(index, _question_words(spark, sf), "qid", "words", scoring="bm25"))
+
+
+def _segmented(spark, sf):
+    # first a part of the documents, some of them in an older form; then the rest, and the newer forms
+    docs = d.documents(spark, sf).select("doc_id", "text")
+    older = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("old form "), "text")).otherwise(F.col("text"))
+    index = si.write_index(se.build_index(docs.filter("doc_id % 3 <> 0").withColumn("text", older), ["doc_id"]))
+    return si.add_documents(index, docs.filter("doc_id % 3 = 0 OR doc_id % 5 = 0"))
+
+
+@query(f"""WITH {_CLAUSES}, {d.sql_search('clauses', 'documents', ['doc_id'], 100)}
+SELECT qid, doc_id, round(score, 4) AS score, rank FROM hits""")
+def find_terms_segments(spark, sf):
+    """Search over an index in segments, with replaced documents: as over one index of all."""
+    return _ranked(se.find_terms(_segmented(spark, sf), _question_words(spark, sf), "qid", "words"))
+
+
+@query(f"""WITH kept AS (SELECT * FROM documents WHERE lang <> 'de'), {_DOC_TERMS.replace('FROM documents', 'FROM kept')}
+SELECT 'text' AS field, term, count(DISTINCT doc_id) AS df FROM terms GROUP BY ALL""")
+def delete_from_index(spark, sf):
+    """Document frequencies of an index after documents were deleted from it."""
+    index = si.write_index(_index(spark, sf))
+    gone = d.documents(spark, sf).filter("lang = 'de'").select("doc_id")
+    return si.delete_documents(index, gone).frequencies.select("field", "term", "df")
+
+
+@query(f"""WITH {_CLAUSES}, {_DOC_TERMS}
+SELECT qid, 'text' AS field, c.term, count(DISTINCT t.doc_id) AS df FROM (SELECT DISTINCT qid, term FROM clauses) c JOIN terms t ON t.term = c.term GROUP BY ALL""")
+def postings_read(spark, sf):
+    """The terms of the questions whose postings a search looks at; at least one of them, at most all."""
+    read = si.postings_read(si.write_index(_index(spark, sf)), se.clauses(_question_words(spark, sf), "qid", "words"), "qid")
+    return read.filter("read between 0 and df").select("qid", "field", "term", "df")
+
+
 def _linked(spark, sf):
     """Documents with the URIs of their links, and questions with theirs."""
     gaz = d.gazetteer(spark, sf)

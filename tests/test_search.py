@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from conftest import rows
 from corpusqa.operators import answers as an
 from corpusqa.operators import entities as en
 from corpusqa.operators import search as se
+from corpusqa.operators import stored_index as si
 from corpusqa.operators import triples as tr
 
 
@@ -40,9 +42,10 @@ def classic(clauses, docs):
 def test_scores_follow_the_formula(spark, docs, stored, salted, monkeypatch):
     if salted:
         monkeypatch.setattr(se, "fits_broadcast", lambda df: False)
+        monkeypatch.setattr(si, "fits_broadcast", lambda df: False)
     index = se.build_index(docs, ["id"])
     if stored:
-        index = se.write_index(index)
+        index = si.write_index(index)
     clauses = ["red", "red", "cat", "nowhere"]
     got = {r["id"]: r["score"] for r in se.find_terms(index, asked(spark, *clauses), "qid", "words").collect()}
     want = classic(clauses, [r["text"].split() for r in docs.orderBy("id").collect()])
@@ -183,7 +186,63 @@ def test_stored_snippets_and_index_answer_alike(spark, tmp_path):
     asked = spark.createDataFrame([(1, "Why word3 cats"), (2, "zebra")], "qid long, question string")
     plain = rows(an.ask_batch(asked, snippets, threshold=0.0))
     stored = an.write_snippets(snippets, str(tmp_path / "s"))
-    index = se.write_index(se.build_index(snippets, an.SNIPPET_KEYS), str(tmp_path / "i"))
+    index = si.write_index(se.build_index(snippets, an.SNIPPET_KEYS), str(tmp_path / "i"))
     assert rows(an.ask_batch(asked, stored, index=index, threshold=0.0)) == plain
     assert rows(se.find_terms(index, asked.selectExpr("qid", "array('cats', 'word3') AS w"), "qid", "w", scoring="bm25")) == rows(
         se.find_terms(se.build_index(snippets, an.SNIPPET_KEYS), asked.selectExpr("qid", "array('cats', 'word3') AS w"), "qid", "w", scoring="bm25"))
+
+
+def random_docs(seed, n):
+    rng = random.Random(seed)
+    words = ["the"] * 30 + ["of"] * 12 + [f"w{i % 40}" for i in range(60)] + [f"rare{i}" for i in range(50)]
+    return [(i, " ".join(rng.choices(words, k=rng.choice((1, 2, 5, 30, 120)))) if i % 17 else None) for i in range(n)]
+
+
+@pytest.mark.parametrize("scoring", ["classic", "bm25"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_score_bounds_lose_no_hit(spark, seed, scoring):
+    docs = spark.createDataFrame(random_docs(seed, 400), "id long, text string")
+    questions = [(1, ["the", "rare3", "rare4", "w5"]), (2, ["the", "of"]), (3, ["w1", "w2", "w2", "the", "rare9"]), (4, ["nowhere"]), (5, ["rare1"]), (6, [])]
+    questions = spark.createDataFrame(questions, "qid long, words array<string>")
+    index = se.build_index(docs, ["id"])
+    for n in (1, 7, 100):
+        want = se.find_terms(index, questions, "qid", "words", n, scoring)
+        got = se.find_terms(si.write_index(index), questions, "qid", "words", n, scoring)
+        key = ["qid", "id", F.round("score", 9).alias("score"), "rank"]
+        assert rows(got, *key) == rows(want, *key)
+
+
+def test_a_common_word_is_hardly_read(spark):
+    rng = random.Random(4)
+    texts = [" ".join(["the"] * rng.choice((1, 2, 3)) + [f"x{rng.randrange(3000)}" for _ in range(rng.choice((20, 60, 200)))]) for _ in range(3000)]
+    texts += [f"the needle in the hay {i} " + "pin " * (i % 7) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    questions = spark.createDataFrame([(1, ["the", "needle", "pin"])], "qid long, words array<string>")
+    index = se.build_index(docs, ["id"])
+    stored = si.write_index(index)
+    assert rows(se.find_terms(stored, questions, "qid", "words", 10)) == rows(se.find_terms(index, questions, "qid", "words", 10))
+    read = {r["term"]: (r["df"], r["read"]) for r in si.postings_read(stored, se.clauses(questions, "qid", "words"), "qid", 10).collect()}
+    assert read["the"][0] == 3040 and read["the"][1] * 5 < read["the"][0]
+
+
+def test_segments(spark, tmp_path):
+    first, later = random_docs(5, 200), random_docs(6, 260)
+    index = si.write_index(se.build_index(spark.createDataFrame(first, "id long, text string"), ["id"]), str(tmp_path / "i"))
+    assert not si.has_index(spark, str(tmp_path / "none")) and si.has_index(spark, str(tmp_path / "i"))
+    # 60 new documents, 100 replaced, 20 deleted, unknown ones ignored
+    index = si.add_documents(index, spark.createDataFrame(later[100:], "id long, text string"))
+    index = si.delete_documents(index, spark.createDataFrame([(i,) for i in [*range(20), 9999]], "id long"))
+    assert si.delete_documents(index, spark.createDataFrame([(5,)], "id long")).segments == index.segments
+    now = first[20:100] + later[100:]
+    whole = se.build_index(spark.createDataFrame(now, "id long, text string"), ["id"])
+    questions = spark.createDataFrame([(1, ["the", "rare3", "w5"]), (2, ["of", "w7"])], "qid long, words array<string>")
+    key = ["qid", "id", F.round("score", 9).alias("score"), "rank"]
+    for scoring in ("classic", "bm25"):
+        want = rows(se.find_terms(whole, questions, "qid", "words", 30, scoring), *key)
+        for stored in (index, si.read_index(spark, str(tmp_path / "i")), si.merge_segments(index)):
+            assert rows(se.find_terms(stored, questions, "qid", "words", 30, scoring), *key) == want
+    assert rows(index.frequencies, "field", "term", "df") == rows(se.document_frequency(whole), "field", "term", "df")
+    # a segment that was not finished is not there
+    spark.range(3).selectExpr("id", "'text' AS field", "1 AS length", "array(struct('the' AS term, 1 AS tf)) AS terms").write.parquet(str(tmp_path / "i" / "documents" / "segment=9"))
+    assert rows(index.total) == rows(si.read_index(spark, str(tmp_path / "i")).total) == [(len(now),)]
+    assert si.read_index(spark, str(tmp_path / "i")).documents.count() == len(now)
