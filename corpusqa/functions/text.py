@@ -57,6 +57,34 @@ def prefix_sums(values: Column) -> Column:
     return let(values, lambda v: let(blocks(v), shifted))
 
 
+# Places gathered at once by ``cut_points``.
+_CUT_BLOCK = 256
+
+
+def cut_points(sizes: Column, rule: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Places (from 0) at which ``rule(size so far, next size)`` says cut; it returns (cut, size from now on).
+
+    The fold carries numbers, and the places in blocks, so that its cost grows with the elements only.
+    """
+    none = F.array().cast("array<int>")
+    start = F.struct(
+        F.lit(0).cast("long").alias("size"), F.lit(0).alias("at"), none.alias("block"), F.array().cast("array<array<int>>").alias("blocks")
+    )
+
+    def step(s: Column, x: Column) -> Column:
+        cut, size = rule(s["size"], x)
+        full = F.size(s["block"]) >= _CUT_BLOCK
+        block = F.concat(F.when(full, none).otherwise(s["block"]), F.array(s["at"]))
+        return F.struct(
+            size.cast("long").alias("size"),
+            (s["at"] + 1).alias("at"),
+            F.when(cut, block).otherwise(s["block"]).alias("block"),
+            F.when(cut & full, F.concat(s["blocks"], F.array(s["block"]))).otherwise(s["blocks"]).alias("blocks"),
+        )
+
+    return F.aggregate(sizes, start, step, lambda s: F.flatten(F.concat(s["blocks"], F.array(s["block"]))))
+
+
 def with_offsets(pieces: Column) -> Column:
     """(piece, start) for consecutive pieces of a text."""
     return let(

@@ -191,24 +191,59 @@ def extract_passages(
     found = F.when(F.size(bow) > 0, _hits(tx.located_sentences(F.col(text)), F.col(bow), threshold))
     # rows are told apart by all they hold; equal rows have equal passages
     own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not holds_map(docs.schema[c].dataType)])
-    copies = docs.withColumn("_row", own).select(*rest, "_row", F.inline(found))
-    runs = copies.groupBy("_row", "_run").agg(
-        F.first(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_rest"),
-        F.array_sort(F.collect_list(F.struct("_at", "_sentence", "_overlap"))).alias("_sents"),
-        F.min("_start").alias("offset"),
+    every = docs.withColumn("_row", own).select(*rest, "_row", F.inline(found))
+    # equal rows bring each sentence once more: merged before a run is put together
+    columns = F.struct(*[F.col(f"`{c}`") for c in rest])
+    once = every.groupBy("_row", "_run", "_at").agg(
+        F.first(columns).alias("_rest"), F.first("_sentence").alias("_sentence"), F.first("_overlap").alias("_overlap"),
+        F.first("_start").alias("_start"), F.count(F.lit(1)).cast("int").alias("_copies"),
     )
-    # equal rows bring each sentence once more
-    runs = runs.withColumn("_copies", F.size(F.filter("_sents", lambda s: s["_at"] == F.col("_sents")[0]["_at"])))
-    runs = runs.withColumn("_sents", F.array_distinct("_sents"))
+    runs = once.groupBy("_row", "_run").agg(
+        F.first("_rest").alias("_rest"), *_passage(F.col("_at"), F.col("_sentence"), F.col("_overlap"), F.col("_start")), F.first("_copies").alias("_copies"))
     return runs.select(
-        "_rest.*",
-        F.array_join(F.transform("_sents", lambda s: s["_sentence"]), " ").alias("passage"),
-        F.aggregate("_sents", F.lit(1.0), lambda p, s: p * s["_overlap"]).alias("ranking"),
-        "offset",
-        F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"),
+        "_rest.*", *_told_passage(), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"),
     ).drop("_copy")
 
 
+def _passage(at: Column, sentence: Column, overlap: Column, start: Column) -> list[Column]:
+    ordered = F.array_sort(F.collect_list(F.struct(at.alias("at"), sentence.alias("sentence"), overlap.alias("overlap"))))
+    return [ordered.alias("_sents"), F.min(start).alias("offset")]
+
+
+def _told_passage() -> list[Column]:
+    return [
+        F.array_join(F.transform("_sents", lambda s: s["sentence"]), " ").alias("passage"),
+        F.aggregate("_sents", F.lit(1.0), lambda p, s: p * s["overlap"]).alias("ranking"),
+        F.col("offset"),
+    ]
+
+
+def sentence_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, at, sentence, start, words): the sentences of each document, tokenised once for all questions."""
+    rows = docs.select(key, F.posexplode(tx.located_sentences(F.col(text))).alias("at", "_s"))
+    return rows.select(key, "at", F.col("_s.piece").alias("sentence"), F.col("_s.start").alias("start"), F.array_distinct(tx.tokens(F.col("_s.piece"))).alias("words"))
+
+
+def find_passages(
+    sentences: DataFrame, asked: DataFrame, key: str, qid: str = "qid", bow: str = "bow", threshold: float = fixed.OVERLAP_THRESHOLD
+) -> DataFrame:
+    """(qid, key, passage, ranking, offset) like ``extract_passages``, for pairs ``asked`` (qid, key, bow) of questions and documents.
+
+    ``sentences`` is a ``sentence_table``, best a stored one. The words of a question are looked up among the
+    words of the document's sentences; a sentence without any is never met. Runs are sentences whose place less
+    their number among the question's sentences of the document is the same. A pair counts once.
+    """
+    asked = settle(asked.select(qid, key, F.size(bow).alias("_size"), F.array_distinct(bow).alias("_bag")).distinct())
+    words = asked.select(qid, key, "_size", F.explode("_bag").alias("_word"))
+    postings = lookup_join(sentences, asked.select(key).distinct(), key, "left_semi").select(key, "at", F.explode("words").alias("_word"))
+    shared = lookup_join(postings, words, [key, "_word"]).groupBy(qid, key, "at", "_size").agg(F.count(F.lit(1)).alias("_shared"))
+    hits = shared.withColumn("_overlap", F.col("_shared") / F.col("_size")).filter(F.col("_overlap") >= threshold)
+    placed = number_rows(hits.select(qid, key, "at", "_overlap"), [F.col("at")], [qid, key], "_nth")
+    placed = lookup_join(sentences.select(key, "at", "sentence", "start"), placed, [key, "at"])
+    runs = placed.groupBy(qid, key, (F.col("at") - F.col("_nth")).alias("_run")).agg(*_passage(F.col("at"), F.col("sentence"), F.col("_overlap"), F.col("start")))
+    return runs.select(qid, key, *_told_passage())
+
+
 def _best_first(tie: Sequence[str]) -> list[Column]:
     return [from_best(F.col("ranking")), *[F.col(t) for t in tie]]
 

@@ -67,28 +67,31 @@ def chunk_by_chars(
         F.split(F.col(text), " "),
         lambda w: F.regexp_replace(w, r"^[\x00-\x20]+|[\x00-\x20]+$", ""),
     )
-    chunk = "struct<offset:int,chunk:string>"
-    start = F.struct(
-        F.lit("").alias("chunk"), F.lit(0).alias("offset"), F.array().cast(f"array<{chunk}>").alias("done")
-    )
-
-    def step(s: Column, word: Column) -> Column:
-        full = F.length(word) + F.length(s["chunk"]) > max_chars
-        closed = F.struct(s["offset"].alias("offset"), s["chunk"].alias("chunk"))
-        return F.struct(
-            F.when(full, word).otherwise(F.concat(s["chunk"], F.lit(" "), word)).alias("chunk"),
-            F.when(full, s["offset"] + F.length(s["chunk"]) + 1)
-            .otherwise(s["offset"])
-            .alias("offset"),
-            F.when(full, F.concat(s["done"], F.array(closed))).otherwise(s["done"]).alias("done"),
-        )
-
-    def finish(s: Column) -> Column:
-        tail = F.array(F.struct(s["offset"].alias("offset"), s["chunk"].alias("chunk")))
-        return F.when(F.length(s["chunk"]) > 0, F.concat(s["done"], tail)).otherwise(s["done"])
+    def rule(size: Column, word: Column) -> tuple[Column, Column]:
+        full = word + size > max_chars
+        return full, F.when(full, word).otherwise(size + 1 + word)
+
+    def chunks(words: Column, firsts: Column) -> Column:
+        # a chunk runs from its first word to before the next one's; the words before the first cut are one, too
+        bounds = F.concat(F.array(F.lit(0)), firsts, F.array(F.size(words)))
+        blank = lambda b, k: F.when((k == 0) & (F.get(b, F.lit(1)) > 0), " ").otherwise("")
+        parts = tx.let(bounds, lambda b: F.transform(
+            F.sequence(F.lit(0), F.size(b) - 2),
+            lambda k: F.concat(blank(b, k), _joined(words, F.get(b, k) + 1, F.get(b, k + 1) - F.get(b, k))),
+        ))
+        # an empty last chunk is none
+        whole = tx.let(parts, lambda p: F.slice(p, 1, F.size(p) - F.when(F.element_at(p, -1) == "", 1).otherwise(0)))
+
+        def placed(texts: Column) -> Column:
+            ends = tx.prefix_sums(F.transform(texts, lambda t: F.length(t) + 1))
+            return tx.let(ends, lambda e: F.transform(
+                texts, lambda t, k: F.struct((F.get(e, k) - F.length(t) - 1).cast("int").alias("offset"), t.alias("chunk"))))
+
+        return tx.let(whole, placed)
 
     rest = [c for c in docs.columns if c not in (text, "offset", "chunk")]
-    return docs.select(*rest, F.inline(F.aggregate(words, start, step, finish)))
+    cut = tx.let(words, lambda w: tx.let(tx.cut_points(F.transform(w, F.length), rule), lambda f: chunks(w, f)))
+    return docs.select(*rest, F.inline(cut))
 
 
 def word_blocks(docs: DataFrame, text: str = "text", size: int = 100) -> DataFrame:
@@ -127,25 +130,20 @@ def word_lines(docs: DataFrame, text: str = "text", size: int = 101) -> DataFram
 def pack_by_spaces(docs: DataFrame, text: str = "text", max_spaces: int = 100) -> DataFrame:
     """Records (lines) of a document strung together, with a break once they hold more than
     ``max_spaces`` blanks. Counting starts anew after a break and with each document."""
-    start = F.struct(
-        F.lit("").alias("line"), F.lit(0).alias("spaces"), F.array().cast("array<string>").alias("done")
-    )
-
-    def step(s: Column, record: Column) -> Column:
-        line = F.concat(s["line"], record)
-        spaces = s["spaces"] + F.length(F.regexp_replace(record, r"[^ ]+", ""))
-        full = spaces > max_spaces
-        return F.struct(
-            F.when(full, "").otherwise(line).alias("line"),
-            F.when(full, 0).otherwise(spaces).alias("spaces"),
-            F.when(full, F.concat(s["done"], F.array(line))).otherwise(s["done"]).alias("done"),
-        )
+    def rule(spaces: Column, more: Column) -> tuple[Column, Column]:
+        full = spaces + more > max_spaces
+        return full, F.when(full, 0).otherwise(spaces + more)
 
-    def finish(s: Column) -> Column:
-        return F.when(s["line"] != "", F.concat(s["done"], F.array(s["line"]))).otherwise(s["done"])
+    def lines(records: Column, ends: Column) -> Column:
+        whole = F.transform(ends, lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1).alias("start"), e.alias("end")))
+        past = F.coalesce(F.try_element_at(ends, F.lit(-1)) + 1, F.lit(0))
+        spans = F.concat(whole, F.array(F.struct(past.alias("start"), (F.size(records) - 1).alias("end"))))
+        cut = F.transform(spans, lambda s: F.array_join(F.slice(records, s["start"] + 1, s["end"] - s["start"] + 1), ""))
+        return F.filter(cut, lambda line: line != "")
 
     rest = [c for c in docs.columns if c != text]
-    packed = F.aggregate(F.split(F.col(text), "\n"), start, step, finish)
+    blanks = lambda r: F.length(F.regexp_replace(r, r"[^ ]+", ""))
+    packed = tx.let(F.split(F.col(text), "\n"), lambda r: tx.let(tx.cut_points(F.transform(r, blanks), rule), lambda e: lines(r, e)))
     return docs.select(*rest, F.posexplode(packed).alias("line_no", "line"))
 
 

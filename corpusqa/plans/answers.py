@@ -196,18 +196,17 @@ def candidates_vectors(spark, sf):
     return _scored(found.select("qid", F.concat_ws("@", "id", "offset").alias("item"), "ranking", "rank"), "ranking")
 
 
-def _gold_pairs(spark, sf):
-    """Documents found for a question, with the question's words. The texts stay where they are."""
+def _asked_docs(spark, sf):
+    """Documents found for a question, with the question's words."""
     analysed = qu.analyze_questions(d.questions(spark, sf))
     docs = d.documents(spark, sf).select("doc_id", "text")
     hits = an.extract(analysed, se.build_index(docs, ["doc_id"]), "fulltext").select("qid", "doc_id")
-    asked = settle(hits.join(analysed.select("qid", "bow"), "qid"))
-    return lookup_join(docs, asked, "doc_id")
+    return docs, settle(hits.join(analysed.select("qid", "bow"), "qid"))
 
 
 _PIECES = d.q(fixed.SENTENCE_PATTERN + r"|[.!?\n]")
 
-@query(f"""WITH {_CLOSED}, {_ALL_CLAUSES}, {d.sql_search('clauses', 'documents', ['doc_id'], 100)},
+_PASSAGES = f"""WITH {_CLOSED}, {_ALL_CLAUSES}, {d.sql_search('clauses', 'documents', ['doc_id'], 100)},
 pieces AS (SELECT doc_id, unnest(l) AS piece, unnest(range(len(l))) AS i
   FROM (SELECT doc_id, regexp_extract_all(text, {_PIECES}) AS l FROM documents)),
 placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS start FROM pieces),
@@ -219,12 +218,26 @@ scored AS (SELECT h.qid, s.doc_id, k, piece, start,
   FROM hits h JOIN sents s USING (doc_id) JOIN bows b USING (qid)),
 kept AS (SELECT *, k - row_number() OVER (PARTITION BY qid, doc_id ORDER BY k) AS run FROM scored WHERE overlap >= 0.2)
 SELECT qid, doc_id, string_agg(piece, ' ' ORDER BY k) AS passage, round(product(overlap), 6) AS ranking, min(start)::BIGINT AS "offset"
-FROM kept GROUP BY qid, doc_id, run""")
+FROM kept GROUP BY qid, doc_id, run"""
+
+
+@query(_PASSAGES)
 def extract_passages(spark, sf):
-    found = an.extract_passages(_gold_pairs(spark, sf), threshold=0.2)
+    docs, asked = _asked_docs(spark, sf)
+    found = an.extract_passages(lookup_join(docs, asked, "doc_id"), threshold=0.2)  # the texts stay where they are
     return found.withColumn("ranking", F.round("ranking", 6))
 
 
+@query(_PASSAGES)
+def find_passages(spark, sf):
+    """The same over stored sentences, each document tokenised once."""
+    docs, asked = _asked_docs(spark, sf)
+    path = new_folder(spark, "sentences")
+    an.sentence_table(docs, "doc_id").write.parquet(path)
+    found = an.find_passages(spark.read.parquet(path), asked, "doc_id", threshold=0.2)
+    return found.withColumn("ranking", F.round("ranking", 6)).withColumn("offset", F.col("offset").cast("long"))
+
+
 _RANKED = f"""{_BASELINE},
 ranked AS (SELECT qid, id, "offset", score AS ranking, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id, "offset") AS rank FROM hits)"""
 

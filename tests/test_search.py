@@ -165,6 +165,17 @@ def test_passages(spark):
     assert got == [(1, "a x.  a b.", 0.2222, 0), (1, "b!", 0.3333, 22)]
 
 
+def test_passages_of_stored_sentences(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, "".join(rng.choice(["a b", "c", "d a", ", b "]) + rng.choice([". ", "! ", "\n"]) for _ in range(rng.choice((0, 3, 40))))) for i in range(12)] + [(50, None)], "k int, text string")
+    pairs = [(q, k, bag) for q, bag in ((1, ["a", "b", "b"]), (2, ["c"]), (3, []), (4, ["zzz"])) for k in (*range(12), 50, 77)]
+    asked = spark.createDataFrame(pairs + pairs[:5], "qid int, k int, bow array<string>")
+    got = an.find_passages(an.sentence_table(docs, "k"), asked, "k", threshold=0.3)
+    want = an.extract_passages(docs.join(asked.distinct(), "k"), threshold=0.3)
+    key = ["qid", "k", "passage", F.round("ranking", 9).alias("ranking"), "offset"]
+    assert rows(got, *key) == rows(want, *key) and got.count()
+
+
 def test_passages_of_equal_rows(spark):
     text = "a b. a b c. x y. b a. z."
     docs = spark.createDataFrame([(1, text, ["a", "b"])] * 2 + [(2, None, ["a"]), (3, text, [])], "k int, text string, bow array<string>")

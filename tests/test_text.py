@@ -135,3 +135,43 @@ def test_lines_are_written(spark, tmp_path):
     lines = wiki.articles_to_lines(spark.createDataFrame([("a b, c",), ("d",)], "text string"))
     wiki.write_lines(lines, str(tmp_path))
     assert rows(spark.read.text(str(tmp_path))) == [("a b , c",), ("d",)]
+
+
+def test_cuts_of_odd_texts(spark):
+    rng = random.Random(2)
+    texts = ["", " ", "\n", "x" * 30, "x" * 30 + " b", "b " + "x" * 30, "a b  c", "a " * 40 + "x" * 25 + "  ", "\n".join(["a b c"] * 50), "word\n" * 40]
+    texts += [" ".join("y" * rng.randrange(0, 14) for _ in range(rng.randrange(1, 60))) + "\n" * rng.randrange(3) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "id int, text string")
+
+    def chunks(text, most):
+        out, chunk, offset = [], "", 0
+        for w in text.split(" "):
+            w = w.strip("".join(map(chr, range(33))))
+            if len(w) + len(chunk) > most:
+                out.append((offset, chunk))
+                offset, chunk = offset + len(chunk) + 1, w
+            else:
+                chunk += " " + w
+        return out + [(offset, chunk)] if chunk else out
+
+    def lines(text, most):
+        out, line, spaces = [], "", 0
+        for record in text.split("\n"):
+            line, spaces = line + record, spaces + record.count(" ")
+            if spaces > most:
+                out.append(line)
+                line, spaces = "", 0
+        return out + [line] if line else out
+
+    got = sn.chunk_by_chars(df, max_chars=20)
+    assert rows(got, "id", "offset", "chunk") == sorted((i, o, c) for i, t in enumerate(texts) for o, c in chunks(t, 20))
+    for most in (0, 3):
+        got = sn.pack_by_spaces(df, max_spaces=most)
+        assert rows(got, "id", "line_no", "line") == sorted((i, n, x) for i, t in enumerate(texts) for n, x in enumerate(lines(t, most)))
+
+
+def test_cuts_of_one_long_text(spark):
+    # breaks beyond several blocks of places
+    df = spark.createDataFrame([(1, "\n".join(f"{i} x y" for i in range(5000)))], "id int, text string")
+    assert sn.pack_by_spaces(df, max_spaces=1).count() == 5000
+    assert sn.chunk_by_chars(df, max_chars=5).count() > 4000
