@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +50,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+# Paths handed out inside the open ``scratch`` blocks, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever Spark can write one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``new_folder`` names inside the block are deleted at its end, when what was made
+    of them has been written elsewhere."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete_folder(spark, path)
 
 
 def settle(df: DataFrame) -> DataFrame:
