@@ -472,6 +472,7 @@ def train(pages: list[str]) -> Labeller:
 _PARTS = 4 << 20
 
 
+@tb.tidy
 def _extract(batches: Iterator[pa.RecordBatch], labeller) -> Iterator[pa.RecordBatch]:
     tb.make_room()
     model: Labeller = labeller.value

@@ -43,24 +43,39 @@ class StretchEncoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.checks = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, parts: list[bytes]) -> None:
         got = self.encode(parts)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         at = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))])
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys)
-        self.keys, self.at, self.sizes = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.sizes, sizes])[order]
+        self.keys, self.checks = keys[order], np.concatenate([self.checks, checks])[order]
+        self.at, self.sizes = np.concatenate([self.at, at])[order], np.concatenate([self.sizes, sizes])[order]
+
+    def _rows_alone(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # different stretches with one hash: told apart by their bytes
+        parts = [data[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+        every = list(dict.fromkeys(parts))
+        ids_of = dict(zip(every, self.encode(every), strict=True))
+        sizes = np.fromiter((len(ids_of[p]) for p in parts), np.int64, len(parts))
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return np.fromiter((i for p in parts for i in ids_of[p]), np.uint32, int(total[-1])), np.diff(total[np.searchsorted(starts, offsets)])
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of the rows of one piece of text."""
         starts = cuts(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        keys, where, inverse = np.unique(tb.hash_runs(data, starts, ends), return_index=True, return_inverse=True)
+        keys, where, inverse = np.unique(tb.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        every = tb.word_hashes(data, starts, ends, tb.SECOND)
+        checks = every[where]
+        if not np.array_equal(checks[inverse], every):
+            return self._rows_alone(data, starts, ends, offsets)
         if len(self.keys) > KEPT_STRETCHES:
             self._clear()
         long_ones = ends[where] - starts[where] > LONG
@@ -68,9 +83,11 @@ class StretchEncoder:
         known = np.zeros(len(keys), bool)
         inside = spot < len(self.keys)
         known[inside] = self.keys[spot[inside]] == keys[inside]
+        if not np.array_equal(self.checks[spot[known]], checks[known]):
+            return self._rows_alone(data, starts, ends, offsets)
         new = np.flatnonzero(~known)
         if len(new):
-            self._learn(keys[new], [data[starts[w] : ends[w]].tobytes() for w in where[new]])
+            self._learn(keys[new], checks[new], [data[starts[w] : ends[w]].tobytes() for w in where[new]])
             spot = np.searchsorted(self.keys, keys)
         pick = spot[inverse]
         sizes = self.sizes[pick]
@@ -83,12 +100,12 @@ class StretchEncoder:
 
 
 def library_encoder(content: bytes) -> StretchEncoder:
-    """Encoder by the tokenizers library; ``content`` is its JSON file. Special tokens in a text are text."""
+    """Encoder by the tokenizers library; ``content`` is its JSON file. A text that holds one of its added
+    tokens gets that token's id, as the library does it; no such token may begin or end with white space."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(content.decode())
-    tokenizer.encode_special_tokens = True
 
     def encode(parts: list[bytes]) -> list[list[int]]:
         texts = [p.decode("utf-8", "replace") for p in parts]

@@ -125,7 +125,8 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+@tb.tidy
+def _predict(batches: Iterator[pa.RecordBatch], model, with_text: bool) -> Iterator[pa.RecordBatch]:
     tb.make_room()
     m: Model = model.value
     names = np.array([*m.languages, UNKNOWN], dtype=object)
@@ -144,8 +145,8 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             letters = np.zeros(len(bits), bool)
         best = np.where(letters, best, len(m.languages))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, per_byte, 0.0)), *batch.columns[3:]],
-            names=["doc_id", "lang_pred", "score", "bits_per_byte", *batch.schema.names[3:]],
+            [batch.column(0), pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, per_byte, 0.0)), *([batch.column(1)] if with_text else []), *batch.columns[3:]],
+            names=["doc_id", "lang_pred", "score", "bits_per_byte", *(["text"] if with_text else []), *batch.schema.names[3:]],
         )
 
 
@@ -189,7 +190,10 @@ def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...]
     tb.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("_letters"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
-    kinds = "".join(f", _keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = rows.mapInArrow(partial(_predict, model=sent), "doc_id long, lang_pred string, score double, bits_per_byte double" + kinds)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte", *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])
+    # a text that is kept goes to the workers once
+    with_text = "text" in keep and docs.schema["text"].dataType.simpleString() == "string"
+    others = {c: f"_keep_{i}" for i, c in enumerate(keep) if not (with_text and c == "text")}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("_letters"), *[F.col(c).alias(n) for c, n in others.items()])
+    kinds = (", text string" if with_text else "") + "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in others.items())
+    out = rows.mapInArrow(partial(_predict, model=sent, with_text=with_text), "doc_id long, lang_pred string, score double, bits_per_byte double" + kinds)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte", *[F.col(others[c]).alias(c) if c in others else F.col("text") for c in keep])

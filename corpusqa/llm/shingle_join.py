@@ -52,7 +52,7 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS
     for lo, hi in tb.spans(offsets, 2 << 20):
         part = data[offsets[lo] : offsets[hi]]
         starts, ends, first = tb.word_bounds(part, offsets[lo : hi + 1] - offsets[lo])
-        codes = tb.hash_runs(part, starts, ends, tb.LOWER_CODES)
+        codes = tb.word_hashes(part, starts, ends, tb.LOWER)
         hashes, counts = tb.windows(codes, first, words)
         n_words = np.diff(first)
         short = np.flatnonzero((n_words > 0) & (n_words < words))
@@ -92,6 +92,7 @@ def _digests(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 _OUT = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 
 
+@tb.tidy
 def _send(batches: Iterator[pa.RecordBatch], slices: int, words: int) -> Iterator[pa.RecordBatch]:
     """Step 1. A set that the task has met before is listed as a copy and sends no tokens."""
     tb.make_room()
@@ -161,6 +162,7 @@ def _unblob(raw: bytes, counted: bool = False) -> tuple[np.ndarray, np.ndarray,
     return np.repeat(docs, sizes), tokens, np.frombuffer(view[at + 6 * n :], np.uint32) if counted else None
 
 
+@tb.tidy_table
 def _answer(table: pa.Table) -> pa.Table:
     """Step 2, for one slice: tokens with their number of sets, where that is over one."""
     tb.make_room()
@@ -236,6 +238,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, size: int, percent: int =
 _SET_TYPE = "doc_id long, n_shingles long, set_id long, own boolean, tokens binary, signatures array<long>"
 
 
+@tb.tidy_table
 def _order(table: pa.Table, percent: int) -> pa.Table:
     """Step 3, for one chunk: a row for each document, with signatures where it can link."""
     tb.make_room()
@@ -273,6 +276,7 @@ def _links(n: int, m: int, common: int, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
+@tb.tidy
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
@@ -285,6 +289,7 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
+@tb.tidy_table
 def _compare(table: pa.Table, percent: int) -> pa.Table:
     """Step 4, for two blocks of one bucket: a link wherever sets of different components join."""
     ids, sizes, roots, sides = (table[c].to_numpy() for c in ("set_id", "n_shingles", "root", "side"))
@@ -402,7 +407,7 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PER
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     slices = max(1, -(-total // SLICE_BYTES))
     sent = texts.mapInArrow(partial(_send, slices=slices, words=words), "slice int, chunk long, kind int, data binary")
-    counted = sent.groupBy("slice").applyInArrow(_answer, "chunk long, kind int, data binary")
+    counted = sent.groupBy("slice").applyInArrow(lambda t: _answer(t), "chunk long, kind int, data binary")
     ordered = counted.groupBy("chunk").applyInArrow(lambda t: _order(t, percent), _SET_TYPE)
     path = new_folder(spark, "shingle-sets")
     ordered.write.parquet(path)

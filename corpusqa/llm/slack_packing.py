@@ -80,6 +80,7 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[dict[int, in
 _PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
+@tb.tidy
 def _cut(batches: Iterator[pa.RecordBatch], content, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
     encoder = kept_encoder(content.value)
     part = TaskContext.get().partitionId()
@@ -123,6 +124,7 @@ def _places(patterns: list[tuple[dict[int, int], int]], first: int) -> dict[str,
     return {"key": table[:, 0] << 44 | table[:, 1], "low": table[:, 1], "copies": table[:, 2], "first": table[:, 3], "offset": table[:, 4]}
 
 
+@tb.tidy
 def _place(batches: Iterator[pa.RecordBatch], places, size: int) -> Iterator[pa.RecordBatch]:
     p = places.value
     for batch in batches:

@@ -67,9 +67,26 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = tb.word_bounds(data, offsets)
-    return starts, ends, first, tb.hash_runs(data, starts, ends)
+    return starts, ends, first, tb.word_hashes(data, starts, ends)
 
 
+def _checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """A second hash of every window, of other word hashes: windows are equal where both are."""
+    return tb.windows(tb.word_hashes(data, starts, ends, tb.SECOND), first, size)[0]
+
+
+def _ranked(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): an order in which equal windows lie together, and whether each is the one before it."""
+    order = np.argsort(hashes, kind="stable")
+    equal = hashes[order][1:] == hashes[order][:-1]
+    same = equal & (checks[order][1:] == checks[order][:-1])
+    if not np.array_equal(equal, same):  # different windows with one first hash
+        order = np.lexsort((checks, hashes))
+        same = (hashes[order][1:] == hashes[order][:-1]) & (checks[order][1:] == checks[order][:-1])
+    return order, np.concatenate([[False], same]) if len(hashes) else np.zeros(0, bool)
+
+
+@tb.tidy
 def _hot(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
     for _, _, data, offsets in _chunks(batches):
         _, _, first, codes = _codes(data, offsets)
@@ -88,6 +105,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - span)], out[width - span :]) if span < width else out
 
 
+@tb.tidy
 def _send(batches: Iterator[pa.RecordBatch], buckets: int, hot, size: int, gram: int) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     last = hot.value
@@ -96,15 +114,13 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, hot, size: int, gram:
         hashes, counts = tb.windows(codes, first, size)
         doc = np.repeat(np.arange(len(counts)), counts)
         word = tb.ragged(first[:-1], counts)  # first word of each window
-        order = np.argsort(hashes, kind="stable")
-        new = np.ones(len(hashes), bool)
-        new[1:] = hashes[order][1:] != hashes[order][:-1]
-        heads = np.flatnonzero(new)
+        order, same = _ranked(hashes, _checks(data, starts, ends, first, size))
+        heads = np.flatnonzero(~same)
         repeats = np.diff(np.concatenate([heads, [len(hashes)]]))
         marked = np.zeros(len(hashes), bool)
         marked[order] = np.repeat(repeats > 1, repeats)
         sent = np.sort(order[heads])
-        del hashes, order, new
+        del hashes, order, same
         # what the chunk knows by itself: its repeated windows
         out = [(int(number % buckets), 0, _mark(data) + len(marked).to_bytes(8, "little") + np.packbits(marked).tobytes())]
         if len(sent):
@@ -145,6 +161,7 @@ def _mark(data: np.ndarray) -> bytes:
     return zlib.crc32(data).to_bytes(4, "little")
 
 
+@tb.tidy
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chunks themselves: texts and other columns, packed."""
     pack = zstandard.ZstdCompressor(level=3)
@@ -158,6 +175,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary())], names=["chunk", "data"])
 
 
+@tb.tidy_table
 def _answer(table: pa.Table, size: int) -> pa.Table:
     """For one bucket: the windows that occur twice or more, as ranges of window numbers."""
     tb.make_room()
@@ -175,21 +193,21 @@ def _answer(table: pa.Table, size: int) -> pa.Table:
         data = np.concatenate([s[3] for s in sent])
         origin = np.concatenate([s[1] for s in sent]).astype(np.int64)
         runs = np.cumsum([len(s[1]) for s in sent])
-        hashes, counts, windows, owner = [], [], [], []
+        hashes, checks, windows, owner = [], [], [], []
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         for lo, hi in tb.spans(offsets, 4 << 20):
-            _, _, first, codes = _codes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            part = data[offsets[lo] : offsets[hi]]
+            starts, ends, first, codes = _codes(part, offsets[lo : hi + 1] - offsets[lo])
             h, c = tb.windows(codes, first, size)
             hashes.append(h)
+            checks.append(_checks(part, starts, ends, first, size))
             windows.append(tb.ragged(origin[lo:hi], c))
             owner.append(np.repeat(np.searchsorted(runs, np.arange(lo, hi), side="right"), c))
-        hashes, windows, owner = np.concatenate(hashes), np.concatenate(windows), np.concatenate(owner)
-        order = np.argsort(hashes)
-        ranked = hashes[order]
-        twice = np.zeros(len(ranked), bool)
-        same = ranked[1:] == ranked[:-1]
-        twice[1:] |= same
-        twice[:-1] |= same
+        windows, owner = np.concatenate(windows), np.concatenate(owner)
+        order, same = _ranked(np.concatenate(hashes), np.concatenate(checks))
+        twice = same.copy()
+        twice[:-1] |= same[1:]
+        del hashes, checks, same
         found = np.sort(order[twice])
         windows, owner = windows[found], owner[found]
         cuts = np.searchsorted(owner, np.arange(len(sent) + 1))
@@ -205,6 +223,7 @@ def _answer(table: pa.Table, size: int) -> pa.Table:
     )
 
 
+@tb.tidy_table
 def _remove(table: pa.Table, texts: pa.Table, size: int, leave_clean: bool) -> pa.Table:
     """For one chunk: its documents without the words of repeated windows."""
     tb.make_room()

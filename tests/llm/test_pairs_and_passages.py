@@ -187,3 +187,20 @@ def test_word_hashes():
     hashes, counts = tb.windows(tb.hash_runs(data, starts, ends), first, 3)
     assert counts.tolist() == [1, 0, 1, 0, 1] and hashes[0] == hashes[2] != hashes[1]
     assert (tb.unpack48(tb.pack48(np.array([0, 1, (1 << 48) - 1], np.uint64))) == [0, 1, (1 << 48) - 1]).all()
+
+
+def test_words_with_equal_polynomials_do_not_repeat(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = ("".join(x[k] for k in bits) for x in ("ab", "ba"))
+    texts = [" ".join([f"w{i}" for i in range(20)] + [w] + [f"v{i}" for i in range(20)]) for w in (a, b)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [r["n_removed"] for r in sd.remove_repeats(df).collect()] == [0, 0]
+    near = spark.createDataFrame([(1, f"{a} q r s t"), (2, f"{b} q r s t")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in sj.jaccard_components(near).collect()) == [(1, 1), (2, 2)]
+
+
+def test_windows_with_one_first_hash():
+    hashes, checks = np.array([5, 5, 5, 1, 5], np.uint64), np.array([1, 2, 1, 9, 2], np.uint64)
+    order, same = sd._ranked(hashes, checks)
+    assert sorted(zip(hashes[order].tolist(), checks[order].tolist(), same.tolist(), strict=True)) == [
+        (1, 9, False), (5, 1, False), (5, 1, True), (5, 2, False), (5, 2, True)]

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ok, note = compare(spark, con, name, QUERIES[name], SQL[name], SF)
     assert ok, note
@@ -79,3 +79,41 @@ def test_near_copies_leave_one_row_of_each_group(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
+
+
+CLASHING = ("score", "held_out", "lang_pred", "n_words", "n_removed", "kept_text", "_row", "doc", "rows", "component", "_letters", "_keep_0", "_c0", "bits_per_byte")
+
+
+def test_columns_of_any_name_come_through(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = docs.select("*", *[docs["doc_id"].cast("string").alias(c) for c in CLASHING]).cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF).cache()
+        assert out.columns == wide.columns and [f.dataType for f in out.schema] == [f.dataType for f in wide.schema]
+        assert 0 < out.count() == out.filter(" AND ".join(f"`{c}` = doc_id" for c in CLASHING)).count()
+        wide = out
+    assert corpus_pipeline.packing(spark, wide, SF).count() > 0
+
+
+def test_last_stage_keeps_every_id(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, fill = {}, Counter()
+    for r in corpus_pipeline.packing(spark, docs, SF).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 2048 and set(fill) == set(range(len(fill)))
+    for r in docs.collect():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        at = 0
+        for start, length, crc, n in sorted(pieces.pop(r["doc_id"])):
+            assert start == at and n == len(ids) and crc == zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    assert not pieces

@@ -34,7 +34,6 @@ def docs(spark, extra=False):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -59,7 +58,6 @@ LIBRARY, REPLAY = [], []
 def test_stretches_give_the_same_ids(texts):
     if not LIBRARY:
         t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-        t.encode_special_tokens = True
         LIBRARY.append((library_encoder(read_vocabulary(P.path("byte_bpe_50k.json"))), t))
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
         REPLAY.append((replay_encoder(P.PATTERN.encode() + b"\n" + read_vocabulary(P.path("byte_bpe_multi_50k.tiktoken"))), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})))
@@ -185,3 +183,35 @@ def test_cuts_are_after_characters_that_are_no_space():
     raw = "a b  c é d　 e".encode()
     at = cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert [raw[i : i + 2] for i in at] == [b"a ", b" b", b" \xc3", b" d"]
+
+
+def parity_words():
+    """Two different words of 1,024 letters whose polynomial sums modulo 2**64 are equal."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_with_equal_polynomials_stay_apart(spark, library, multi):
+    a, b = parity_words()
+    rows = [(1, f"x {a} y"), (2, f"x {b} y"), (3, " ".join(["w"] * 20 + [a] + ["w"] * 20)), (4, " ".join(["w"] * 20 + [b] + ["w"] * 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ranks = read_vocabulary(P.path("byte_bpe_multi_50k.tiktoken"))
+    got = {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in decode_ids(encode_texts(df, ranks, P.PATTERN), ranks).collect()}
+    for d, t in rows:
+        assert got[d] == (np.array(multi.encode_ordinary(t), "<u4").tobytes(), t.encode())
+    assert encoded(library_encoder(read_vocabulary(P.path("byte_bpe_50k.json"))), [t for _, t in rows]) == [library(t) for _, t in rows]
+
+
+def test_equal_hashes_are_told_apart_by_bytes(library, monkeypatch):
+    from corpusqa.llm import textbytes as tb
+
+    real, calls = tb.word_hashes, []
+
+    def poor(data, starts, ends, constants=tb.FIRST):
+        calls.append(1)
+        return real(data, starts, ends, constants) % np.uint64(7 if constants is tb.FIRST else 1 << 60)
+
+    monkeypatch.setattr(tb, "word_hashes", poor)
+    encoder = library_encoder(read_vocabulary(P.path("byte_bpe_50k.json")))
+    texts = ["a few different words and <|endoftext|> here", "more of them, and more"]
+    assert encoded(encoder, texts) == [library(t) for t in texts] and calls
