@@ -209,12 +209,13 @@ def merge_process(spark, sf):
 
 @query(_RECORDS)
 def merge_process_stream(spark, sf):
-    """The events file as a stream of messages, every message delivered twice."""
+    """The events file as a stream of messages, every message delivered twice; then compacted."""
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     twice = events.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
     table, state = new_folder(spark, "merged"), new_folder(spark, "state")
-    sr.merge_process_stream(d.as_reports(twice), table, state).awaitTermination()
+    sr.merge_process_stream(d.as_reports(twice), table, state, lateness="400 days").awaitTermination()
+    sr.compact(spark, table)
     return flat_records(sr.merged_records(spark, table))
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from conftest import rows
 from corpusqa.operators import corpora as co
 from corpusqa.operators import reports as rp
@@ -71,24 +73,65 @@ def test_merge_rules(spark):
     assert set(got["details"].values()) == {None}
 
 
+def stored_batches(spark, table):
+    return {r["batch"]: r["n"] for r in spark.read.parquet(f"{table}/changes").groupBy("batch").agg(F.countDistinct("id").alias("n")).collect()}
+
+
 def test_stream_equals_batch_under_redelivery(spark, tmp_path):
     src, table, state = (str(tmp_path / n) for n in ("src", "table", "state"))
     everything = messages(spark)
     expected = records(rp.merge_process(everything))
-    for part in ("id = %d" % ID1, "seq > 4", "seq IN (1, 3, 5)"):
+    for n, part in enumerate(("id = %d" % ID1, "seq > 4", "seq IN (1, 3, 5)")):
         everything.filter(part).coalesce(1).write.mode("append").parquet(src)
         sr.merge_process_stream(rc.stream_reports(spark, src, 1), table, state).awaitTermination()
+        if n == 1:  # compacted while the stream goes on
+            assert sr.compact(spark, table) >= 1 and sr.compact(spark, table) == max(stored_batches(spark, table))
     assert records(sr.merged_records(spark, table)) == expected
-    assert records(sr.merged_records(spark, sr.compact(spark, table))) == expected
+    last = sr.compact(spark, table)
+    assert last == max(stored_batches(spark, table)) and sr.vacuum(spark, table) > 0
+    assert records(sr.merged_records(spark, table)) == expected
+    assert sr.vacuum(spark, table) == 0
+
+
+def report(seq, id_, time, kind="node"):
+    return (seq, kind, id_, time, None, None, f"n{seq}", None, None, None, None, None, None)
+
+
+def test_a_batch_writes_what_it_brings(spark, tmp_path):
+    src, table, state = (str(tmp_path / n) for n in ("src", "table", "state"))
+    day = 86_400_000
+    batches = [
+        [report(i, i, day * 10 + i) for i in range(500)],
+        [report(1000 + i, i, day * 11) for i in range(10)],  # ten ids
+        [report(1000 + i, i, day * 11) for i in range(10)],  # delivered again
+        [report(2000, 7, day * 60)],
+        [report(2001, 8, day * 61), report(2002, 8, day), report(2003, 9, day)],  # two of them behind the watermark
+    ]
+    late, everything = 0, spark.createDataFrame([], rc.REPORT_SCHEMA)
+    for rows_ in batches:
+        df = spark.createDataFrame(rows_, rc.REPORT_SCHEMA)
+        everything = everything.unionByName(df.filter(f"time <> {day}"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        query = sr.merge_process_stream(rc.stream_reports(spark, src, 1), table, state, lateness="20 days")
+        query.awaitTermination()
+        late += sr.late_rows(query)
+    assert late == 2
+    sizes = [n for n in stored_batches(spark, table).values()]
+    assert sorted(sizes) == [1, 1, 10, 500]
+    assert records(sr.merged_records(spark, table)) == records(rp.merge_process(everything))
 
 
 def test_running_counts(spark, tmp_path):
     src, table, state = (str(tmp_path / n) for n in ("src", "table", "state"))
-    for words in (["a", "b", "a"], ["a"]):
+    for words in (["a", "b", "a"], ["a"], ["c"]):
         spark.createDataFrame([("w", x) for x in words], "section string, key string").coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema("section string, key string").parquet(src)
         sr.running_counts(stream, table, state).awaitTermination()
-    assert rows(sr.latest_counts(spark, table)) == [("w", "a", 3), ("w", "b", 1)]
+    assert rows(sr.latest_counts(spark, table)) == [("w", "a", 3), ("w", "b", 1), ("w", "c", 1)]
+    changed = spark.read.parquet(f"{table}/changes").groupBy("batch").count()
+    assert sorted(r["count"] for r in changed.collect()) == [1, 1, 2]
+    assert sr.compact_counts(spark, table) == 2 and sr.vacuum(spark, table) == 3
+    assert rows(sr.latest_counts(spark, table)) == [("w", "a", 3), ("w", "b", 1), ("w", "c", 1)]
 
 
 def test_newest_and_exists(spark):
