@@ -1,17 +1,27 @@
-"""Exact nearest neighbours by cosine. Spark deals out blocks of vectors, numpy scores them."""
+"""Exact nearest neighbours by cosine. Spark deals out blocks of vectors, numpy scores them.
+
+Items are dealt to a few pivots by direction, and a pivot's items to slices. No item of a pivot can be
+nearer to a query than the angle between query and pivot, less the widest angle of the pivot's
+items, allows. A query looks into the most promising slice first; what its n-th score there is,
+another pivot must be able to reach to be looked at.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.functions import fixed
 from corpusqa.functions.vectors import from_best
-from corpusqa.operators.joins import top_per_key
+from corpusqa.operators.joins import lookup_join, top_per_key
+from corpusqa.session import settle
 
 # Measured bytes of the queries, and of the items, that one task scores against one another.
 QUERY_BYTES = 16 * 1024 * 1024
@@ -20,57 +30,258 @@ ITEM_BYTES = 16 * 1024 * 1024
 SCORE_ROWS = 256
 # Keys that order the scores of a query below every similarity.
 NO_SCORE, EXCLUDED = -2.0, -3.0
+MOST_PIVOTS = 128
+SAMPLE = 16  # vectors for each pivot that its place is learned from
+ROUNDS = 4
+SLACK = 2e-6  # scores are compared when rounded to six places
+NO_PIVOT = -1  # of zero vectors and vectors that hold no number
+
+
+def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a column of lists of doubles; a null element is NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    values = pc.fill_null(column.values, float("nan")).to_numpy(zero_copy_only=False)
+    return values[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _by_length(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix of unit vectors) for each length; what has no direction is NaN."""
+    values, offsets = _lists(column)
+    sizes = np.diff(offsets)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        x = values[offsets[rows][:, None] + np.arange(size)] if len(rows) < len(sizes) else values.reshape(len(rows), size)
+        with np.errstate(all="ignore"):
+            yield rows, x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if size else np.full((len(rows), 0), np.nan)
+
+
+def _directed(x: np.ndarray) -> np.ndarray:
+    return np.isfinite(x).all(axis=1) & (x.shape[1] > 0)
+
+
+def _pivots(items: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """Unit directions for each length of vector, from a bounded sample, by spherical k-means."""
+    wanted = SAMPLE * count
+    rows = items.count()
+    place = F.pmod(F.xxhash64("item", "vec"), F.lit(1 << 30))
+    near = items.filter(place * F.lit(rows) <= 4.0 * wanted * (1 << 30))  # a few times the sample, however many there are
+    sample = near.orderBy(place).limit(wanted).select("vec").toArrow()["vec"]
+    out: dict[int, np.ndarray] = {}
+    if not len(sample):
+        return out
+    for _, x in _by_length(sample):
+        x = x[_directed(x)]
+        if not len(x):
+            continue
+        c = x[: max(1, count * len(x) // len(sample))]
+        for _ in range(ROUNDS):
+            home = (x @ c.T).argmax(axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, home, x)
+            norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            c = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), c)
+        out[x.shape[1]] = c
+    return out
 
 
-def _unit(rows: list) -> np.ndarray:
-    """Rows of one length as unit vectors. A zero vector becomes NaN."""
-    out = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+def _assign(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors with their pivot and the cosine to it."""
+    for batch in batches:
+        n = batch.num_rows
+        size, home, cosine = np.zeros(n, np.int32), np.full(n, NO_PIVOT, np.int32), np.zeros(n)
+        parts, order = [], []
+        for rows, x in _by_length(batch.column(1)):
+            size[rows] = x.shape[1]
+            some = _directed(x)
+            c = pivots.get(x.shape[1])
+            if some.any():
+                near = x[some] @ c.T if c is not None else np.full((int(some.sum()), 1), -1.0)
+                home[rows[some]] = near.argmax(axis=1)
+                cosine[rows[some]] = near.max(axis=1)
+            parts.append(np.where(some[:, None], x, np.nan).reshape(-1))
+            order.append(rows)
+        if not n:
+            continue
+        order = np.concatenate(order)
+        ends = np.concatenate([[0], np.cumsum(size[order])]).astype(np.int32)
+        vec = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts))).take(pa.array(np.argsort(order)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), vec, pa.array(size), pa.array(home), pa.array(cosine)], names=["item", "vec", "size", "pivot", "cosine"])
 
 
-def _scores(queries: list, items: list) -> np.ndarray:
-    """Similarity of all queries and items; -1 where the lengths differ."""
-    q_sizes, v_sizes = np.array([len(x) for x in queries]), np.array([len(x) for x in items])
-    out = np.full((len(queries), len(items)), -1.0)
-    for size in np.intersect1d(q_sizes, v_sizes).tolist():
-        q, v = np.flatnonzero(q_sizes == size), np.flatnonzero(v_sizes == size)
-        if size == 0:
-            out[np.ix_(q, v)] = np.nan
+def _bounds(x: np.ndarray, groups: np.ndarray, pivots: dict[int, np.ndarray]) -> np.ndarray:
+    """The best score that each query could have in each of ``groups`` (size, pivot, items, slices, least cosine)."""
+    out = np.full((len(x), len(groups)), -1.0)  # vectors of another length score -1
+    same = groups["size"] == x.shape[1]
+    out[:, same] = NO_SCORE
+    near = np.flatnonzero(same & (groups["pivot"] != NO_PIVOT))
+    some = np.flatnonzero(_directed(x))
+    if len(near) and len(some):
+        c = pivots.get(x.shape[1])
+        if c is None:  # no pivot is known: anything may be there
+            out[np.ix_(some, near)] = 1.0
         else:
-            out[np.ix_(q, v)] = _unit([queries[i] for i in q]) @ _unit([items[i] for i in v]).T
+            angle = np.arccos(np.clip(x[some] @ c[groups["pivot"][near]].T, -1, 1))
+            wide = np.arccos(np.clip(groups["least"][near], -1, 1))
+            out[np.ix_(some, near)] = np.cos(np.maximum(angle - wide, 0))
     return out
 
 
-def _top(qids: list, queries: list, banned: list, ids: list, items: list, n: int) -> pd.DataFrame:
+def _choose(batches: Iterator[pa.RecordBatch], groups: np.ndarray, pivots: dict[int, np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+    """The slices each query looks into: the first ones, where it has no ``floor`` yet, else the others that can reach it."""
+    many = groups["slices"].astype(np.int64)
+    first_slice = np.cumsum(many) - many
+    for batch in batches:
+        floors = batch.column(2).to_numpy(zero_copy_only=False)  # NaN where null
+        asked = batch.column(3).to_numpy(zero_copy_only=False)  # is this the second look?
+        chosen: list[np.ndarray] = [np.zeros(0, np.int64)] * batch.num_rows
+        for rows, x in _by_length(batch.column(1)):
+            bounds = _bounds(x, groups, pivots)
+            order = np.argsort(-bounds, axis=1, kind="stable")
+            for k, row in enumerate(rows.tolist()):
+                # the first look: whole slices from the best pivot on, until they may hold n
+                seen, first = 0, []
+                for g in order[k].tolist():
+                    each = max(1, int(groups["items"][g]) // int(many[g]))
+                    take = min(int(many[g]), -(-(n - seen) // each))
+                    first.append(first_slice[g] + np.arange(take))
+                    seen += take * each
+                    if seen >= n:
+                        break
+                first = np.concatenate(first) if first else np.zeros(0, np.int64)
+                if not asked[row]:
+                    chosen[row] = first
+                    continue
+                able = np.ones(len(groups), bool) if np.isnan(floors[row]) else bounds[k] >= floors[row] - SLACK
+                every = np.concatenate([first_slice[g] + np.arange(many[g]) for g in np.flatnonzero(able)]) if able.any() else first[:0]
+                chosen[row] = np.setdiff1d(every, first)
+        lengths = np.array([len(c) for c in chosen], np.int64)
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
+        slices = np.concatenate(chosen) if len(chosen) else np.zeros(0, np.int64)
+        for a in range(0, len(slices), 4096):  # a query's vector goes with each slice
+            at = rows.slice(a, 4096)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(slices[a : a + 4096])], names=["qid", "vec", "slice"])
+
+
+def _places(ids: pa.Array) -> np.ndarray:
+    """The place of each id among all in order."""
+    order = pc.sort_indices(ids).to_numpy() if not pa.types.is_nested(ids.type) else np.array(sorted(range(len(ids)), key=lambda i: repr(ids[i].as_py())))
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.arange(len(ids))
+    return out
+
+
+def _best(queries: pa.Table, items: pa.Table, n: int, schema: pa.Schema) -> pa.Table:
     """The best ``n`` items of each query: highest rounded score first, then smallest item; NaN last."""
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    rank = np.empty(len(ids), np.int64)  # place of an item among all by its id
-    rank[order] = np.arange(len(ids))
-    at: dict = {}
-    for i, item in enumerate(ids):
-        at.setdefault(item, []).append(i)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, len(qids), SCORE_ROWS):
-        scores = _scores(queries[a : a + SCORE_ROWS], items)
-        keys = np.where(np.isnan(scores), NO_SCORE, np.round(scores, 6))
-        for row, items_out in enumerate(banned[a : a + SCORE_ROWS]):
-            gone = [i for item in (items_out if items_out is not None else ()) for i in at.get(item, ())]
-            keys[row, gone] = EXCLUDED
-        edge = -np.partition(-keys, n - 1, axis=1)[:, n - 1] if len(ids) > n else np.full(len(keys), EXCLUDED)
-        q, v = np.nonzero((keys >= edge[:, None]) & (keys > EXCLUDED))
-        best = np.lexsort((rank[v], -keys[q, v], q))
-        q, v = q[best], v[best]
-        keep = np.arange(len(q)) - np.searchsorted(q, q) < n
-        found.append((q[keep] + a, v[keep], scores[q[keep], v[keep]]))
-    q, v, s = (np.concatenate([f[k] for f in found]) for k in range(3))
-    return pd.DataFrame({"qid": [qids[i] for i in q], "item": [ids[i] for i in v], "score": s})
+    ids = items["item"].combine_chunks()
+    rank = _places(ids)
+    banned = queries["banned"].combine_chunks()
+    flat = banned.flatten() if len(banned) else ids.slice(0, 0)
+    owner = np.repeat(np.arange(len(banned)), pc.fill_null(pc.list_value_length(banned), 0).to_numpy(zero_copy_only=False)) if len(banned) else np.zeros(0, np.int64)
+    place = pc.index_in(flat, value_set=pc.unique(ids)) if len(flat) else None
+    known = np.flatnonzero(pc.is_valid(place).to_numpy(zero_copy_only=False)) if place is not None else np.zeros(0, np.int64)
+    number = pc.index_in(ids, value_set=pc.unique(ids)).to_numpy(zero_copy_only=False) if len(known) else None
+    stored = list(_by_length(items["vec"]))
+    for rows, x in _by_length(queries["vec"]):
+        for a in range(0, len(rows), SCORE_ROWS):
+            part = rows[a : a + SCORE_ROWS]
+            scores = np.full((len(part), len(ids)), -1.0)
+            for at, v in stored:
+                if v.shape[1] == x.shape[1]:
+                    scores[:, at] = x[a : a + SCORE_ROWS] @ v.T if v.shape[1] else np.nan
+            keys = np.where(np.isnan(scores), NO_SCORE, np.round(scores, 6))
+            if len(known):
+                spot = np.searchsorted(part, owner[known])
+                mine = (spot < len(part)) & (part[np.minimum(spot, len(part) - 1)] == owner[known])
+                for q, item in zip(spot[mine].tolist(), place.take(pa.array(known[mine])).to_pylist(), strict=True):
+                    keys[q, number == item] = EXCLUDED
+            edge = -np.partition(-keys, n - 1, axis=1)[:, n - 1] if len(ids) > n else np.full(len(keys), EXCLUDED)
+            q, v = np.nonzero((keys >= edge[:, None]) & (keys > EXCLUDED))
+            best = np.lexsort((rank[v], -keys[q, v], q))
+            q, v = q[best], v[best]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < n
+            found.append((part[q[keep]], v[keep], scores[q[keep], v[keep]]))
+    q, v, s = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    return pa.Table.from_arrays([queries["qid"].combine_chunks().take(pa.array(q)), ids.take(pa.array(v)), pa.array(s, pa.float64())], schema=schema)
 
 
 def _bytes(column: str) -> Column:
     return F.size("vec").cast("long") * 8 + F.octet_length(F.col(column).cast("string")) + 64
 
 
+class _Slices:
+    """Items dealt to slices, and what is known of each pivot's."""
+
+    def __init__(self, items: DataFrame, n: int):
+        self.items_type = items.schema["item"].dataType.simpleString()
+        self.n = n
+        total = items.agg(F.sum(_bytes("item"))).first()[0] or 0
+        slices = max(1, math.ceil(total / ITEM_BYTES))
+        self.pivots = _pivots(items, min(MOST_PIVOTS, 4 * slices)) if slices > 1 else {}
+        assigned = settle(items.mapInArrow(partial(_assign, pivots=self.pivots), f"item {self.items_type}, vec array<double>, size int, pivot int, cosine double"))
+        # a row for each pivot and length of vectors
+        known = assigned.groupBy("size", "pivot").agg(F.count(F.lit(1)).alias("items"), F.sum(_bytes("item")).alias("bytes"), F.min("cosine").alias("least"))
+        rows = known.orderBy("size", "pivot").collect()
+        self.groups = np.array(
+            [(r["size"], r["pivot"], r["items"], max(1, math.ceil(r["bytes"] / ITEM_BYTES)), r["least"]) for r in rows],
+            dtype=[("size", "i4"), ("pivot", "i4"), ("items", "i8"), ("slices", "i8"), ("least", "f8")])
+        many = self.groups["slices"]
+        starts = (np.cumsum(many) - many).tolist()
+        table = items.sparkSession.createDataFrame(
+            [(r["size"], r["pivot"], s, int(k)) for r, s, k in zip(rows, starts, many, strict=True)], "size int, pivot int, _start long, _many long")
+        dealt = F.col("_start") + F.pmod(F.xxhash64("item", "vec"), F.col("_many"))
+        self.items = assigned.join(F.broadcast(table), ["size", "pivot"]).select("item", "vec", dealt.alias("slice"))
+
+    def chosen(self, queries: DataFrame, floors: DataFrame | None) -> DataFrame:
+        """(qid, vec, slice): where each query looks, first or, with ``floors`` (qid, floor), after that."""
+        asked = queries.select("qid", "vec")
+        if floors is None:
+            asked = asked.select("*", F.lit(None).cast("double").alias("floor"), F.lit(False).alias("again"))
+        else:
+            asked = lookup_join(asked, floors, "qid", "left").select("qid", "vec", "floor", F.lit(True).alias("again"))
+        kind = queries.schema["qid"].dataType.simpleString()
+        return asked.mapInArrow(partial(_choose, groups=self.groups, pivots=self.pivots, n=self.n), f"qid {kind}, vec array<double>, slice long")
+
+    def scores(self, chosen: DataFrame, exclude: DataFrame | None, blocks: int) -> DataFrame:
+        """The best of each query in each slice it looks into."""
+        kind = chosen.schema["qid"].dataType.simpleString()
+        if exclude is None:
+            asked = chosen.withColumn("banned", F.lit(None).cast(f"array<{self.items_type}>"))
+        else:
+            # an excluded item is told to the slice it is in, once
+            out = lookup_join(self.items.select("item", "slice"), exclude.select("qid", F.col("item").cast(self.items_type).alias("item")).distinct(), "item")
+            asked = chosen.join(out.groupBy("qid", "slice").agg(F.collect_set("item").alias("banned")), ["qid", "slice"], "left")
+        asked = asked.select("qid", "vec", "banned", "slice", F.pmod(F.xxhash64("qid", "vec"), F.lit(blocks)).cast("int").alias("block"))
+        items = self.items.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        schema = f"qid {kind}, item {self.items_type}, score double"
+        n = self.n
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            types = pa.schema([("qid", left.schema.field("qid").type), ("item", right.schema.field("item").type), ("score", pa.float64())])
+            if not left.num_rows or not right.num_rows:
+                return types.empty_table()
+            return _best(left, right, n, types)
+
+        local = asked.groupBy("slice", "block").cogroup(items.groupBy("slice", "block")).applyInArrow(score, schema)
+        return local.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
+
+
+def _prepared(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(
+        df.select(name, F.col("vec").cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
+        for df, name in ((queries, "qid"), (items, "item"))
+    )
+
+
+def _floors(found: DataFrame, n: int) -> DataFrame:
+    """(qid, floor): the n-th score so far, as a key that can be compared; null where there are fewer."""
+    best = top_per_key(found, ["qid"], [from_best(F.col("score")), F.col("item")], n)
+    key = F.when(F.isnan("score"), NO_SCORE).otherwise(F.round("score", 6))
+    return best.groupBy("qid").agg(F.max(F.when(F.col("rank") == n, key)).alias("floor"))
+
+
 def nearest_neighbors(
     queries: DataFrame,
     items: DataFrame,
@@ -82,40 +293,36 @@ def nearest_neighbors(
 
     ``queries`` has (qid, vec), ``items`` has (item, vec), ``exclude`` (qid, item) pairs that do
     not count. A vector of another length scores -1. With ``strict_n`` a query with fewer than
-    ``n`` items gets none.
+    ``n`` items gets none. A qid names one query.
 
-    Queries are cut into blocks and items into slices of a bounded size; each (block, slice) is
-    one task's work, which gives at most n rows per query. What is shuffled for the result is so n
-    rows per query and slice, never the pairs.
+    Queries are cut into blocks and items into slices of a bounded size; each (slice, block) is one
+    task's work, which gives at most n rows per query. Items that fit one slice are scored at
+    once. More are dealt to pivots, and a query looks only into slices that its n-th score of the
+    first ones does not rule out: the result is exact, whatever the pivots are.
     """
-    qid_type = queries.schema["qid"].dataType.simpleString()
-    item_type = items.schema["item"].dataType.simpleString()
-    queries = queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
-    items = items.select("item", F.col("vec").cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
-    if exclude is None:
-        queries = queries.withColumn("banned", F.lit(None).cast(f"array<{item_type}>"))
-    else:
-        banned = exclude.groupBy("qid").agg(F.collect_set(F.col("item").cast(item_type)).alias("banned"))
-        queries = queries.join(banned, "qid", "left")
+    queries, items = _prepared(queries, items)
     blocks = max(1, math.ceil((queries.agg(F.sum(_bytes("qid"))).first()[0] or 0) / QUERY_BYTES))
-    slices = max(1, math.ceil((items.agg(F.sum(_bytes("item"))).first()[0] or 0) / ITEM_BYTES))
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    q = queries.withColumn("_block", F.pmod(F.xxhash64("qid", "vec"), F.lit(blocks)).cast("int")).withColumn("_slice", every(slices))
-    v = items.withColumn("_slice", F.pmod(F.xxhash64("item", "vec"), F.lit(slices)).cast("int")).withColumn("_block", every(blocks))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "item": [], "score": []})
-        return _top(list(left["qid"]), list(left["vec"]), list(left["banned"]), list(right["item"]), list(right["vec"]), n)
-
-    keys = ["_block", "_slice"]
-    local = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(score, f"qid {qid_type}, item {item_type}, score double")
-    # pandas hands NaN over as null
-    local = local.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
-    best = top_per_key(local, ["qid"], [from_best(F.col("score")), F.col("item")], n)
+    slices = _Slices(items, n)
+    if int(slices.groups["slices"].sum()) <= 1:
+        found = slices.scores(slices.chosen(queries, None), exclude, blocks)
+    else:
+        first = settle(slices.scores(slices.chosen(queries, None), exclude, blocks))
+        second = slices.chosen(queries, settle(_floors(first, n)))
+        found = first.unionByName(slices.scores(second, exclude, blocks))
+    best = top_per_key(found, ["qid"], [from_best(F.col("score")), F.col("item")], n)
     if strict_n:
         best = best.join(best.filter(F.col("rank") == n).select("qid"), "qid", "left_semi")
     return best
+
+
+def pairs_scored(queries: DataFrame, items: DataFrame, n: int = fixed.NEIGHBORS) -> tuple[int, int]:
+    """(pairs of query and item that ``nearest_neighbors`` scores, all pairs): how much the bounds save."""
+    queries, items = _prepared(queries, items)
+    slices = _Slices(items, n)
+    first = slices.chosen(queries, None)
+    looks = first
+    if int(slices.groups["slices"].sum()) > 1:
+        looks = first.unionByName(slices.chosen(queries, settle(_floors(slices.scores(first, None, 1), n))))
+    sizes = slices.items.groupBy("slice").agg(F.count(F.lit(1)).alias("items"))
+    scored = looks.groupBy("slice").agg(F.count(F.lit(1)).alias("looks")).join(sizes, "slice").agg(F.sum(F.col("looks") * F.col("items"))).first()[0]
+    return scored or 0, queries.count() * items.count()

@@ -128,3 +128,29 @@ def test_exclusions_count_inside_the_kernel(spark):
     for r in nb.nearest_neighbors(q, items, 3, exclude=out).orderBy("qid", "rank").collect():
         got.setdefault(r["qid"], []).append(r["item"])
     assert got == {1: [45, 46, 47], 2: [0, 1, 2]}
+
+
+@pytest.mark.parametrize("n", [1, 5, 700])
+def test_bounds_lose_no_neighbour(spark, monkeypatch, n):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6)) * 4
+    v = np.concatenate([centres[i % 12] + rng.normal(size=6) * 0.3 for i in range(600)]).reshape(600, 6)
+    v[::97] = 0.0
+    v[5] = v[17] = v[29]  # ties
+    rows_ = [(f"i{i:04d}", x.tolist()) for i, x in enumerate(v)] + [("short", [1.0, 2.0]), ("empty", []), ("odd", [float("inf")] * 6), ("none", None)]
+    items = spark.createDataFrame(rows_, "item string, vec array<double>").repartition(5)
+    asked = [(i, x.tolist()) for i, x in enumerate(v[:40] + 0.01)] + [(90, [0.0] * 6), (91, [1.0, 0.5]), (92, [3.0]), (93, []), (94, v[29].tolist())]
+    queries = spark.createDataFrame(asked, "qid long, vec array<double>")
+    out = spark.createDataFrame([(q, f"i{q:04d}") for q in range(20)] + [(3, "i0017"), (94, "i0005"), (3, "unknown")], "qid long, item string")
+    want, key = {}, ["qid", "rank", "item"]
+    for cut in (False, True):
+        if cut:
+            monkeypatch.setattr(nb, "ITEM_BYTES", 6_000)
+            monkeypatch.setattr(nb, "QUERY_BYTES", 2_000)
+        for which, left in (("all", None), ("out", out)):
+            got = rows(nb.nearest_neighbors(queries, items, n, exclude=left), *key)
+            assert want.setdefault(which, got) == got
+    assert len(want["all"]) == len(asked) * min(n, len(rows_) - 1)
+    if n < 10:
+        scored, every = nb.pairs_scored(queries.filter("qid < 90"), items, n)
+        assert scored * 2 < every
