@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,33 +35,51 @@ def gazetteer_keys(gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def _ngrams(located: Column, sizes: Sequence[int]) -> Column:
-    # one (at, n, start, length, key) per run of tokens of one of the ``sizes``
-    def grams(toks: Column) -> Column:
-        return tx.let(F.transform(toks, lambda t: t["piece"]), lambda pieces: runs(toks, pieces))
-
-    def runs(toks: Column, pieces: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                toks,
-                lambda t, i: F.transform(
-                    F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.size(toks) - i),
-                    lambda n: F.struct(
-                        i.alias("at"),
-                        n.alias("n"),
-                        t["start"].alias("start"),
-                        (
-                            F.get(toks, i + n - 1)["start"]
-                            + F.length(F.get(toks, i + n - 1)["piece"])
-                            - t["start"]
-                        ).alias("length"),
-                        F.array_join(F.slice(pieces, i + 1, n), " ").alias("_key"),
-                    ),
-                ),
-            )
-        )
+def prefix_tables(entries: DataFrame) -> list[DataFrame]:
+    """Which beginnings of 1, 2, 4, 8, ... tokens some ``_key`` has: (_prefix, lengths, longest) for each.
+
+    ``lengths`` are those of keys that begin so and are shorter than the next table's beginnings,
+    ``longest`` tells whether there is a longer key. The tables are as many as the doublings of the longest key.
+    """
+    keys = entries.select(F.split("_key", " ").alias("_t")).withColumn("_n", F.size("_t"))
+    most = keys.agg(F.max("_n")).first()[0] or 1
+    tables, width = [], 1
+    while width <= most:
+        begin = F.array_join(F.slice("_t", 1, width), " ").alias("_prefix")
+        short = F.collect_set(F.when(F.col("_n") < 2 * width, F.col("_n")))
+        tables.append(keys.filter(F.col("_n") >= width).groupBy(begin).agg(short.alias("_lengths"), F.max("_n").alias("_longest")))
+        width *= 2
+    return tables
+
 
-    return tx.let(located, grams)
+def _run_key(tokens: Column, n: Column | int) -> Column:
+    return F.array_join(F.transform(F.slice(tokens, 1, n), lambda t: t["piece"]), " ")
+
+
+def candidate_runs(docs: DataFrame, entries: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, at, n, start, length, _key): the runs of tokens that can be a key of ``entries``.
+
+    A token that begins no key is dropped at once. A run grows by doubling, and only while what it has is the
+    beginning of a key; of the lengths between two doublings those are taken that such keys have.
+    """
+    tables = [settle(t) for t in prefix_tables(entries)]
+    # the outer form, so that Spark infers no filter that tokenises once more
+    rows = docs.select(key, tx.located_tokens(F.col(text)).alias("_toks")).select(key, "_toks", F.posexplode_outer("_toks").alias("at", "_tok"))
+    rows = rows.withColumn("_prefix", F.col("_tok.piece")).drop("_tok")
+    rows = lookup_join(rows, tables[0], "_prefix")
+    rows = rows.select(key, "at", F.slice("_toks", F.col("at") + 1, F.col("_longest")).alias("_run"), F.col("_lengths").alias("_ns"), F.col("_longest").alias("_most"))
+    for level, table in enumerate(tables[1:], 1):
+        width = 1 << level
+        prefix = F.when((F.col("_most") >= width) & (F.size("_run") >= width), _run_key(F.col("_run"), width))
+        joined = lookup_join(rows.withColumn("_prefix", prefix), table, "_prefix", "left")
+        more = F.coalesce("_lengths", F.array().cast("array<int>"))
+        rows = joined.select(key, "at", "_run", F.concat("_ns", more).alias("_ns"), F.coalesce("_longest", F.lit(0)).alias("_most"))
+    lengths = F.filter("_ns", lambda n: n <= F.size("_run"))
+    rows = rows.select(key, "at", "_run", F.explode(lengths).alias("n"))
+    last = F.element_at("_run", F.col("n"))
+    first = F.get("_run", F.lit(0))["start"]
+    return rows.select(
+        key, "at", "n", first.alias("start"), (last["start"] + F.length(last["piece"]) - first).alias("length"), _run_key(F.col("_run"), F.col("n")).alias("_key"))
 
 
 def _leftmost_longest(found: Column) -> Column:
@@ -88,14 +104,11 @@ def _leftmost_longest(found: Column) -> Column:
 def link_entities(docs: DataFrame, gazetteer: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Entities of a text: (key, uri, label, probability, start, length, surface_form, types).
 
-    Runs of tokens are looked up in the gazetteer (surface, uri, label, types, support, score);
-    of overlapping finds the leftmost, then longest, wins. Offsets are char offsets.
+    Runs of tokens that begin like a surface are looked up in the gazetteer (surface, uri, label, types,
+    support, score); of overlapping finds the leftmost, then longest, wins. Offsets are char offsets.
     """
     entries = settle(gazetteer_keys(filter_links(gazetteer)))
-    # the lengths that surfaces have; a few numbers
-    sizes = sorted(r["n"] for r in entries.select(F.size(F.split("_key", " ")).alias("n")).distinct().collect()) or [1]
-    grams = docs.select(key, F.inline(_ngrams(tx.located_tokens(F.col(text)), sizes)))
-    hits = lookup_join(grams, entries, "_key")
+    hits = lookup_join(candidate_runs(docs, entries, key, text), entries, "_key")
     found = F.struct(
         F.col("at"),
         (-F.col("n")).alias("minus_n"),

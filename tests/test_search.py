@@ -257,3 +257,47 @@ def test_segments(spark, tmp_path):
     spark.range(3).selectExpr("id", "'text' AS field", "1 AS length", "array(struct('the' AS term, 1 AS tf)) AS terms").write.parquet(str(tmp_path / "i" / "documents" / "segment=9"))
     assert rows(index.total) == rows(si.read_index(spark, str(tmp_path / "i")).total) == [(len(now),)]
     assert si.read_index(spark, str(tmp_path / "i")).documents.count() == len(now)
+
+
+def gazetteer_of(spark, surfaces):
+    rows_ = [(x, f"u{i}", "LOC", ["LOC"], 50, 0.9) for i, x in enumerate(surfaces)]
+    return spark.createDataFrame(rows_, "surface string, uri string, label string, types array<string>, support int, score double")
+
+
+def test_only_beginnings_of_surfaces_become_runs(spark):
+    rng = random.Random(1)
+    words = ["New", "York", "Times", "Square", "Garden", "City", "the", "of", "a"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60))) for i in range(30)] + [(99, None), (98, "")], "k int, text string")
+    surfaces = ["New York", "New York Times Square", "New York Times", "City of the New York Garden City", "Square"]
+    long_one = " ".join(["New", "York"] + ["zz"] * 198)
+    runs = {}
+    for name, extra in (("short", []), ("long", [long_one])):
+        entries = en.gazetteer_keys(gazetteer_of(spark, surfaces + extra))
+        assert len(en.prefix_tables(entries)) == (8 if extra else 3)
+        runs[name] = rows(en.candidate_runs(docs, entries, "k"), "k", "at", "n", "_key")
+    assert runs["short"] == runs["long"]  # a surface of 200 tokens adds no run
+    texts = {r["k"]: (r["text"] or "").split() for r in docs.collect()}
+    # of a run of four tokens the first two are a beginning, too
+    begins = [s.split() for s in surfaces]
+    for k, at, n, run in runs["short"]:
+        assert texts[k][at : at + n] == run.split()
+        assert any(b[:1] == run.split()[:1] and len(b) == n and b[: 1 << (n.bit_length() - 1)] == run.split()[: 1 << (n.bit_length() - 1)] for b in begins)
+    whole = {(k, i, len(b)) for k, t in texts.items() for b in begins for i in range(len(t)) if t[i : i + len(b)] == b}
+    assert whole <= {r[:3] for r in runs["short"]}
+
+
+def test_links_against_brute_force(spark):
+    rng = random.Random(3)
+    words = ["A", "B", "C", "d", "e"]
+    surfaces = sorted({" ".join(rng.choices(words[:4], k=rng.choice((1, 2, 3, 5, 9)))) for _ in range(25)})
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(10)]
+    got = rows(en.link_entities(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), gazetteer_of(spark, surfaces), "k"), "k", "start", "surface_form")
+    want = []
+    for k, t in enumerate(texts):
+        toks, at = t.split(), 0
+        while at < len(toks):
+            fit = max((s for s in surfaces if toks[at : at + len(s.split())] == s.split()), key=lambda s: len(s.split()), default=None)
+            if fit:
+                want.append((k, 2 * at, fit))
+            at += len(fit.split()) if fit else 1
+    assert got == sorted(want)
