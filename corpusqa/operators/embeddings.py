@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +17,8 @@ from corpusqa.functions import text as tx
 from corpusqa.functions import vectors as vx
 from corpusqa.operators.joins import lookup_join
 from corpusqa.operators.neighbors import nearest_neighbors
-
-
-# Text that one training task goes through.
-TRAIN_BYTES = 64 * 1024 * 1024
+from corpusqa.operators.training import train_vectors
+from corpusqa.session import new_folder
 
 
 def vector_size(vocab: DataFrame) -> int:
@@ -234,47 +231,27 @@ def train_embeddings(
     size: int = 64,
     window: int = 5,
     min_count: int = 5,
-    iterations: int = 1,
+    iterations: int = 5,
     seed: int = 42,
     path: str | None = None,
     name: str = "model",
-    partitions: int | None = None,
     **other: object,
 ) -> DataFrame:
-    """Train word vectors with Spark ML and return the vocabulary (word, vec).
+    """Train word vectors and return the vocabulary (word, vec): factors of weighted co-occurrence counts.
 
     With ``path`` the model is stored under a name that holds its parameters, and a model
-    already stored there is loaded instead of trained.
-
-    The text is split over ``partitions`` tasks, by default one for each TRAIN_BYTES. The trainer
-    holds the vocabulary and its vectors on the driver and in each task: keep it within memory
-    by ``min_count``.
+    already stored there is loaded instead of trained. Vocabulary, counts and vectors are tables
+    throughout; nothing that grows with them is held by the driver or broadcast unmeasured.
     """
-    from pyspark.ml.feature import Word2Vec, Word2VecModel
-    from pyspark.ml.functions import vector_to_array
-
     if other:
-        raise ValueError(f"not supported by Spark ML word vectors: {sorted(other)}")
-    model = None
-    target = path and f"{path}/{name}-sze_{size}-wnd_{window}-mc_{min_count}-it_{iterations}"
-    if target:
-        try:
-            model = Word2VecModel.load(target)
-        except (AnalysisException, Py4JJavaError):  # none stored there yet
-            model = None
-    if model is None:
-        words = docs.select(tx.words(F.col(text)).alias("words"))
-        if partitions is None:
-            total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-            partitions = max(1, -(-total // TRAIN_BYTES))
-        trainer = Word2Vec(
-            vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, seed=seed,
-            numPartitions=partitions, inputCol="words", outputCol="vec",
-        )
-        model = trainer.fit(words)
-        if target:
-            model.write().save(target)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
+        raise ValueError(f"not supported by these word vectors: {sorted(other)}")
+    spark = docs.sparkSession
+    target = f"{path or new_folder(spark, 'models')}/{name}-sze_{size}-wnd_{window}-mc_{min_count}-it_{iterations}"
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException:  # none stored there yet
+        train_vectors(docs, text, size, window, min_count, iterations, seed).write.parquet(target)
+        return spark.read.parquet(target)
 
 
 def train_grid(docs: DataFrame, path: str, grid: list[dict], text: str = "text") -> dict[str, DataFrame]:

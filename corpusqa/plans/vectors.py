@@ -8,6 +8,7 @@ from corpusqa.functions import text as tx
 from corpusqa.functions import vectors as vx
 from corpusqa.operators import embeddings as em
 from corpusqa.operators import neighbors as nb
+from corpusqa.operators import training as tn
 from corpusqa.operators import snippets
 from corpusqa.plans import data as d
 from corpusqa.plans.registry import query
@@ -322,6 +323,17 @@ def unvectorize(spark, sf):
     return em.unvectorize(stored).select("vec_id", "label", F.size("vec").alias("dimension"), F.size("vectors").alias("models"))
 
 
+@query(f"""WITH {d.SQL_WORDS}, known AS (SELECT token FROM word_counts WHERE count >= 5),
+lists AS (SELECT {d.sql_words('text')} AS l FROM documents),
+places AS (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM lists),
+pairs AS (SELECT l[i] AS x, unnest(l[i + 1:i + 5]) AS y FROM places)
+SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS count FROM pairs
+WHERE x IN (SELECT token FROM known) AND y IN (SELECT token FROM known) GROUP BY ALL""")
+def context_counts(spark, sf):
+    """What word vectors are trained on."""
+    return tn.context_counts(d.documents(spark, sf))
+
+
 @query(f"WITH {d.SQL_WORDS} SELECT token AS word, 16 AS dimension, true AS trained FROM word_counts WHERE count >= 5")
 def train_embeddings(spark, sf):
     """Word vectors trained on the documents: the words they are for, their length, and that none is zero."""

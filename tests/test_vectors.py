@@ -10,6 +10,7 @@ from conftest import rows
 from corpusqa.functions import vectors as vx
 from corpusqa.operators import embeddings as em
 from corpusqa.operators import neighbors as nb
+from corpusqa.operators import training as tn
 
 
 @pytest.fixture(scope="module")
@@ -154,3 +155,49 @@ def test_bounds_lose_no_neighbour(spark, monkeypatch, n):
     if n < 10:
         scored, every = nb.pairs_scored(queries.filter("qid < 90"), items, n)
         assert scored * 2 < every
+
+
+def test_planted_synonyms_are_neighbours(spark, monkeypatch):
+    # two words in the same company, though never together, are nearest to each other
+    rng = np.random.default_rng(2)
+    topics = {t: [f"{t}{i}" for i in range(12)] for t in ("sea", "hill", "town")}
+    twins = {"sea": ("ship", "boat"), "hill": ("path", "trail"), "town": ("street", "road")}
+    texts = []
+    for i in range(900):
+        t = list(topics)[i % 3]
+        w = list(rng.choice(topics[t], 12))
+        w[int(rng.integers(3, 9))] = twins[t][int(rng.integers(2))]
+        texts.append((" ".join(w),))
+    docs = spark.createDataFrame(texts, "text string").repartition(4)
+    vectors = {}
+    for cell in (1 << 20, 50):
+        monkeypatch.setattr(tn, "CELL_ENTRIES", cell)
+        trained = em.train_embeddings(docs, size=8, min_count=3)
+        vectors[cell] = {r["word"]: np.array(r["vec"]) for r in trained.collect()}
+        unit = {w: v / np.linalg.norm(v) for w, v in vectors[cell].items()}
+        assert len(unit) == 42
+        for a, b in twins.values():
+            assert max((w for w in unit if w != a), key=lambda w: unit[a] @ unit[w]) == b
+    # the grid of the matrix does not change the similarities
+    a, b = vectors.values()
+    words = sorted(a)
+    gram = [np.array([x[w] for w in words]) @ np.array([x[w] for w in words]).T for x in (a, b)]
+    assert np.allclose(gram[0], gram[1], atol=1e-6 * np.abs(gram[0]).max())
+
+
+def test_factors_of_a_known_matrix(spark):
+    rng = np.random.default_rng(4)
+    q, _ = np.linalg.qr(rng.normal(size=(30, 30)))
+    m = (q * np.array([9.0, 6.0, 4.0, *[0.01] * 27])) @ q.T
+    matrix = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(30) for j in range(30)], "row long, col long, value double")
+    start = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(30)], "id long, vec array<double>")
+    x = np.array([r["vec"] for r in tn.factorise(matrix, start, 3, 6, 30).orderBy("id").collect()])
+    assert np.allclose(x @ x.T, (q[:, :3] * np.array([9.0, 6.0, 4.0])) @ q[:, :3].T, atol=0.02)
+    assert np.allclose(np.linalg.norm(x, axis=0) ** 2, [9, 6, 4], atol=0.01)
+
+
+def test_context_counts(spark):
+    docs = spark.createDataFrame([("a b a c",), ("b rare b",), (None,), ("",)], "text string")
+    assert rows(tn.context_counts(docs, window=2, min_count=2)) == [("a", "a", 1), ("a", "b", 2), ("b", "b", 1)]
+    assert tn.context_counts(docs.limit(0)).count() == 0
+    assert em.train_embeddings(docs, size=3, min_count=50).count() == 0
