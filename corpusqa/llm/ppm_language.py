@@ -3,10 +3,11 @@
 Each language has a byte context tree of orders 0 to 3 with escape probabilities (a context
 that saw q different symbols in n bytes escapes with q / (n + q)). The statistics are frozen
 after training, so the exact code length of a byte in a context is a number of a table: a text
-is scored by adding up, for every language, the table entries of all its bytes.
+is scored by adding up, for every language, the table entries of all its bytes. Tables hold
+what was seen, for all 256 bytes and every context; the rest is reached by escapes.
 
-Training takes a bounded sample of labelled rows: of each language the TRAIN_DOCS documents
-whose hashed ids come first, up to TRAIN_BYTES of text. Prediction reads every whole text.
+Training takes a bounded sample of labelled rows: of each language the TRAIN_DOCS ids whose hashes
+come first, of each an equal share of TRAIN_BYTES of text. Prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -25,89 +26,96 @@ from corpusqa.operators.joins import top_per_key
 
 TRAIN_DOCS = 256  # documents of a language
 TRAIN_BYTES = 1 << 20  # of text of a language
-SYMBOLS = 128  # 0: before the start, 1: bytes that are too rare, then the most frequent bytes
-MAX_CONTEXTS = 1 << 15  # of order 3; more are left to order 2
+ORDERS = 4  # contexts of 0 to 3 bytes
+BASE = 257  # 0: before the start, then the bytes
 UNKNOWN = "und"
-_PIECE_BYTES = 1 << 20
+_PIECE_BYTES = 1 << 18
 
 HELD_OUT = 2  # remainder of crc32(doc_id) modulo 4 that is never learned from
 
 
 @dataclass
 class Model:
+    """For each order the contexts that were seen and what an escape from them costs in each language, and the
+    contexts with a byte behind them and what that byte costs there, all in bits and sorted by key."""
+
     languages: list[str]
-    symbol: np.ndarray  # byte to symbol
-    node: np.ndarray  # last three symbols to context
-    bits: np.ndarray  # (context, symbol, language) to code length, flattened over the first two
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+    grams: list[np.ndarray]
+    costs: list[np.ndarray]
 
 
-def _symbols(text: bytes, symbol: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(3, np.int64), symbol[np.frombuffer(text, np.uint8)]])
+def _keys(symbols: np.ndarray) -> np.ndarray:
+    """Four symbols as one number; ``symbols`` has three before the first byte."""
+    return ((symbols[:-3] * BASE + symbols[1:-2]) * BASE + symbols[2:-1]) * BASE + symbols[3:]
 
 
 def train(texts: dict[str, list[bytes]]) -> Model:
     """Context trees of each language from its sample."""
     languages = sorted(texts)
-    seen = np.zeros(256, np.int64)
-    for parts in texts.values():
-        for t in parts:
-            seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-    common = np.argsort(-seen, kind="stable")[: SYMBOLS - 2]
-    symbol = np.ones(256, np.int64)
-    symbol[common[seen[common] > 0]] = np.arange(2, 2 + int((seen[common] > 0).sum()))
-    grams, counts = [], []
+    seen = []
     for name in languages:
-        codes = [np.zeros(0, np.int64)]
-        for t in texts[name]:
-            s = _symbols(t, symbol)
-            codes.append(((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:])
-        g, c = np.unique(np.concatenate(codes), return_counts=True)
-        grams.append(g)
-        counts.append(c)
-    none = np.zeros(0, np.int64)
-    every = np.concatenate([none, *grams]) // SYMBOLS
-    weight = np.concatenate([none, *counts])
-    triples, spot = np.unique(every, return_inverse=True)
-    often = np.bincount(spot, weights=weight, minlength=len(triples))
-    triples = np.sort(triples[np.argsort(-often, kind="stable")[:MAX_CONTEXTS]])
-    pairs = np.unique(every % SYMBOLS**2)
-    # nodes: order 0, then order 1 of each symbol, then the pairs and triples that were seen
-    nodes = 1 + SYMBOLS + len(pairs) + len(triples)
-    bits = np.empty((nodes, SYMBOLS, len(languages)), np.float32)
-    node = np.tile(np.arange(1, 1 + SYMBOLS, dtype=np.int32), SYMBOLS**2)
-    node.reshape(SYMBOLS, -1)[:, pairs] = 1 + SYMBOLS + np.arange(len(pairs), dtype=np.int32)
-    node[triples] = 1 + SYMBOLS + len(pairs) + np.arange(len(triples), dtype=np.int32)
-    for k, (g, c) in enumerate(zip(grams, counts, strict=True)):
-        lower = np.full((1, SYMBOLS), 1 / 256)
-        parent_of = [np.zeros(1, np.int64), np.zeros(SYMBOLS, np.int64), pairs % SYMBOLS, np.searchsorted(pairs, triples % SYMBOLS**2)]
-        contexts = [np.zeros(1, np.int64), np.arange(SYMBOLS), pairs, triples]
-        first = 0
-        for order in range(4):
-            table = np.zeros((len(contexts[order]), SYMBOLS))
-            context = g // SYMBOLS % SYMBOLS**order
-            row = np.searchsorted(contexts[order], context)
-            here = row < len(contexts[order])
-            here[here] &= contexts[order][row[here]] == context[here]
-            np.add.at(table, (row[here], g[here] % SYMBOLS), c[here])
-            n, q = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            below = lower[parent_of[order]] if order else lower
-            with np.errstate(invalid="ignore", divide="ignore"):
-                chance = np.where(table > 0, table / (n + q), q / (n + q) * below)
-            lower = np.where(n > 0, chance, below)  # a context this language never saw costs no escape
-            bits[first : first + len(lower), :, k] = -np.log2(lower)
-            first += len(lower)
-    return Model(languages, symbol, node, bits.reshape(nodes * SYMBOLS, len(languages)))
+        parts = [np.concatenate([np.zeros(3, np.int64), np.frombuffer(t, np.uint8).astype(np.int64) + 1]) for t in texts[name]]
+        seen.append(np.unique(np.concatenate([np.zeros(0, np.int64), *map(_keys, parts)]), return_counts=True))
+    model = Model(languages, [], [], [], [])
+    for order in range(ORDERS):
+        size = BASE ** (order + 1)
+        grams = np.unique(np.concatenate([np.zeros(0, np.int64), *[g % size for g, _ in seen]]))
+        contexts, row = np.unique(grams // BASE, return_inverse=True)
+        counts = np.zeros((len(grams), len(languages)))
+        for k, (g, c) in enumerate(seen):
+            np.add.at(counts[:, k], np.searchsorted(grams, g % size), c)
+        n, q = np.zeros((2, len(contexts), len(languages)))
+        np.add.at(n, row, counts)
+        np.add.at(q, row, counts > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # a context this language never saw costs no escape
+            escapes = np.where(n > 0, -np.log2(q / (n + q)), 0.0)
+            known = -np.log2(counts / (n + q)[row])
+        below = model.costs[-1][np.searchsorted(model.grams[-1], grams % BASE**order)] if order else 8.0
+        model.costs.append(np.where(counts > 0, known, escapes[row] + below))
+        model.contexts.append(contexts)
+        model.escapes.append(escapes)
+        model.grams.append(grams)
+    model.costs = [c.astype(np.float32) for c in model.costs]
+    model.escapes = [e.astype(np.float32) for e in model.escapes]
+    return model
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, found) of each wanted key among the sorted ``keys``."""
+    place = np.searchsorted(keys, wanted)
+    place[place == len(keys)] = 0
+    return place, keys[place] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+def _costs(model: Model, keys: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each key under each language."""
+    out = np.zeros((len(keys), len(model.languages)), np.float32)
+    left = np.arange(len(keys))
+    for order in reversed(range(ORDERS)):
+        gram = keys[left] % BASE ** (order + 1)
+        place, found = _find(model.grams[order], gram)
+        out[left[found]] += model.costs[order][place[found]]
+        left, gram = left[~found], gram[~found]
+        place, found = _find(model.contexts[order], gram // BASE)
+        out[left[found]] += model.escapes[order][place[found]]
+    out[left] += 8.0  # a byte that no sample has
+    return out
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each row under each language."""
     out = np.zeros((len(offsets) - 1, len(model.languages)))
+    if not model.languages:
+        return out
     for lo, hi in tb.spans(offsets, _PIECE_BYTES):
         base, end = int(offsets[lo]), int(offsets[hi])
         for a in range(base, end, _PIECE_BYTES):  # a very long text goes through in parts
             b = min(end, a + _PIECE_BYTES)
             back = min(3, a - base)
-            s = np.concatenate([np.zeros(3 - back, np.int64), model.symbol[data[a - back : b]]])
+            s = np.concatenate([np.zeros(3 - back, np.int64), data[a - back : b].astype(np.int64) + 1])
             one, two, three = s[2:-1].copy(), s[1:-2].copy(), s[:-3].copy()
             edges = offsets[lo:hi]
             for at, behind in ((0, (one, two, three)), (1, (two, three)), (2, (three,))):
@@ -115,8 +123,7 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
                 spots = spots[(spots >= 0) & (spots < b - a)]
                 for x in behind:
                     x[spots] = 0  # a text does not see the one before it
-            node = model.node[(three * SYMBOLS + two) * SYMBOLS + one]
-            costs = model.bits[node.astype(np.int64) * SYMBOLS + s[3:]]
+            costs = _costs(model, ((three * BASE + two) * BASE + one) * BASE + s[3:])
             starts = np.maximum(offsets[lo:hi] - a, 0)
             ends = np.minimum(offsets[lo + 1 : hi + 1] - a, b - a)
             rows = np.flatnonzero(ends > starts)
@@ -162,19 +169,15 @@ def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, bytes_per_language
     ).filter(~held_out(F.col("doc_id")))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # a row for each language; a few times the wanted number of ids pass, however many there are
-    counts = F.broadcast(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    counts = F.broadcast(labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")))
     near = labelled.join(counts, "lang").filter(place * F.col("n") <= 4.0 * docs_per_language * (1 << 30)).select("lang", "doc_id").distinct()
     chosen = top_per_key(near, ["lang"], [place, F.col("doc_id")], docs_per_language).select("lang", "doc_id")
-    # at most docs_per_language rows for each language
-    rows = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", F.expr(f"left(text, {bytes_per_language})").alias("text"))
+    # at most docs_per_language ids of each language, and of each id one text, cut to its share
+    share = max(1, bytes_per_language // docs_per_language)
+    rows = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(F.expr(f"left(text, {share})")).alias("text"))
     texts: dict[str, list[bytes]] = {}
-    used: dict[str, int] = {}
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        raw = r["text"].encode("utf-8", "surrogatepass")
-        if used.get(r["lang"], 0) < bytes_per_language:
-            raw = raw[: bytes_per_language - used.get(r["lang"], 0)]
-            texts.setdefault(r["lang"], []).append(raw)
-            used[r["lang"]] = used.get(r["lang"], 0) + len(raw)
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"])):
+        texts.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "surrogatepass")[:share])
     return train(texts)
 
 

@@ -195,14 +195,14 @@ def _answer(table: pa.Table, size: int) -> pa.Table:
         runs = np.cumsum([len(s[1]) for s in sent])
         hashes, checks, windows, owner = [], [], [], []
         offsets = np.concatenate([[0], np.cumsum(lengths)])
-        for lo, hi in tb.spans(offsets, 4 << 20):
+        for lo, hi in tb.spans(offsets, 1 << 20):
             part = data[offsets[lo] : offsets[hi]]
             starts, ends, first, codes = _codes(part, offsets[lo : hi + 1] - offsets[lo])
             h, c = tb.windows(codes, first, size)
             hashes.append(h)
             checks.append(_checks(part, starts, ends, first, size))
-            windows.append(tb.ragged(origin[lo:hi], c))
-            owner.append(np.repeat(np.searchsorted(runs, np.arange(lo, hi), side="right"), c))
+            windows.append(tb.ragged(origin[lo:hi], c).astype(np.uint32))
+            owner.append(np.repeat(np.searchsorted(runs, np.arange(lo, hi), side="right").astype(np.int32), c))
         windows, owner = np.concatenate(windows), np.concatenate(owner)
         order, same = _ranked(np.concatenate(hashes), np.concatenate(checks))
         twice = same.copy()
@@ -214,6 +214,7 @@ def _answer(table: pa.Table, size: int) -> pa.Table:
         for k, s in enumerate(sent):
             mine = np.sort(windows[cuts[k] : cuts[k + 1]])
             if len(mine):
+                mine = mine.astype(np.int64)
                 begin = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1] + 1]))
                 stop = np.concatenate([begin[1:], [len(mine)]]) - 1
                 out.append((s[0], 1, np.stack([mine[begin], mine[stop] + 1]).astype(np.uint32).tobytes()))

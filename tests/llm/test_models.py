@@ -73,7 +73,7 @@ def test_language_code_lengths_are_exact():
             total -= np.log2(chance(seen_order(text, i)))
         return total
 
-    symbol = lambda b: int(model.symbol[b])
+    symbol = lambda b: b + 1
     key = lambda t, i, order: tuple(symbol(t[j]) if j >= 0 else 0 for j in range(i - order, i))
     every = {o: {key(t, j, o) for ts in texts.values() for t in ts for j in range(len(t))} for o in range(4)}
     seen_order = lambda t, i: max(o for o in range(4) if key(t, i, o) in every[o])
@@ -84,6 +84,20 @@ def test_language_code_lengths_are_exact():
     assert np.allclose(got, want, rtol=1e-5, atol=1e-4)
 
 
+def test_language_of_many_scripts(spark):
+    # more byte values and contexts than any table of fixed size would have
+    rng = random.Random(6)
+    scripts = {name: [chr(first + i) for i in range(60)] for name, first in (("el", 0x391), ("ru", 0x410), ("he", 0x5D0), ("hi", 0x905), ("ja", 0x3041), ("zh", 0x4E00), ("ko", 0xAC00), ("th", 0xE01), ("am", 0x1200), ("en", 0x41))}
+    rows = [(i * 10 + k, "".join(rng.choices(letters, k=80)), name) for i in range(60) for k, (name, letters) in enumerate(scripts.items())]
+    rows += [(5000, "".join(rng.choices(scripts["ru"], k=5000)), "ru")] * 300  # one id on many rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = pl.fit(docs)
+    assert len(set(np.concatenate([g % pl.BASE for g in model.grams[:1]]).tolist())) > 126
+    truth = {r[0]: r[2] for r in rows}
+    got = pl.identify(docs, model).filter("held_out").collect()
+    assert got and all(r["lang_pred"] == truth[r["doc_id"]] for r in got)
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style><script>var a='<p>no</p>';</script></head><body>{body}</body></html>"
 
