@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
-from corpusqa.operators.joins import first_per_key, lookup_join, number_rows
+from corpusqa.operators.joins import first_per_key, lookup_join, number_rows, running_total
+from corpusqa.session import new_folder
 
 
 def upsert_counts(counts: DataFrame, new: DataFrame, key_chars: int | None = None) -> DataFrame:
@@ -203,3 +204,42 @@ def get_page(table: DataFrame, order_by: Sequence[str], start: int, size: int) -
     order = [F.col(c) for c in order_by]
     numbered = number_rows(table, order, name="_no")
     return numbered.filter((F.col("_no") > start) & (F.col("_no") <= start + size)).drop("_no")
+
+
+# Rows of a file of a table stored for paging.
+PAGE_FILE_ROWS = 100_000
+
+
+def store_pages(table: DataFrame, order_by: Sequence[str], path: str | None = None, file_rows: int = PAGE_FILE_ROWS) -> str:
+    """Store ``table`` in order, with a directory of how many rows come before each file; returns the folder.
+
+    Files hold at most ``file_rows`` rows. Their names are in the order of the rows, so the directory
+    needs no look at the rows' keys; a key may be on any number of rows, if the columns of ``order_by`` together
+    tell rows apart.
+    """
+    spark = table.sparkSession
+    path = path or new_folder(spark, "pages")
+    ordered = table.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    ordered.write.option("maxRecordsPerFile", file_rows).mode("overwrite").parquet(f"{path}/rows")
+    files = spark.read.parquet(f"{path}/rows").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    directory = running_total(files, "rows", [F.col("file")], name="start")
+    directory.withColumn("order_by", F.array(*[F.lit(c) for c in order_by])).write.mode("overwrite").parquet(f"{path}/directory")
+    return path
+
+
+def page_files(spark: SparkSession, path: str, start: int, size: int) -> DataFrame:
+    """(file, start, rows, order_by) of the files that hold rows ``start`` to ``start + size``."""
+    directory = spark.read.parquet(f"{path}/directory")
+    return directory.filter((F.col("start") < start + size) & (F.col("start") + F.col("rows") > start))
+
+
+def stored_page(spark: SparkSession, path: str, start: int, size: int) -> DataFrame:
+    """Rows ``start`` to ``start + size`` of a table stored by ``store_pages``.
+
+    Reads the directory and the files of the page, no more than it has rows, and sorts only those.
+    """
+    files = page_files(spark, path, start, size).orderBy("start").collect()
+    if not files or size <= 0:
+        return spark.read.parquet(f"{path}/rows").limit(0)
+    rows = spark.read.parquet(*[f"{path}/rows/{f['file']}" for f in files])
+    return rows.orderBy(*files[0]["order_by"]).offset(start - files[0]["start"]).limit(size)

@@ -220,11 +220,15 @@ def merge_process_stream(spark, sf):
 
 
 def _entries(spark, sf, kind):
+    """Entries of a kind of message, their values as text; rankings in ten thousandths."""
     rows = rp.report_entries(d.reports(spark, sf).filter(F.col("kind") == kind))
-    value = F.coalesce("first.s", F.col("first.l").cast("string"), F.col("first.b").cast("string"))
-    return rows.filter(F.col("first.d").isNull() & F.col("first.c").isNull()).select(
-        F.col("first_ord.seq").alias("seq"), "id", "section", "key", value.alias("value")
-    )
+
+    def shown(ranking):
+        return F.round(ranking * 10_000).cast("bigint").cast("string")
+
+    candidates = F.array_join(F.transform("first.c", lambda c: F.concat(c["answer"], F.lit("="), shown(c["ranking"]))), "|")
+    value = F.coalesce("first.s", F.col("first.l").cast("string"), F.col("first.b").cast("string"), shown(F.col("first.d")), candidates)
+    return rows.select(F.col("first_ord.seq").alias("seq"), "id", "section", "key", value.alias("value"))
 
 
 def _entries_sql(*rows: str) -> str:
@@ -257,6 +261,8 @@ def report_step(spark, sf):
 
 @query(_entries_sql(
     _entry("finish", "scalar", "'answer'", "'answer ' || k"), _entry("finish", "scalar", "'finished'", "success::VARCHAR"),
+    _entry("finish", "scalar", "'ranking'", "round(value * 10000)::BIGINT::VARCHAR"),
+    _entry("finish", "scalar", "'candidates'", "'answer ' || k || '=' || round(value * 10000)::BIGINT || '|other=' || round(value / 2 * 10000)::BIGINT"),
     _entry("finish", "time", "'finish'", "time::VARCHAR")))
 def report_finish(spark, sf):
     return _entries(spark, sf, "finish")
@@ -557,6 +563,14 @@ def get_page_deep(spark, sf):
     return page.select("l_orderkey", "l_linenumber")
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 100 OFFSET 30000")
+def get_page_stored(spark, sf):
+    """The same deep page of a table stored for paging: the files it lies in are read."""
+    lines = d.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    path = tb.store_pages(lines, ["l_orderkey", "l_linenumber", "l_partkey"], file_rows=1000)
+    return tb.stored_page(spark, path, 30_000, 100).select("l_orderkey", "l_linenumber")
+
+
 # ---- sources ----
 
 _PAGES = pg.PagePatterns(

@@ -265,3 +265,16 @@ def test_update_field_applies_changes_in_order(spark):
     maps = changes.filter("v is not null").selectExpr("k", "at", "map('x', v, 'k' || at, v) AS value")
     got = {r["k"]: r["m"] for r in tb.update_field(table, maps, "k", "m", append=True, order_by="at").collect()}
     assert got == {1: {"x": "y", "k1": "z", "k2": "y"}, 2: {"x": "w", "k2": "w"}}
+
+
+def test_stored_pages(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id % 7 AS a", "id AS b", "cast(id AS string) AS c").repartition(6)
+    path = tb.store_pages(df, ["a", "b"], str(tmp_path / "t"), file_rows=100)
+    every = [tuple(r) for r in df.orderBy("a", "b").collect()]
+    for start, size in ((0, 10), (4321, 50), (95, 10), (4990, 100), (700, 300), (9000, 5), (3, 0)):
+        page = tb.stored_page(spark, path, start, size)
+        assert [tuple(r) for r in page.collect()] == every[start : start + size]
+        if size == 50:
+            assert tb.page_files(spark, path, start, size).count() <= 2 and len(page.inputFiles()) <= 2
+    empty = tb.store_pages(df.limit(0), ["a", "b"], str(tmp_path / "e"))
+    assert tb.stored_page(spark, empty, 0, 5).collect() == []
