@@ -28,8 +28,8 @@ from corpusqa.llm import textbytes as tb
 
 WINDOW = 35
 GRAM = 4
-CHUNK_BYTES = 4 << 20  # text of one chunk
-BUCKET_BYTES = 4 << 20  # input text for each bucket; about three times that arrives
+CHUNK_BYTES = 2 << 20  # text of one chunk
+BUCKET_BYTES = 3 << 20  # input text for each bucket; about three times that arrives
 # Grams that a chunk holds so often are reported; the HOT_GRAMS most frequent of them are
 # ordered last. That is only the order of the minimisers: any order gives the same result.
 HOT_IN_CHUNK = 16
