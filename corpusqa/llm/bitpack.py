@@ -96,7 +96,6 @@ def read_ids(raw: bytes | memoryview, start: int = 0, count: int | None = None)
     return ids[start - first * block :][:count]
 
 
-@tb.tidy
 def _write(batches: Iterator[pa.RecordBatch], content, end_id: int, vocabulary: int) -> Iterator[pa.RecordBatch]:
     encoder = kept_encoder(content.value)
     shard, file = TaskContext.get().partitionId(), 0

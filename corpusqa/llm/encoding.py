@@ -72,10 +72,13 @@ class StretchEncoder:
         starts = cuts(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         keys, where, inverse = np.unique(tb.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        every = tb.word_hashes(data, starts, ends, tb.SECOND)
-        checks = every[where]
-        if not np.array_equal(checks[inverse], every):
+        lengths = ends - starts
+        if not np.array_equal(lengths[where][inverse], lengths):
             return self._rows_alone(data, starts, ends, offsets)
+        # of each different stretch a second hash, of its bytes alone
+        sizes = lengths[where]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        checks = tb.word_hashes(data[tb.ragged(starts[where], sizes)], bounds[:-1], bounds[1:], tb.SECOND)
         if len(self.keys) > KEPT_STRETCHES:
             self._clear()
         long_ones = ends[where] - starts[where] > LONG

@@ -80,7 +80,6 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[dict[int, in
 _PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
-@tb.tidy
 def _cut(batches: Iterator[pa.RecordBatch], content, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
     encoder = kept_encoder(content.value)
     part = TaskContext.get().partitionId()
