@@ -17,7 +17,8 @@ def local_name(uri: Column) -> Column:
     return F.regexp_replace(uri, r"^.*http://.*/", "")
 
 
-def _has_predicate(predicates: Sequence[str]) -> Column:
+def has_predicate(predicates: Sequence[str]) -> Column:
+    """Whether a triple's predicate is one of those given, by URI or local name."""
     # whole URIs are compared as they are, and the end of a local name is: a scan can use both
     out = F.lit(False)
     for p in predicates:
@@ -30,7 +31,7 @@ def _has_predicate(predicates: Sequence[str]) -> Column:
 
 def entities_of_predicate(triples: DataFrame, predicate: str) -> DataFrame:
     """All (object, subject) of a predicate, given by URI or local name."""
-    return triples.filter(_has_predicate([predicate])).select(
+    return triples.filter(has_predicate([predicate])).select(
         F.col("o").alias("object"), F.col("s").alias("subject")
     )
 
@@ -50,7 +51,7 @@ def predicate_list(
 
 def build_entity_index(triples: DataFrame, predicates: list[str]) -> DataFrame:
     """(key, entity) rows: objects of the predicates and their subjects."""
-    return triples.filter(_has_predicate(predicates)).select(
+    return triples.filter(has_predicate(predicates)).select(
         F.col("o").alias("key"), F.col("s").alias("entity")
     )
 

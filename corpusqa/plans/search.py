@@ -8,6 +8,7 @@ from corpusqa.functions import text as tx
 from corpusqa.operators import entities as en
 from corpusqa.operators import search as se
 from corpusqa.operators import stored_index as si
+from corpusqa.operators import triple_store as ts
 from corpusqa.operators import triples as tr
 from corpusqa.plans import data as d
 from corpusqa.plans.registry import query
@@ -392,3 +393,34 @@ def of_type(spark, sf):
     triples = _triples(spark, sf)
     clause = triples.filter((F.col("p") == f"{_BASE}inNation") & F.col("o").contains("1")).select("s")
     return tr.of_type(triples, "Customer", clause)
+
+
+def _stored_triples(spark, sf):
+    path = new_folder(spark, "triple-store")
+    ts.write_triples(_triples(spark, sf), path)
+    return ts.open_triples(spark, path)
+
+
+@query(f"WITH {_TRIPLES} SELECT o AS object, s AS subject FROM triples WHERE p = '{_BASE}inNation'")
+def entities_of_predicate_stored(spark, sf):
+    """By local name, from the folder of that name."""
+    return ts.entities_of_predicate(_stored_triples(spark, sf), "inNation")
+
+
+@query(f"""WITH {_TRIPLES} SELECT s, o FROM triples WHERE p = '{tr.RDFS_LABEL}' AND lang = 'en'
+AND s IN (SELECT s FROM triples WHERE p = '{tr.RDF_TYPE}' AND o = '{tr.RDF_PROPERTY}')""")
+def predicate_list_stored(spark, sf):
+    return ts.predicate_list(_stored_triples(spark, sf))
+
+
+@query(f"WITH {_TRIPLES} SELECT o AS key, s AS entity FROM triples WHERE p IN ('{_BASE}inNation', '{_BASE}inRegion')")
+def build_entity_index_stored(spark, sf):
+    return ts.build_entity_index(_stored_triples(spark, sf), ["inNation", f"{_BASE}inRegion"])
+
+
+@query(f"""WITH {_TRIPLES} SELECT DISTINCT s AS name FROM triples WHERE p = '{tr.RDF_TYPE}' AND o = 'Customer'
+AND s IN (SELECT s FROM triples WHERE p = '{_BASE}inNation' AND contains(o, '1'))""")
+def of_type_stored(spark, sf):
+    store = _stored_triples(spark, sf)
+    clause = store.of_predicates(["inNation"]).filter(F.col("o").contains("1")).select("s")
+    return ts.of_type(store, "Customer", clause)
