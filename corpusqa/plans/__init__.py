@@ -6,7 +6,7 @@ import importlib
 
 from corpusqa.plans.registry import QUERIES, SQL, Query
 
-FAMILIES = ("text", "profile", "search", "vectors", "answers", "records")
+FAMILIES = ("text", "profile", "search", "vectors", "answers", "records", "evaluation")
 
 
 def _load() -> None:
