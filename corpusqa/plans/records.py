@@ -211,7 +211,7 @@ def merge_process(spark, sf):
 def merge_process_stream(spark, sf):
     """The events file as a stream of messages, every message delivered twice; then compacted."""
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = d.stream(spark, sf, "events", schema)
     twice = events.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
     table, state = new_folder(spark, "merged"), new_folder(spark, "state")
     sr.merge_process_stream(d.as_reports(twice), table, state, lateness="400 days").awaitTermination()
@@ -329,9 +329,7 @@ def count_docs(spark, sf):
 @query(f"SELECT 'word' AS section, token AS key, count(*) AS count FROM (SELECT unnest({d.sql_words('text')}) AS token FROM documents) GROUP BY ALL")
 def running_counts(spark, sf):
     """Words of the documents file, counted as a stream."""
-    docs = (
-        spark.readStream.schema("doc_id bigint, text string").option("pathGlobFilter", "documents.parquet").parquet(sf)
-    )
+    docs = d.stream(spark, sf, "documents", "doc_id bigint, text string")
     entries = token_rows(docs).select(F.lit("word").alias("section"), F.col("token").alias("key"))
     table, state = new_folder(spark, "counts"), new_folder(spark, "state")
     sr.running_counts(entries, table, state).awaitTermination()

@@ -278,3 +278,12 @@ def test_stored_pages(spark, tmp_path):
             assert tb.page_files(spark, path, start, size).count() <= 2 and len(page.inputFiles()) <= 2
     empty = tb.store_pages(df.limit(0), ["a", "b"], str(tmp_path / "e"))
     assert tb.stored_page(spark, empty, 0, 5).collect() == []
+
+
+def test_a_table_of_several_files_streams(spark, tmp_path):
+    from corpusqa.plans import all_queries
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b. c"), (3, None)], "doc_id bigint, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = all_queries()["running_counts"](spark, str(tmp_path))
+    assert rows(got, "key", "count") == [(".", 1), ("a", 2), ("b", 2), ("c", 1)]
