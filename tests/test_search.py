@@ -301,3 +301,27 @@ def test_links_against_brute_force(spark):
                 want.append((k, 2 * at, fit))
             at += len(fit.split()) if fit else 1
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("scoring", ["classic", "bm25"])
+def test_rows_score_like_joined_postings(spark, scoring, monkeypatch):
+    draw = random.Random(5)
+    text = lambda: " ".join(draw.choice("abcdefgh") for _ in range(draw.randint(0, 12)))
+    docs = spark.createDataFrame([(i % 50, text(), text()) for i in range(60)] + [(None, "a b", "c")], "id int, text string, topic string")
+    index = se.build_index(docs, ["id"], {"text": "text", "topic": "topic"})
+    asked_ = spark.createDataFrame([(q, [draw.choice("abcdefghx") for _ in range(4)], ["a", "h"]) for q in range(8)], "qid int, words array<string>, topics array<string>")
+    clauses = se.clauses(asked_, "qid", "words").unionByName(se.clauses(asked_, "qid", "topics", "topic"))
+    found = lambda: [(r[0], r[1], round(r[2], 9), r[3]) for r in rows(se.search(index, clauses, "qid", 7, scoring).select("qid", F.coalesce("id", F.lit(-1)), "score", "rank"))]
+    by_row = found()
+    joined = []
+    monkeypatch.setattr(se.sc, "fits", lambda *a: joined.append(1) or False)
+    assert by_row == found() and joined and len(by_row) == 56
+
+
+def test_pairs_of_query_and_document_are_not_shuffled(spark):
+    docs = spark.range(400, numPartitions=2).select("id", F.lit("the same words for all").alias("text"), )
+    docs = docs.withColumn("text", F.concat_ws(" ", "text", F.repeat(F.lit("x "), (F.col("id") % 40).cast("int"))))
+    asked_ = spark.range(20).select(F.col("id").alias("qid"), F.array(F.lit("the"), F.lit("same")).alias("words"))
+    grouped = se.clauses(asked_, "qid", "words").groupBy("qid", "field", "term").agg(F.count(F.lit(1)).alias("_m"))
+    scored = se._score_rows(se.build_index(docs, ["id"]), grouped, "qid", 3, "classic")
+    assert scored.count() < 20 * 400 / 4  # of 8,000 pairs
