@@ -201,3 +201,21 @@ def test_context_counts(spark):
     assert rows(tn.context_counts(docs, window=2, min_count=2)) == [("a", "a", 1), ("a", "b", 2), ("b", "b", 1)]
     assert tn.context_counts(docs.limit(0)).count() == 0
     assert em.train_embeddings(docs, size=3, min_count=50).count() == 0
+
+
+def test_large_vocabularies_send_a_vector_once_a_chunk(spark, monkeypatch):
+    vocab = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("b", [1.0, 1.0]), ("c", None)], "word string, vec array<double>")
+    docs = spark.createDataFrame([(1, "a b b x"), (1, "a"), (2, "c a"), (3, ""), (4, None), (None, "b")], "id int, text string")
+    got = lambda: rows(em.paragraph_vector(docs, "id", vocab).select(F.coalesce("id", F.lit(-1)), "vec"))
+    small = got()
+    used = []
+    chunked = em._chunked
+    monkeypatch.setattr(em, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(em, "_chunked", lambda *a: used.append(1) or chunked(*a))
+    monkeypatch.setattr(em, "CHUNK_WORDS", 1)
+    monkeypatch.setattr(em, "GATHERED", 2)
+    assert got() == small and used
+    both = em.vectorize(docs, "id", {"one": vocab, "two": vocab.filter("word = 'a'")})
+    one, two = (rows(both.select(F.coalesce("id", F.lit(-1)), F.col("vectors")[m])) for m in ("one", "two"))
+    assert one == small
+    assert dict(two)[1] == [2 / 5, 4 / 5] and dict(two)[2] == [1 / 2, 1.0]
