@@ -325,3 +325,17 @@ def test_pairs_of_query_and_document_are_not_shuffled(spark):
     grouped = se.clauses(asked_, "qid", "words").groupBy("qid", "field", "term").agg(F.count(F.lit(1)).alias("_m"))
     scored = se._score_rows(se.build_index(docs, ["id"]), grouped, "qid", 3, "classic")
     assert scored.count() < 20 * 400 / 4  # of 8,000 pairs
+
+
+def test_open_documents_score_in_their_rows(spark, monkeypatch):
+    draw = random.Random(3)
+    text = lambda: " ".join(["the"] * draw.randint(1, 9) + [draw.choice("abcdefgh") for _ in range(draw.randint(1, 20))])
+    docs = [(i, text()) for i in range(300)]
+    index = si.write_index(se.build_index(spark.createDataFrame(docs + docs[:20], "id int, text string"), ["id"]))
+    asked_ = spark.createDataFrame([(q, ["the", draw.choice("abcd"), draw.choice("efgh")]) for q in range(6)], "qid int, words array<string>")
+    found = lambda: [(r[0], r[1], round(r[2], 9), r[3]) for r in rows(se.find_terms(index, asked_, "qid", "words", n=3))]
+    scored, best = [], si.sc.best_scores
+    monkeypatch.setattr(si.sc, "best_scores", lambda *a: scored.append(1) or best(*a))
+    by_row = found()
+    monkeypatch.setattr(si.sc, "fits", lambda *a: False)
+    assert scored and by_row == found()
