@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusqa.functions import fixed
 from corpusqa.functions import text as tx
 from corpusqa.operators.joins import first_per_key, lookup_join, number_rows, running_total
-from corpusqa.session import new_folder
+from corpusqa.session import new_folder, stored
 
 
 def upsert_counts(counts: DataFrame, new: DataFrame, key_chars: int | None = None) -> DataFrame:
@@ -56,8 +56,9 @@ REPORT_SECTIONS = (
 def profile_report(profile: DataFrame) -> DataFrame:
     """Report rows (section_no, section, row) of a corpus profile; words carry their frequency.
 
-    Section 0 holds the totals: documents, words and unique words.
+    Section 0 holds the totals: documents, words and unique words. The profile is stored, as it is read several times.
     """
+    profile = stored(profile.select("section", "key", "count"), "profile")
     words = profile.filter(F.col("section") == "word")
     total = words.agg(F.sum("count")).scalar()
     order = F.create_map(*[F.lit(x) for i, (s, _) in enumerate(REPORT_SECTIONS) for x in (s, i)])

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from corpusqa.operators import pairs
 from corpusqa.operators import profile as pf
 from corpusqa.operators import tables as tb
 
@@ -90,3 +92,43 @@ def test_pairs_of_a_long_sentence(spark):
     got = {(r["first"], r["second"]): r["count"] for r in pf.cooc_sentence(docs).collect()}
     assert len(got) == 400 * 399 // 2
     assert got["w0000", "w0001"] == 2 * 2 + 1 and got["w0000", "w0399"] == 2 * 4 and got["w0005", "w0300"] == 2
+
+
+def test_long_sentences_in_blocks_and_cells(spark, monkeypatch):
+    texts = ["c b a b d e a f g", "b a c b! a b", "x y", "c b a b d e a f g", None]
+    frame = spark.createDataFrame([(i % 2 or None, t) for i, t in enumerate(texts)], "corpus int, text string")
+    want = Counter()
+    for corpus, text in [(r["corpus"], r["text"]) for r in frame.collect() if r["text"]]:
+        for sentence in text.split("!"):
+            tf = Counter(sentence.split())
+            want.update({(corpus, a, b): tf[a] * tf[b] for a in tf for b in tf if a < b})
+    for block, cell in ((2048, 1 << 22), (3, 4)):
+        monkeypatch.setattr(pf, "PAIR_BLOCK", block)
+        monkeypatch.setattr(pairs, "CELL_PAIRS", cell)
+        monkeypatch.setattr(pairs, "BLOCK_WORDS", 2 * block)
+        got = pf.cooc_sentence(frame, keys=["corpus"]).collect()
+        assert {(r["corpus"], r["first"], r["second"]): r["count"] for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_travel_as_numbers_of_cells(spark):
+    # a row for each block of texts and cell, not for each pair
+    words = [f"w{i:03d}" for i in range(300)]
+    frame = spark.createDataFrame([(words, 1, 0, -1)] * 3, "_words array<string>, _copies long, _group long, _split int").coalesce(1)
+    batches = [pa.RecordBatch.from_pylist([r.asDict() for r in frame.collect()])]
+    (cell,) = pairs._count(iter(batches), None, None, 1)
+    assert cell.num_rows == 1 and len(cell["a"][0]) == 300 * 299 // 2 and len(cell["words"][0]) == 300
+
+
+def test_report_reads_its_profile_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    d = docs(spark, "Who b a. a").select("doc_id", "text", F.lit("d").alias("dep"), F.lit("m").alias("mod"))
+    read = d.mapInArrow(count, d.schema)
+    got = {r["row"] for r in tb.profile_report(pf.corpus_profile(read, "dep", "mod")).collect()}
+    assert {"# Documents;1", "# Words;5", "# Unique Words;4", "SW,a;2", "WP,who;1"} <= got
+    assert seen.value == 1
