@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from conftest import rows
 from corpusqa.functions import vectors as vx
 from corpusqa.operators import embeddings as em
 from corpusqa.operators import neighbors as nb
+from corpusqa.operators import pairs
 from corpusqa.operators import training as tn
 
 
@@ -219,3 +221,22 @@ def test_large_vocabularies_send_a_vector_once_a_chunk(spark, monkeypatch):
     one, two = (rows(both.select(F.coalesce("id", F.lit(-1)), F.col("vectors")[m])) for m in ("one", "two"))
     assert one == small
     assert dict(two)[1] == [2 / 5, 4 / 5] and dict(two)[2] == [1 / 2, 1.0]
+
+
+def test_matrix_cells_are_packed(spark, monkeypatch):
+    # entries of a cell travel as lists, not a row each
+    monkeypatch.setattr(tn, "PACKED", 3)
+    cell = pa.table({"_r": [1] * 4, "_c": [0] * 4, "row": [2, 1, 2, 1], "col": [1, 1, 2, 2], "value": [1.0, 2.0, 3.0, 4.0]})
+    packed = tn._packed(cell)
+    assert packed["row"].to_pylist() == [[1, 1, 2], [2]] and packed["_r"].to_pylist() == [1, 1]
+    columns = pa.table({"id": [2, 1], "vec": [[1.0, 0.0], [0.0, 1.0]]})
+    got = tn._product(packed, columns, 2)
+    assert got["id"].to_pylist() == [1, 2] and got["vec"].to_pylist() == [[4.0, 2.0], [3.0, 1.0]]
+
+
+def test_context_counts_of_large_vocabularies(spark, monkeypatch):
+    docs = spark.createDataFrame([("a b a c",), ("b rare b",), (None,)], "text string")
+    monkeypatch.setattr(tn, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(pairs, "BLOCK_WORDS", 2)
+    monkeypatch.setattr(pairs, "CELL_PAIRS", 1)
+    assert rows(tn.context_counts(docs, window=2, min_count=2)) == [("a", "a", 1), ("a", "b", 2), ("b", "b", 1)]
