@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from corpusqa.functions import text as tx
 from corpusqa.operators import snippets as sn
+from corpusqa.plans import data
 from corpusqa.sources import wiki
 
 
@@ -175,3 +176,20 @@ def test_cuts_of_one_long_text(spark):
     df = spark.createDataFrame([(1, "\n".join(f"{i} x y" for i in range(5000)))], "id int, text string")
     assert sn.pack_by_spaces(df, max_spaces=1).count() == 5000
     assert sn.chunk_by_chars(df, max_chars=5).count() > 4000
+
+
+def test_terms_are_the_tokens_with_a_letter_or_digit(spark):
+    texts = ["It's «rock-'n'-roll», 3-4 a--b -x x- ’s d’été 𝟙𐐷! 日本  nbsp é", "...", "", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.filter(tx.tokens(F.lower("text")), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    got = frame.select(tx.terms(F.col("text")).alias("terms"), plain.alias("plain")).collect()
+    assert all(r["terms"] == r["plain"] for r in got) and len(got[0]["terms"]) > 8
+    # read off at once: no test for each token
+    assert "rlike" not in tx.terms(F.col("text"))._jc.toString().lower()
+
+
+def test_gazetteer_takes_capitalised_words_and_pairs(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "The Big cat. Éa Big Big-X a B"), (2, None), (3, "")], "doc_id bigint, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["surface"]: r["support"] for r in data.gazetteer(spark, str(tmp_path)).collect()}
+    assert got == {"The": 1, "The Big": 1, "Big": 2, "Éa": 1, "Éa Big": 1, "Big Big-X": 1, "Big-X": 1, "B": 1}
