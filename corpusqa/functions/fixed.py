@@ -16,7 +16,8 @@ STOPWORDS = (
 ).split()
 
 # Regular expressions (valid in Java and RE2).
-TOKEN_PATTERN = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
+WORD_PATTERN = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"  # tokens with a letter or digit
+TOKEN_PATTERN = WORD_PATTERN + r"|[^\s\p{L}\p{N}]"
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"
 PUNCTUATION_TOKEN = r"^[#?.,&!*]+$"
 LINK_PATTERN = r'<a.*?href="/([a-zA-Z/?=].*?)"'

@@ -157,7 +157,7 @@ def without_punctuation(tokens_: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Search terms of a text: lower-cased tokens with at least one letter or digit."""
-    return F.filter(tokens(F.lower(text)), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    return F.regexp_extract_all(F.lower(text), F.lit(fixed.WORD_PATTERN), F.lit(0))
 
 
 def term_frequencies(terms_: Column) -> Column:
