@@ -159,6 +159,42 @@ def test_bounds_lose_no_neighbour(spark, monkeypatch, n):
         assert scored * 2 < every
 
 
+def test_items_are_worked_out_once(spark, monkeypatch):
+    # sizes, pivots and both looks read the same stored vectors
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    v = np.random.default_rng(8).normal(size=(200, 4))
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item long, vec array<double>").mapInArrow(count, "item long, vec array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "qid long, vec array<double>")
+    monkeypatch.setattr(nb, "ITEM_BYTES", 4_000)
+    assert nb.nearest_neighbors(queries, items, 3).count() == 3
+    assert seen.value == 200
+
+
+def test_the_second_look_hands_on_what_can_be_best(spark):
+    # of items below the floor none is handed on, of close ones all are told apart in double precision
+    items = pa.table({"item": list(range(1000)), "vec": [[1.0, i * 1e-3] for i in range(1000)], "slice": pa.array([i // 500 for i in range(1000)], pa.int32())})
+    queries = pa.table({
+        "qid": [7, 8], "vec": [[1.0, 0.0], [0.0, 1.0]], "floor": pa.array([0.9999, None], pa.float64()),
+        "slices": pa.array([[0, 1], [1]], pa.list_(pa.int32())), "banned": pa.array([[0], None], pa.list_(pa.int64()))})
+    kinds = pa.schema([("qid", pa.int64()), ("item", pa.int64()), ("score", pa.float64())])
+    got = nb._best(queries, items, 40, kinds).to_pydict()
+    mine = [i for q, i in zip(got["qid"], got["item"]) if q == 7]
+    assert mine[:13] == list(range(1, 14)) and len(mine) <= 16
+    assert [i for q, i in zip(got["qid"], got["item"]) if q == 8] == list(range(999, 959, -1))
+
+
+def test_no_items_no_neighbours(spark):
+    items = spark.createDataFrame([], "item long, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vec array<double>")
+    assert nb.nearest_neighbors(q, items, 3).count() == 0
+
+
 def test_planted_synonyms_are_neighbours(spark, monkeypatch):
     # two words in the same company, though never together, are nearest to each other
     rng = np.random.default_rng(2)
