@@ -195,6 +195,14 @@ def test_no_items_no_neighbours(spark):
     assert nb.nearest_neighbors(q, items, 3).count() == 0
 
 
+def test_normalize_works_out_its_norm_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "vec array<double>")
+    unit = df.select(vx.normalize(F.col("vec")).alias("u"))
+    out = [r["u"] for r in unit.collect()]
+    assert out[0] == [0.6, 0.8] and all(math.isnan(x) for x in out[1]) and out[2] is None
+    assert unit._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_planted_synonyms_are_neighbours(spark, monkeypatch):
     # two words in the same company, though never together, are nearest to each other
     rng = np.random.default_rng(2)
