@@ -2,11 +2,12 @@
 
 A document comes as one row with all its fields. ``coded`` keeps the wanted terms of each as numbers; ``best_scores``
 adds up the weights of all queries document by document, and a task hands on only what can be
-among the n best that it has seen for a query, ties included.
+among the n best that it has seen for a query; of ties in a batch those with the first keys.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import partial
 
@@ -20,6 +21,7 @@ from corpusqa.session import settle
 
 WEIGHT_BYTES = 64 * 1024 * 1024  # weights of all terms and queries as one matrix
 BLOCK_BYTES = 32 * 1024 * 1024  # products held at once
+PART_ROWS = 1 << 17  # documents of one task, as far as they are coded
 SLACK = 2e-6  # scores are compared when rounded to six places
 
 
@@ -83,6 +85,13 @@ def coded(rows: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, str]
     return settle(rows.select(*keys, "fields").mapInArrow(code, f"{_types(rows, keys)}, ids array<int>, tfs array<int>, lengths array<int>"))
 
 
+def spread(rows: DataFrame, count: int) -> DataFrame:
+    """``coded`` rows over more partitions, where theirs hold too many: small files are read as few, however many rows they have."""
+    if count <= PART_ROWS * rows.rdd.getNumPartitions():
+        return rows
+    return settle(rows.repartition(math.ceil(count / PART_ROWS)))
+
+
 def merged(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``coded`` rows, one for each document."""
     if rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").isEmpty():
@@ -97,6 +106,34 @@ def _impact(scoring: str, tf: np.ndarray, length: np.ndarray, mean: np.ndarray)
     return (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / mean))
 
 
+def _order(keys: Sequence[pa.Array]) -> np.ndarray | None:
+    """The place of each row by its keys, as Spark orders them; None for keys that Arrow orders in another way."""
+    kinds = [k.type for k in keys]
+    if not all(pa.types.is_string(t) or pa.types.is_integer(t) for t in kinds):
+        return None
+    names = [str(i) for i in range(len(keys))]
+    by = pc.sort_indices(pa.Table.from_arrays(list(keys), names=names), sort_keys=[(c, "ascending") for c in names], null_placement="at_start").to_numpy()
+    out = np.empty(len(by), np.int64)
+    out[by] = np.arange(len(by))
+    return out
+
+
+def _ahead(q: np.ndarray, scores: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Which (query, score, place) can be among the ``n`` best of their query, by rounded score and place.
+
+    A score so close to the middle of two rounded ones that only Spark's decimals tell stays if either would do.
+    """
+    least, most = np.floor(scores * 1e6 + 0.5 - 1e-3), np.floor(scores * 1e6 + 0.5 + 1e-3)
+    by = np.lexsort((place, -least, q))
+    own = q[by]
+    spot = np.arange(len(own)) - np.searchsorted(own, own)
+    keep = np.zeros(len(q), bool)
+    keep[by[spot < n]] = True
+    edge = np.full(int(q.max()) + 1, -np.inf)
+    edge[own[spot == n - 1]] = least[by[spot == n - 1]]
+    return keep | ((most > least) & (most >= edge[q]))
+
+
 def _score(batches: Iterator[pa.RecordBatch], qids: pa.Array, name: str, weights: np.ndarray, clauses: np.ndarray, means: np.ndarray, n: int, scoring: str) -> Iterator[pa.RecordBatch]:
     top = np.full((len(qids), n), -np.inf)  # the best scores so far
     many = max(1, BLOCK_BYTES // (8 * max(1, len(qids))))
@@ -104,6 +141,7 @@ def _score(batches: Iterator[pa.RecordBatch], qids: pa.Array, name: str, weights
         ids, row = _flat(batch.column("ids"))
         ids = ids.to_numpy(zero_copy_only=False)
         tf, length = (_flat(batch.column(c))[0].to_numpy(zero_copy_only=False).astype(float) for c in ("tfs", "lengths"))
+        place: np.ndarray | None = None
         worth = _impact(scoring, tf, length, means[ids])
         docs, heads = np.unique(row, return_index=True)
         ends = np.append(heads[1:], len(row))
@@ -124,6 +162,11 @@ def _score(batches: Iterator[pa.RecordBatch], qids: pa.Array, name: str, weights
             scores = np.where(matched > 0, scores, -np.inf)
             top = -np.partition(-np.concatenate([top, scores.T], axis=1), n - 1, axis=1)[:, :n]
             d, q = np.nonzero((scores >= top.min(axis=1) - SLACK) & (matched > 0))
+            if len(d) > n:  # of equal scores those with the first keys
+                place = _order(batch.columns[:-3]) if place is None else place
+                if place is not None:
+                    ahead = _ahead(q, scores[d, q], place[docs[a:b][d]], n)
+                    d, q = d[ahead], q[ahead]
             if len(d):
                 at = pa.array(docs[a:b][d])
                 keys = [c.take(at) for c in batch.columns[:-3]]

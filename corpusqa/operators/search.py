@@ -174,11 +174,13 @@ def wanted_terms(grouped: DataFrame) -> list[tuple[str, str]]:
 def _score_rows(index: Index, grouped: DataFrame, qid: str, n: int, scoring: str) -> DataFrame:
     wanted = wanted_terms(grouped)
     rows = sc.coded(index.rows, index.keys, wanted)
+    total = rows.count()
+    rows = sc.spread(rows, total)
     spark = grouped.sparkSession
     names = spark.createDataFrame([(k, *w) for k, w in enumerate(wanted)], "id int, field string, term string")
     found = rows.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df"))
     freq = found.join(F.broadcast(names), "id").select("field", "term", "df")
-    weights = term_weights(grouped, freq, F.lit(rows.count()), qid, scoring)
+    weights = term_weights(grouped, freq, F.lit(total), qid, scoring)
     return sc.best_scores(sc.merged(rows, index.keys), index.keys, weights, wanted, qid, n, scoring, index.lengths if scoring == "bm25" else None)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from corpusqa.operators import answers as an
 from corpusqa.operators import entities as en
+from corpusqa.operators import scoring as sc
 from corpusqa.operators import search as se
 from corpusqa.operators import stored_index as si
 from corpusqa.operators import triples as tr
@@ -68,6 +69,26 @@ def test_search_entity(spark):
     assert se.search_entity(entities, q, "qid", "text").orderBy("rank").first()["entity"] == "Edwin_Jarvis"
 
 
+def test_tied_entities_are_cut_where_they_are_scored(spark, monkeypatch):
+    # many entities of one key: a task hands on the first of them, and its rows are bounded
+    rows_ = [("Bat Man" if i % 3 else "Bat Man Bat", f"e{(i * 7) % 3000:04d}") for i in range(3000)]
+    entities = spark.createDataFrame(rows_, "key string, entity string").coalesce(1)
+    q = spark.createDataFrame([(1, "Bat Man"), (2, "Man")], "qid int, text string")
+    handed, best = [], se.best_hits
+
+    def told(hits, *rest):
+        handed.append(hits.count())
+        return best(hits, *rest)
+
+    monkeypatch.setattr(se, "best_hits", told)
+    monkeypatch.setattr(sc, "PART_ROWS", 1000)
+    got = rows(se.search_entity(entities, q, "qid", "text", 4), "qid", "rank", "entity", "key")
+    pairs = sorted((e, k) for k, e in rows_ if k == "Bat Man")[:4]
+    want = [(qid, rank, e, k) for qid in (1, 2) for rank, (e, k) in enumerate(pairs, 1)]
+    assert got == want
+    assert handed[0] <= 2 * 4 * 4
+
+
 GAZ = "surface string, uri string, label string, types array<string>, support int, score double"
 
 
