@@ -223,10 +223,10 @@ def _interval_pairs(intervals: DataFrame, eps: float) -> DataFrame:
         near = F.aggregate(gap, F.lit(0.0), lambda s, g: s + F.coalesce(g, F.lit(0.0)) * F.coalesce(g, F.lit(0.0))) <= eps * eps
         pairs = pairs.join(a, "i").join(b, "j").filter(near).select("i", "j")
         if levels:
-            below = F.sequence(F.lit(0), F.lit(FAN - 1))
+            # numbers that no interval has find no box
             pairs = (
-                pairs.select((F.col("i") * FAN + F.explode(below)).alias("i"), "j")
-                .select("i", (F.col("j") * FAN + F.explode(below)).alias("j")).filter("i <= j")
+                pairs.select(F.explode(F.sequence(F.col("i") * FAN, F.col("i") * FAN + FAN - 1)).alias("i"), "j")
+                .select("i", F.explode(F.sequence(F.col("j") * FAN, F.col("j") * FAN + FAN - 1)).alias("j")).filter("i <= j")
             )
     return pairs
 

@@ -232,6 +232,15 @@ def test_near_duplicates(spark, monkeypatch, interval, run):
     assert go.near_duplicates(vectors(spark, [])).collect() == []
 
 
+def test_near_duplicates_of_many_intervals(spark, monkeypatch):
+    # more intervals than one level of boxes holds: pairs are found level by level
+    frame = vectors(spark, odd_vectors(2, 340))
+    whole = sorted(map(tuple, go.near_duplicates(frame).collect()), key=repr)
+    monkeypatch.setattr(go, "INTERVAL", 20)
+    assert sorted(map(tuple, go.near_duplicates(frame).collect()), key=repr) == whole
+    assert sum(r[1] for r in whole)
+
+
 def test_join_intervals_with_short_runs(monkeypatch):
     monkeypatch.setattr(go, "RUN", 8)
     rng = np.random.default_rng(3)
