@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from corpusqa.functions import vectors as vx
+from corpusqa.operators import answers as an
 from corpusqa.operators import embeddings as em
 from corpusqa.operators import neighbors as nb
 from corpusqa.operators import pairs
@@ -284,3 +285,14 @@ def test_context_counts_of_large_vocabularies(spark, monkeypatch):
     monkeypatch.setattr(pairs, "BLOCK_WORDS", 2)
     monkeypatch.setattr(pairs, "CELL_PAIRS", 1)
     assert rows(tn.context_counts(docs, window=2, min_count=2)) == [("a", "a", 1), ("a", "b", 2), ("b", "b", 1)]
+
+
+def test_large_vocabularies_take_keys_of_fields(spark, monkeypatch):
+    # a field that is never null, as the number of a phrase in its question, stays so
+    vocab = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "word string, vec array<double>")
+    asked = spark.createDataFrame([(1, ["a b", "b"]), (2, ["x"]), (3, [])], "qid int, focus array<string>")
+    parts = spark.createDataFrame([("d", "a a"), ("e", "b")], "id string, text string").withColumn("offset", F.lit(0))
+    got = lambda: rows(an.candidates_vectors(asked, parts, vocab, use_focus=True, stored=an.snippet_vectors(parts, vocab)).filter("qid = 1"))
+    small = got()
+    monkeypatch.setattr(em, "fits_broadcast", lambda df: False)
+    assert len(small) == 2 and got() == small
