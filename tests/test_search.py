@@ -3,10 +3,12 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from corpusqa.functions import text as tx
 from corpusqa.operators import answers as an
 from corpusqa.operators import entities as en
 from corpusqa.operators import scoring as sc
@@ -360,3 +362,48 @@ def test_open_documents_score_in_their_rows(spark, monkeypatch):
     by_row = found()
     monkeypatch.setattr(si.sc, "fits", lambda *a: False)
     assert scored and by_row == found()
+
+
+def test_texts_are_linked_in_their_rows(spark, monkeypatch):
+    # as by joins: long surfaces, blanks of all kinds, joined words, characters beyond the first plane
+    words = ["New", "York", "City", "the", "O'Neil", "x-Ray", "É", "\U0001d400B", "\U0001f600", "—", "Été", "11", "Ǆ"]
+    rng = np.random.default_rng(3)
+    blanks = [" ", "  ", "\n", "\t ", " ", "", ","]
+    text = lambda: "".join(words[rng.integers(len(words))] + blanks[rng.integers(len(blanks))] for _ in range(40))
+    docs = spark.createDataFrame([(i, text()) for i in range(60)] + [(60, None), (61, ""), (62, " New York \n ")], "k long, text string")
+    surfaces = ["New York", "York", "New York City New", "O'Neil", "É Été", "Été"]
+    taken = []
+    joined = en._link_joined
+    monkeypatch.setattr(en, "_link_joined", lambda *a: taken.append(1) or joined(*a))
+    monkeypatch.setattr(en, "BLOCK_TOKENS", 50)
+    for more in ([], ["the", "x-Ray York", "11 the"]):
+        gaz = spark.createDataFrame([(s, f"http://{i}", "LOC", ["LOC"], 20, 0.9) for i, s in enumerate(surfaces + more)],
+                                    "surface string, uri string, label string, types array<string>, support int, score double")
+        with monkeypatch.context() as m:
+            m.setattr(en, "fits_broadcast", lambda df: False)
+            want = rows(en.link_entities(docs, gaz, "k"))
+        taken.clear()
+        assert len(want) > 50 and rows(en.link_entities(docs, gaz, "k")) == want and not taken
+        # rows of one key compete, and so do those without one
+        again = docs.withColumn("k", F.when(F.col("k") % 7 == 0, None).otherwise(F.floor(F.col("k") / 2) * F.when(F.col("k") < 20, 1).otherwise(2) + F.col("k") % 2))
+        with monkeypatch.context() as m:
+            m.setattr(en, "fits_broadcast", lambda df: False)
+            want = sorted(map(repr, en.link_entities(again, gaz, "k").collect()))
+        taken.clear()
+        assert sorted(map(repr, en.link_entities(again, gaz, "k").collect())) == want and taken
+
+
+def test_capitalised_tokens_are_counted(spark):
+    words = ["New", "York", "the", "O'Neil", "x-Ray", "a-B", "'B", "\U0001d400b", "\U0001d552B", "\U0001f600A", "Éa", "11", "ǅa"]
+    rng = np.random.default_rng(4)
+    texts = ["".join(words[rng.integers(len(words))] + [" ", "\n ", "", " "][rng.integers(4)] for _ in range(30)) for _ in range(50)]
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",), ("no one",)], "text string")
+    # token by token
+    tok = docs.select(F.transform(tx.tokens(F.col("text")), lambda w: F.struct(w.alias("w"), w.rlike(r"^\p{Lu}").alias("big"))).alias("t"))
+    want = {}
+    for r in tok.filter("t IS NOT NULL").collect():
+        for i, x in enumerate(r["t"]):
+            for s in [x["w"]] + ([f"{r['t'][i - 1]['w']} {x['w']}"] if i and r["t"][i - 1]["big"] else []):
+                if x["big"]:
+                    want[s] = want.get(s, 0) + 1
+    assert dict(rows(en.capital_counts(docs))) == want and len(want) > 20
