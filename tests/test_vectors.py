@@ -296,3 +296,41 @@ def test_large_vocabularies_take_keys_of_fields(spark, monkeypatch):
     small = got()
     monkeypatch.setattr(em, "fits_broadcast", lambda df: False)
     assert len(small) == 2 and got() == small
+
+
+def test_training_reads_pairs_where_they_lie(spark, monkeypatch):
+    # the same directions by stored counts, by parts of the vectors, and by the matrix; no pair is moved in a turn
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(" ".join(words[k] for k in (rng.integers(0, 10, 30) + 10 * (n % 4))),) for n in range(40)], "text string")
+    gram, moved = [], []
+    product = tn._count_product
+
+    def watched(*a):
+        out = product(*a)
+        moved.append(out._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange "))
+        return out
+
+    monkeypatch.setattr(tn, "_count_product", watched)
+    for most in (1 << 26, 8 * 40 * 3, 8 * 40):
+        monkeypatch.setattr(tn, "TOLD_BYTES", most)
+        got = {r["word"]: r["vec"] for r in tn.train_vectors(docs, "text", 3, 2, 5, 3, 7).collect()}
+        x = np.array([got[w] for w in words])
+        gram.append(x @ x.T)
+    assert np.allclose(gram[0], gram[1], atol=1e-6) and np.allclose(gram[0], gram[2], atol=1e-6) and np.abs(gram[0]).max() > 0.1
+    assert moved == [1] * 6  # the sums of the vectors
+
+
+def test_blocks_of_pairs_are_bounded(monkeypatch):
+    monkeypatch.setattr(pairs, "MOST_PAIRS", 100)
+    texts = [["a", "b", "c", "d", "e"] * 2] * 30
+    batch = pa.RecordBatch.from_pydict({"_words": texts, "_copies": [1] * 30, "_group": [0] * 30, "_split": [-1] * 30})
+    batch = batch.cast(pa.schema([("_words", pa.list_(pa.string())), ("_copies", pa.int64()), ("_group", pa.int64()), ("_split", pa.int32())]))
+    known = pa.array(["a", "b", "d"])
+    cells = list(pairs._count(iter([batch]), 5, known, 1))
+    assert len(cells) == 15 and all(not len(c["words"][0]) for c in cells)  # two texts of 50 pairs each; words go by number
+    schema = ["words", "groups", "a", "b", "n"]
+    got = pairs._merge(pa.Table.from_batches([c.select(schema) for c in cells]), known).to_pylist()
+    monkeypatch.setattr(pairs, "MOST_PAIRS", 1 << 23)
+    (whole,) = pairs._count(iter([batch]), 5, known, 1)
+    assert got == pairs._merge(pa.Table.from_batches([whole.select(schema)]), known).to_pylist() and len(got) == 6
